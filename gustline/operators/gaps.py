@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gustline import catalogue as cat
 from gustline.operators.ordered import BLOCK_ROWS, block_of, ordinals, previous_row
-from gustline.session import cut_lineage
+from gustline.session import broadcast_if_small, cut_lineage
 
 PACKET_KEYS = ["session_id", "packet_origin", "sensor_name"]
 _BLOCK = "_block"
@@ -188,17 +188,37 @@ def lag_gaps(
     return placed.withColumn("gap", F.col(clock) - F.col("previous_clock") - F.col(expected))
 
 
+def _with_carried(packets: DataFrame, carried: DataFrame | None, keys: Sequence[str], columns: dict) -> DataFrame:
+    """State of earlier packets, one row per key, beside the packets of its key."""
+    if carried is None:
+        return packets.select("*", *[F.lit(None).cast(kind).alias(f"_carried_{c}") for c, kind in columns.items()])
+    state = carried.select(*keys, *[F.col(c).alias(f"_carried_{c}") for c in columns])
+    return packets.join(broadcast_if_small(state), list(keys), "left")
+
+
+LOST_STATE = {"packets_before": "bigint", "anchor": "double"}
+DRIFT_STATE = {"last_ticks": "bigint", "current_period": "double"}
+
+
 def lost_sets(
-    packets: DataFrame, slack_seconds: float = 0.005, block_rows: int = BLOCK_ROWS, keys: Sequence[str] = PACKET_KEYS
+    packets: DataFrame,
+    slack_seconds: float = 0.005,
+    block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = PACKET_KEYS,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Lost packets of synchronised sensors.
 
     Needs ``node_ticks``, ``samples_in_packet`` and ``period``.  Adds the packet
     ordinal, ``is_first``, ``lost``, ``gap_ms`` (null unless lost) and
     ``ideal_time`` in seconds.  Microphones run free: never lost, never re-anchored.
+    ``carried`` (keys and LOST_STATE) continues keys from earlier packets.
     """
     step = F.col("samples_in_packet") * F.col("period") * F.lit(cat.NODE_CLOCK_HZ)
-    numbered = ordinals(packets, keys, "seq", "packet_ordinal", block_rows)
+    known = _with_carried(packets, carried, keys, LOST_STATE)
+    numbered = ordinals(known, keys, "seq", "packet_ordinal", block_rows).withColumn(
+        "packet_ordinal", F.col("packet_ordinal") + F.coalesce("_carried_packets_before", F.lit(0))
+    )
     ready = numbered.select(
         "*",
         (F.col("node_ticks") - (F.col("packet_ordinal") - 1) * step).alias("_offset"),
@@ -206,7 +226,7 @@ def lost_sets(
         .otherwise(F.lit(slack_seconds * cat.NODE_CLOCK_HZ))
         .alias("_slack"),
     )
-    held = held_values(ready, keys, "seq", "_offset", "_slack", "strays", None, block_rows)
+    held = held_values(ready, keys, "seq", "_offset", "_slack", "strays", "_carried_anchor", block_rows)
     ideal = F.col("held") + (F.col("packet_ordinal") - 1) * step
     return held.select(
         *packets.columns,
@@ -217,26 +237,58 @@ def lost_sets(
             F.col("replaced"), (F.col("_offset") - F.col("held_before")) / F.lit(cat.NODE_CLOCK_HZ) * 1000
         ).alias("gap_ms"),
         (ideal / F.lit(cat.NODE_CLOCK_HZ)).alias("ideal_time"),
+        F.col("held").alias("anchor"),
+    )
+
+
+def lost_state(gaps: DataFrame, carried: DataFrame | None = None, keys: Sequence[str] = PACKET_KEYS) -> DataFrame:
+    """What :func:`lost_sets` needs of these packets to go on with later ones."""
+    latest = gaps.groupBy(*keys).agg(
+        F.max("packet_ordinal").alias("packets_before"), F.max_by("anchor", "seq").alias("anchor")
+    )
+    return _merge_state(latest, carried, keys)
+
+
+def drift_state(drift: DataFrame, carried: DataFrame | None = None, keys: Sequence[str] = PACKET_KEYS) -> DataFrame:
+    """What :func:`period_drift` needs of these packets to go on with later ones."""
+    latest = drift.groupBy(*keys).agg(
+        F.max_by("node_ticks", "seq").alias("last_ticks"), F.max_by("current_period", "seq").alias("current_period")
     )
+    return _merge_state(latest, carried, keys)
+
+
+def _merge_state(latest: DataFrame, carried: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    if carried is None:
+        return latest
+    return latest.unionByName(carried.join(latest, list(keys), "left_anti").select(*latest.columns))
 
 
 def period_drift(
-    packets: DataFrame, max_drift: float = 0.02, block_rows: int = BLOCK_ROWS, keys: Sequence[str] = PACKET_KEYS
+    packets: DataFrame,
+    max_drift: float = 0.02,
+    block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = PACKET_KEYS,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Adaptive period of inertial sensors.
 
     The spacing of two packets gives a measured period; within ``max_drift`` of
     the current one it is taken over, else a packet was lost.  Adds
     ``is_first``, ``measured_period``, ``current_period``, ``lost`` and ``gap_ms``.
+    ``carried`` (keys and DRIFT_STATE) continues keys from earlier packets.
     """
-    placed = previous_row(packets, keys, "seq", {"node_ticks": "_before"}, block_rows)
+    known = _with_carried(packets, carried, keys, DRIFT_STATE)
+    placed = previous_row(known, keys, "seq", {"node_ticks": "_before"}, block_rows).select(
+        "*", F.coalesce("_carried_current_period", F.col("period")).alias("_period")
+    )
+    placed = placed.withColumn("_before", F.coalesce("_before", "_carried_last_ticks"))
     spacing = F.col("node_ticks") - F.col("_before")
     ready = placed.select(
         "*",
         (spacing / F.col("samples_in_packet") / F.lit(cat.NODE_CLOCK_HZ)).alias("measured_period"),
         F.lit(max_drift).alias("_drift"),
     )
-    held = held_values(ready, keys, "seq", "measured_period", "_drift", "close", "period", block_rows)
+    held = held_values(ready, keys, "seq", "measured_period", "_drift", "close", "_period", block_rows)
     lost = F.col("_before").isNotNull() & ~F.col("replaced")
     return held.select(
         *packets.columns,

@@ -39,3 +39,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only when the frame is counted to be small; otherwise Spark picks a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever they run."""
+    import pathlib
+    import shutil
+
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.gettempdir()) / f"gustline-{spark.sparkContext.applicationId}"
+    archive = target.with_suffix(".zip")
+    if not archive.exists():
+        shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name)
+        spark.sparkContext.addPyFile(str(archive))
