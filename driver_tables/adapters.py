@@ -29,9 +29,9 @@ def _byte(value: Column) -> Column:
 
 
 def _hashes(identifier: str, count: int) -> Column:
-    return F.concat(
-        *[F.unhex(F.md5(F.concat(F.col(identifier).cast("string"), F.lit(f":{i}")))) for i in range(count)]
-    )
+    """Sixteen pseudo-random bytes per count, the same for the same identifier."""
+    pieces = f"transform(sequence(0, {count - 1}), i -> md5(cast(concat({identifier}, ':', i) AS binary)))"
+    return F.expr(f"unhex(array_join({pieces}, ''))")
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ entered AS (
       WHEN packet_type_name = 'Constat' AND packet_length = 244 THEN packet_timestamp - clock_ticks / 65536e0 END AS entry
   FROM named),
 medians AS (
-  SELECT *, CASE WHEN entry IS NOT NULL THEN median(entry) OVER (PARTITION BY packet_origin, seg, entry IS NOT NULL
-      ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS m0
-  FROM entered),
+  SELECT * EXCLUDE (l), (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS m0
+  FROM (SELECT *, CASE WHEN entry IS NOT NULL THEN list_sort(list(entry) OVER (PARTITION BY packet_origin, seg, entry IS NOT NULL
+      ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) END AS l
+  FROM entered)),
 offsets AS (
   SELECT *, last_value(m0 IGNORE NULLS) OVER (PARTITION BY packet_origin, seg ORDER BY seq
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS time_offset
@@ -85,12 +86,13 @@ def _classified(spark, sf_dir):
     f"""WITH {PACKETS},
 entered AS (SELECT *, CASE WHEN packet_type = 52 THEN packet_timestamp - clock_ticks / 65536e0 END AS entry
   FROM packets WHERE packet_type <> 255),
-medians AS (SELECT *, CASE WHEN entry IS NOT NULL THEN median(entry) OVER (PARTITION BY packet_origin, entry IS NOT NULL
-  ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS m0 FROM entered),
+medians AS (SELECT * EXCLUDE (l), (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS m0 FROM (
+  SELECT *, CASE WHEN entry IS NOT NULL THEN list_sort(list(entry) OVER (PARTITION BY packet_origin, entry IS NOT NULL
+  ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) END AS l FROM entered)),
 offsets AS (SELECT *, last_value(m0 IGNORE NULLS) OVER (PARTITION BY packet_origin ORDER BY seq
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS time_offset FROM medians)
-SELECT packet_origin, seq, round(time_offset, 4) AS time_offset,
-  round(CASE WHEN packet_length = 244 THEN clock_ticks / 65536e0 + time_offset ELSE packet_timestamp END, 4) AS abs_time
+SELECT packet_origin, seq, time_offset,
+  CASE WHEN packet_length = 244 THEN clock_ticks / 65536e0 + time_offset ELSE packet_timestamp END AS abs_time
 FROM offsets"""
 )
 def q_offset_median(spark, sf_dir):
@@ -98,13 +100,13 @@ def q_offset_median(spark, sf_dir):
     packets = packets_from_events(table(spark, sf_dir, "events")).where("packet_type <> 255")
     aligned = clock.align_packets(packets, block_rows=BLOCK_ROWS)
     return aligned.select(
-        "packet_origin", "seq", F.round("time_offset", 4).alias("time_offset"), F.round("timestamp", 4).alias("abs_time")
+        "packet_origin", "seq", "time_offset", F.col("timestamp").alias("abs_time")
     )
 
 
 @query(
     f"""WITH {ALIGNED}
-SELECT packet_origin, seq, round(time_offset, 4) AS time_offset, round(abs_time, 4) AS abs_time FROM aligned
+SELECT packet_origin, seq, time_offset, abs_time FROM aligned
 WHERE packet_type_name IS NOT NULL"""
 )
 def q_offset_reset(spark, sf_dir):
@@ -115,8 +117,8 @@ def q_offset_reset(spark, sf_dir):
         .select(
             "packet_origin",
             "seq",
-            F.round("time_offset", 4).alias("time_offset"),
-            F.round("timestamp", 4).alias("abs_time"),
+            "time_offset",
+            F.col("timestamp").alias("abs_time"),
         )
     )
 
@@ -139,7 +141,7 @@ def q_handle_definitions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PACKETS} SELECT seq, packet_origin, clock_ticks AS node_ticks, round(clock_ticks / 65536e0, 6) AS node_time
+    f"""WITH {PACKETS} SELECT seq, packet_origin, clock_ticks AS node_ticks, clock_ticks / 65536e0 AS node_time
 FROM packets WHERE packet_length = 244"""
 )
 def q_node_clock(spark, sf_dir):
@@ -147,7 +149,7 @@ def q_node_clock(spark, sf_dir):
     packets = packets_from_events(table(spark, sf_dir, "events")).drop("packet_length", "node_ticks")
     clocked = clock.with_control_columns(packets).where("packet_length = 244")
     return clocked.select(
-        "seq", "packet_origin", "node_ticks", F.round(F.col("node_ticks") / cat.NODE_CLOCK_HZ, 6).alias("node_time")
+        "seq", "packet_origin", "node_ticks", (F.col("node_ticks") / cat.NODE_CLOCK_HZ).alias("node_time")
     )
 
 
@@ -207,7 +209,8 @@ def q_rejects(spark, sf_dir):
 @query(
     f"""WITH {ALIGNED},
 coded AS (SELECT *, CASE WHEN packet_type_name IN ('Cmd Decline', 'Sleep State')
-      THEN CASE WHEN packet_length = 1 THEN CAST('0x' || payload AS BIGINT) END
+      THEN CASE packet_length WHEN 1 THEN CAST('0x' || payload AS BIGINT) WHEN 6 THEN CAST('0x' || substr(payload, 11, 2)
+        || substr(payload, 9, 2) || substr(payload, 7, 2) || substr(payload, 5, 2) || substr(payload, 3, 2) || substr(payload, 1, 2) AS BIGINT) END
       ELSE CAST('0x' || substr(payload, 1, 2) AS BIGINT) END AS code
   FROM classified WHERE reject_reason IS NULL
     AND packet_type_name IN ('Mic 1', 'Cmd Decline', 'Sleep State', 'Remote Info Message')),
@@ -333,8 +336,8 @@ def q_decode_constat(spark, sf_dir):
 
 @query(
     f"""WITH {ALIGNED}
-SELECT seq, packet_origin, round(abs_time, 4) AS abs_time, round({_unsigned("payload", "1", 4)} / 1e6, 6) AS voltage,
-  round({_unsigned("payload", "5", 4)} / 100e0, 6) AS cycles, round({_unsigned("payload", "9", 4)} / 256e0, 6) AS charge
+SELECT seq, packet_origin, abs_time, {_unsigned("payload", "1", 4)} / 1e6 AS voltage,
+  {_unsigned("payload", "5", 4)} / 100e0 AS cycles, {_unsigned("payload", "9", 4)} / 256e0 AS charge
 FROM classified WHERE reject_reason IS NULL AND packet_type_name = 'Remote Info Message' AND packet_length >= 13
   AND substr(payload, 1, 2) = '00'"""
 )
@@ -346,14 +349,14 @@ def q_battery(spark, sf_dir):
     return decode.decode_battery(events.select("seq", "packet_origin", "timestamp", "packet")).select(
         "seq",
         "packet_origin",
-        F.round("timestamp", 4).alias("abs_time"),
-        F.round(value[0], 6).alias("voltage"),
-        F.round(value[1], 6).alias("cycles"),
-        F.round(value[2], 6).alias("charge"),
+        F.col("timestamp").alias("abs_time"),
+        value[0].alias("voltage"),
+        value[1].alias("cycles"),
+        value[2].alias("charge"),
     )
 
 
-_SAMPLE_COUNTS = "(VALUES ('Abs. baros', 'Baros_P', 1, 0.01), ('Abs. baros', 'Baros_T', 1, 0.01), ('Diff. baros', 'Diff_Baros', 24, 0.001), ('Mic 0', 'Mics', 8, 1/15625e0), ('IMU Accel', 'Acc', 40, 0.01), ('IMU Gyro', 'Gyro', 40, 0.01), ('IMU Magnetometer', 'Mag', 40, 0.08), ('Constat', 'Constat', 24, 0.045)) k(packet_name, sensor_name, samples, period)"
+_SAMPLE_COUNTS = "(VALUES ('Abs. baros', 'Baros_P', 1, 1 / 100e0), ('Abs. baros', 'Baros_T', 1, 1 / 100e0), ('Diff. baros', 'Diff_Baros', 24, 1 / 1000e0), ('Mic 0', 'Mics', 8, 1 / 15625e0), ('IMU Accel', 'Acc', 40, 1 / 100e0), ('IMU Gyro', 'Gyro', 40, 1 / 100e0), ('IMU Magnetometer', 'Mag', 40, 1 / 12.5e0), ('Constat', 'Constat', 24, 45 / 1000e0)) k(packet_name, sensor_name, samples, period)"
 
 
 @query(
@@ -365,7 +368,7 @@ stamped AS (SELECT packet_origin AS node_id, sensor_name, packet_timestamp, abs_
   SELECT packet_origin, 'battery_info', packet_timestamp, abs_time FROM classified
   WHERE reject_reason IS NULL AND packet_type_name = 'Remote Info Message' AND packet_length >= 13 AND substr(payload, 1, 2) = '00')
 SELECT node_id, sensor_name, CAST(floor(packet_timestamp / 600) AS BIGINT) AS window_index, count(*) AS samples,
-  round(min(sample_time), 3) AS first_time, round(max(sample_time), 3) AS last_time
+  min(sample_time) AS first_time, max(sample_time) AS last_time
 FROM stamped GROUP BY ALL"""
 )
 def q_telemetry(spark, sf_dir):
@@ -377,8 +380,8 @@ def q_telemetry(spark, sf_dir):
         "node_id", "sensor_name", F.floor(F.col("packet_timestamp") / 600).alias("window_index")
     ).agg(
         F.count("*").alias("samples"),
-        F.round(F.min("sample_time"), 3).alias("first_time"),
-        F.round(F.max("sample_time"), 3).alias("last_time"),
+        F.min("sample_time").alias("first_time"),
+        F.max("sample_time").alias("last_time"),
     )
 
 
@@ -451,8 +454,8 @@ def q_ticks(spark, sf_dir):
 
 
 @query(
-    """SELECT vec_id, CAST(i AS INTEGER) AS position, round(vec_id * 0.5 + i * 0.01, 6) AS forward_time,
-  round(vec_id * 0.5 - (64 - i) * 0.01, 6) AS backward_time, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value
+    """SELECT vec_id, CAST(i AS INTEGER) AS position, vec_id * 0.5e0 + i * 0.01e0 AS forward_time,
+  vec_id * 0.5e0 - (64 - i) * 0.01e0 AS backward_time, CAST(embedding[i + 1] AS DOUBLE) AS value
 FROM embeddings, range(64) r(i)"""
 )
 def q_sample_times(spark, sf_dir):
@@ -469,9 +472,9 @@ def q_sample_times(spark, sf_dir):
     return both.select(
         "vec_id",
         "position",
-        F.round("forward_time", 6).alias("forward_time"),
-        F.round("sample_time", 6).alias("backward_time"),
-        F.round(F.col("value").cast("double"), 6).alias("value"),
+        "forward_time",
+        F.col("sample_time").alias("backward_time"),
+        F.col("value").cast("double").alias("value"),
     )
 
 
@@ -486,7 +489,7 @@ SLACK_SECONDS = 3000.0
 
 @query(
     f"""WITH {GAP_PACKETS}
-SELECT seq, packet_origin, sensor_name, t AS node_ticks, round((t - b - {_STEP}) / 65536e0, 4) AS gap_seconds FROM n"""
+SELECT seq, packet_origin, sensor_name, t AS node_ticks, (t - b - {_STEP}) / 65536e0 AS gap_seconds FROM n"""
 )
 def q_gap_lag(spark, sf_dir):
     """Plain gaps between consecutive packets."""
@@ -498,7 +501,7 @@ def q_gap_lag(spark, sf_dir):
         "packet_origin",
         "sensor_name",
         "node_ticks",
-        F.round(F.col("gap") / cat.NODE_CLOCK_HZ, 4).alias("gap_seconds"),
+        (F.col("gap") / cat.NODE_CLOCK_HZ).alias("gap_seconds"),
     )
 
 

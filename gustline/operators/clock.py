@@ -12,16 +12,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustline import catalogue as cat
 from gustline.functions import binary
 from gustline.operators.ordered import BLOCK_ROWS, asof_join, last_rows, ordinals, rolling, running_totals
-from gustline.session import cut_lineage
+from gustline.session import cut_lineage, literal_table
 
 KEYS = ["session_id", "packet_origin"]
 _NO_DEFINITION = -1
+# names of handle maps that belong to no single origin
+_DEFAULT, _DEFINED = "(default)", "(defined)"
 CONTROL_COLUMNS = [*KEYS, "seq", "definition_seq", "handle_start", "entry"]
 
 
@@ -48,32 +50,33 @@ class HandleMaps:
         return sorted({t for table in self.tables().values() for t, name in table.items() if name == cat.CONSTAT})
 
 
-def _lookup(table: dict[int, str], key: Column) -> Column:
-    if not table:
-        return F.lit(None).cast("string")
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]), key)
+def _handle_table(spark: SparkSession, handles: HandleMaps) -> DataFrame:
+    """All maps as rows (map, number, name); bounded by 256 type numbers per map."""
+    rows = [(_DEFINED, 2 * (i + 1), name) for i, name in enumerate(cat.PACKET_NAMES)]
+    for origin, table in handles.tables().items():
+        rows += [(_DEFAULT if origin is None else origin, number, name) for number, name in sorted(table.items())]
+    return literal_table(spark, rows, "_map string, _number int, packet_type_name string")
 
 
-def initial_type_name(origin: Column, packet_type: Column, handles: HandleMaps) -> Column:
-    tables = handles.tables()
-    name = _lookup(tables.pop(None), packet_type)
-    for node, table in tables.items():
-        name = F.when(origin == node, _lookup(table, packet_type)).otherwise(name)
-    return name
+def with_type_name(packets: DataFrame, handles: HandleMaps = HandleMaps()) -> DataFrame:
+    """Adds ``packet_type_name``, null for unknown types.
 
-
-def defined_type_name(packet_type: Column, handle_start: Column) -> Column:
-    """Name under a handle definition: the names sit at even distances above its start."""
-    distance = packet_type - handle_start
-    names = F.array(*[F.lit(n) for n in cat.PACKET_NAMES])
-    known = (distance % 2 == 0) & distance.between(2, 2 * len(cat.PACKET_NAMES))
-    return F.when(known, F.element_at(names, F.when(known, (distance / 2).cast("int")).otherwise(1)))
-
-
-def type_name(origin: Column, packet_type: Column, handle_start: Column, handles: HandleMaps) -> Column:
-    return F.when(handle_start.isNull(), initial_type_name(origin, packet_type, handles)).otherwise(
-        defined_type_name(packet_type, handle_start)
+    Under a handle definition the names sit at even distances above its start;
+    before the first one, the origin's initial map applies.
+    """
+    own = sorted(origin for origin in handles.tables() if origin is not None)
+    initial = F.when(F.col("packet_origin").isin(own), F.col("packet_origin")).otherwise(_DEFAULT)
+    defined = F.col("handle_start").isNotNull()
+    keyed = packets.select(
+        "*",
+        F.when(defined, _DEFINED).otherwise(initial).alias("_map"),
+        F.when(defined, F.col("packet_type") - F.col("handle_start"))
+        .otherwise(F.col("packet_type"))
+        .cast("int")
+        .alias("_number"),
     )
+    table = F.broadcast(_handle_table(packets.sparkSession, handles))
+    return keyed.join(table, ["_map", "_number"], "left").drop("_map", "_number")
 
 
 def node_ticks(endian: str = "little") -> Column:
@@ -155,15 +158,14 @@ def control_entries(
 
     # a packet type is one byte, so this side has at most 256 rows
     possible = known.select((F.col("handle_start") + cat.CONSTAT_HANDLE_DISTANCE).cast("int").alias("packet_type"))
-    initial = packets.sparkSession.createDataFrame([(t,) for t in handles.constat_types()], "packet_type int")
+    initial = literal_table(packets.sparkSession, [(t,) for t in handles.constat_types()], "packet_type int")
     candidates = (
         packets.where((F.col("packet_type") != cat.HANDLE_DEFINITION_TYPE) & F.col("node_ticks").isNotNull())
         .select(*KEYS, "seq", "packet_type", "packet_timestamp", "node_ticks")
         .join(F.broadcast(possible.unionByName(initial).distinct()), "packet_type", "left_semi")
     )
-    named = asof_join(candidates, known, KEYS, "seq", ["definition_seq", "handle_start"], block_rows).where(
-        type_name(F.col("packet_origin"), F.col("packet_type"), F.col("handle_start"), handles) == cat.CONSTAT
-    )
+    placed = asof_join(candidates, known, KEYS, "seq", ["definition_seq", "handle_start"], block_rows)
+    named = with_type_name(placed, handles).where(F.col("packet_type_name") == cat.CONSTAT)
     constats = named.select(
         *KEYS,
         "seq",
@@ -209,13 +211,11 @@ def align_with_entries(
     aligned = asof_join(data, timeline, KEYS, "seq", ["handle_start", "time_offset"], block_rows)
     on_node_clock = F.col("node_ticks") / F.lit(cat.NODE_CLOCK_HZ) + F.col("time_offset")
     full = F.col("packet_length") == cat.FULL_PACKET_BYTES
-    return aligned.select(
+    return with_type_name(aligned, handles).select(
         *data.columns,
         "handle_start",
         "time_offset",
-        type_name(F.col("packet_origin"), F.col("packet_type"), F.col("handle_start"), handles).alias(
-            "packet_type_name"
-        ),
+        "packet_type_name",
         F.when(full, on_node_clock).otherwise(F.col("packet_timestamp")).alias("timestamp"),
     )
 

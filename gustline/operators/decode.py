@@ -217,27 +217,36 @@ def _check_keys(chosen: Sequence[Layout]) -> None:
             raise ValueError(f"node {node!r} overrides layouts but lacks {sorted(missing)}")
 
 
-def min_bytes_column(chosen: Sequence[Layout]) -> Column:
-    """Shortest acceptable payload for the row's packet type, null where there is no layout."""
-    result = F.lit(None).cast("int")
-    for node in sorted({l.node_id for l in chosen}, key=lambda n: n is not None):
-        for name in sorted({l.packet_type_name for l in chosen if l.node_id == node}):
-            need = max(l.min_bytes for l in chosen if l.node_id == node and l.packet_type_name == name)
-            hit = F.col("packet_type_name") == name
-            hit = hit if node is None else hit & (F.col("packet_origin") == node)
-            result = F.when(hit, F.lit(need)).otherwise(result)
-    return result
-
-
-def decode_packets(packets: DataFrame, chosen: Sequence[Layout] | None = None) -> DataFrame:
+def min_bytes(chosen: Sequence[Layout]) -> dict[tuple[str, str | None], int]:
+    """Shortest acceptable payload per packet name and overriding node (None: all others)."""
+    needed: dict[tuple[str, str | None], int] = {}
+    for layout in chosen:
+        key = (layout.packet_type_name, layout.node_id)
+        needed[key] = max(needed.get(key, 0), layout.min_bytes)
+    return needed
+
+
+def decode_packets(
+    packets: DataFrame,
+    chosen: Sequence[Layout] | None = None,
+    decodable: Column | None = None,
+    instead: Column | None = None,
+) -> DataFrame:
     """One row per sample instant: all packet columns but the payload, plus sensor_name, position, sensor_value.
 
     Rows must carry ``packet_type_name`` and a payload of at least the layout's
-    length; ``operators.routing.classify`` rejects the others.
+    length; ``operators.routing.classify`` rejects the others.  With
+    ``decodable`` only those rows go to the decoder, and the rest give the
+    samples of ``instead`` (an array like SAMPLE_TYPE, or null).
     """
     chosen = list(chosen) if chosen is not None else layouts()
     _check_keys(chosen)
-    decoded = _decoder(chosen)(F.col("packet_type_name"), F.col("packet_origin"), F.col("packet"))
+    name, payload = F.col("packet_type_name"), F.col("packet")
+    if decodable is not None:
+        name, payload = F.when(decodable, name), F.when(decodable, payload)
+    decoded = _decoder(chosen)(name, F.col("packet_origin"), payload)
+    if instead is not None:
+        decoded = F.coalesce(instead, decoded)
     kept = [c for c in packets.columns if c != "packet"]
     return packets.select(*kept, decoded.alias("_samples")).select(*kept, F.inline("_samples"))
 
@@ -274,18 +283,23 @@ def decode_natively(packets: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
-    """Battery packets (after the event code byte): voltage, cycle count, state of charge."""
+def battery_sample(endian: str = "little") -> Column:
+    """The one sample of a battery packet (after its code byte): voltage, cycle count, state of charge."""
     word = lambda offset: binary.unsigned_int(F.col("packet"), offset, 4, endian)
-    kept = [c for c in packets.columns if c != "packet"]
-    return packets.select(
-        *kept,
-        F.lit("battery_info").alias("sensor_name"),
-        F.lit(0).alias("position"),
-        F.array(word(1) / 1e6, word(5) / 100.0, word(9) / 256.0).alias("sensor_value"),
+    return F.array(
+        F.struct(
+            F.lit("battery_info").alias("sensor_name"),
+            F.lit(0).alias("position"),
+            F.array(word(1) / 1e6, word(5) / 100.0, word(9) / 256.0).alias("sensor_value"),
+        )
     )
 
 
+def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
+    kept = [c for c in packets.columns if c != "packet"]
+    return packets.select(*kept, F.inline(battery_sample(endian)))
+
+
 def decode_time_sync(packets: DataFrame, endian: str = "little") -> DataFrame:
     """Time synchronisation dumps: (kind, position, value) rows; kinds other than 0-4 give no rows."""
     kind = binary.unsigned_int(F.col("packet"), 1, 4, endian)

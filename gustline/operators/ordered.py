@@ -54,21 +54,19 @@ def asof_join(
     facts = right.select(*keys, order, packed.alias("_right")).withColumn(_BLOCK, block_of(order, block_rows))
     rows = left.withColumn(_BLOCK, block_of(order, block_rows))
 
+    # left rows only name their block, right rows also bring their values; one map-side combined aggregate takes both.
     # one max_by per column, not one of a struct: fixed-width buffers keep this a hash aggregate
-    tails = (
-        right.withColumn(_BLOCK, block_of(order, block_rows))
-        .groupBy(*keys, _BLOCK)
-        .agg(F.max(order).alias("_at"), *[F.max_by(v, order).alias(v) for v in values if v not in keys])
-        .select(*keys, _BLOCK, F.struct(F.col("_at").alias(order), packed.alias("_right")).alias("_tail"))
-    )
-    present = rows.select(*keys, _BLOCK).distinct()
+    own = [v for v in values if v not in keys and v != order]
+    given = right.withColumn(_BLOCK, block_of(order, block_rows)).select(*keys, _BLOCK, order, *own)
     carried = (
-        _stack([present, tails])
+        _stack([rows.select(*keys, _BLOCK), given])
         .groupBy(*keys, _BLOCK)
-        .agg(F.first("_tail", ignorenulls=True).alias("_tail"))
+        .agg(F.max(order).alias("_at"), *[F.max_by(v, order).alias(v) for v in own])
+        .withColumn(order, F.col("_at"))
+        .select(*keys, _BLOCK, F.when(F.col("_at").isNotNull(), F.struct("_at", packed.alias("_right"))).alias("_tail"))
         .withColumn("_carry", F.last("_tail", ignorenulls=True).over(_before(keys)))
         .where(F.col("_carry").isNotNull())
-        .select(*keys, _BLOCK, F.col("_carry").getField(order).alias(order), F.col("_carry._right").alias("_right"))
+        .select(*keys, _BLOCK, F.col("_carry._at").alias(order), F.col("_carry._right").alias("_right"))
     )
     everything = _stack(
         [rows.withColumn(_SIDE, F.lit(1)), facts.withColumn(_SIDE, F.lit(0)), carried.withColumn(_SIDE, F.lit(0))]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -41,6 +44,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table written out in code, kept in the plan itself (no Python worker, no job to read it)."""
+    parsed = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in parsed]
+    arrays = [pa.array(list(column), type=to_arrow_type(f.dataType)) for column, f in zip(columns, parsed)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=parsed.names), parsed)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever they run."""
     import pathlib

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustline import catalogue as cat
-from gustline.session import broadcast_if_small, cut_lineage
+from gustline.session import broadcast_if_small, cut_lineage, literal_table
 
 STATES = 258
 LENGTH_DUE, HEADER_DUE = 256, 257
@@ -56,7 +56,7 @@ def leading_bytes(
     """Leading byte of every origin; a node whose byte equals the base station's takes it over."""
     origins = {packet_key: cat.BASE_STATION_ID}
     origins.update({packet_key_offset + int(node): str(node) for node in node_ids})
-    return spark.createDataFrame(sorted(origins.items()), "leading_byte int, packet_origin string")
+    return literal_table(spark, sorted(origins.items()), "leading_byte int, packet_origin string")
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:

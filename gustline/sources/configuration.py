@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gustline import catalogue as cat
 from gustline.functions import text
 from gustline.operators.sensors import expand_constants
+from gustline.session import literal_table
 
 SECTIONS = ["gateway", "nodes", "measurement_campaign"]
 GATEWAY_SCHEMA = (
@@ -51,7 +52,7 @@ def read_configurations(spark: SparkSession, path: str) -> DataFrame:
 def default_configuration(spark: SparkSession) -> DataFrame:
     """What stands in for an absent configuration file: every default, one node ``0``."""
     document = '{"gateway": {}, "nodes": {"0": {}}, "measurement_campaign": {}}'
-    return spark.createDataFrame([("default", document)], "path string, document string")
+    return literal_table(spark, [("default", document)], "path string, document string")
 
 
 @dataclass(frozen=True)
