@@ -36,12 +36,9 @@ def with_window_number(df: DataFrame, time: str, size: float, starts: DataFrame
 
 def window_totals(df: DataFrame, time: Column, size: str, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     """Aggregates per event-time window and key; ``time`` is a timestamp and ``size`` an interval text."""
-    return (
-        df.groupBy(F.window(time, size).alias("window"), *keys)
-        .agg(*aggregates)
-        .select(F.col("window.start").alias("window_start"), *keys, "*")
-        .drop("window")
-    )
+    totals = df.groupBy(F.window(time, size).alias("window"), *keys).agg(*aggregates)
+    kept = [c for c in totals.columns if c != "window"]
+    return totals.select(F.col("window.start").alias("window_start"), *kept)
 
 
 def arrival_windows(
@@ -77,11 +74,11 @@ def window_documents(
         .withColumn("points", F.col("points.point"))
     )
     by_node = per_sensor.groupBy("session_id", "window_number", "part", "node_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("sensor_name", "points")))).alias("sensors")
+        F.map_from_entries(F.collect_list(F.struct("sensor_name", "points"))).alias("sensors")
     )
     return (
         by_node.groupBy("session_id", "window_number", "part")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "sensors")))).alias("window"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("node_id", "sensors"))).alias("window"))
         .select("session_id", "window_number", "part", F.to_json("window").alias("document"))
     )
 

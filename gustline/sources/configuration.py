@@ -224,7 +224,7 @@ def to_documents(configuration: Configuration) -> DataFrame:
         .join(constants, ["path", "node_id"], "left")
         .select("path", "node_id", F.struct(*node_fields, periods.alias("periods")).alias("node"))
         .groupBy("path")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "node")))).alias("nodes"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("node_id", "node"))).alias("nodes"))
     )
     gateways = configuration.gateways.select("path", F.struct(*gateway_fields).alias("gateway"))
     campaigns = configuration.campaigns.select(
