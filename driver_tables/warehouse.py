@@ -75,14 +75,14 @@ def q_arrival_windows(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return telemetry.samples_to_documents(samples_from_events(table(spark, sf_dir, "events")), 86400, part_samples=16)
+    return telemetry.samples_to_documents(samples_from_events(table(spark, sf_dir, "events")), 86400, packets_per_part=64)
 
 
 @query(
     f"""WITH s AS (SELECT CAST(user_id % 6 AS VARCHAR) AS node_id, {SENSOR_CASE} AS sensor_name, event_id, epoch_us(ts) / 1e6 AS t, value,
   CAST(floor((epoch_us(ts) / 1e6 - {_START}) / 86400e0) AS BIGINT) AS window_number, CAST(user_id AS DOUBLE) AS u FROM events),
-n AS (SELECT *, row_number() OVER (PARTITION BY window_number, node_id, sensor_name ORDER BY event_id) - 1 AS rn FROM s)
-SELECT window_number, rn // 16 AS part, node_id, sensor_name, CAST(rn % 16 AS INTEGER) AS position, t AS sample_time, value AS v0, u AS v1 FROM n"""
+n AS (SELECT *, event_id // 64 AS part, row_number() OVER (PARTITION BY window_number, node_id, sensor_name, event_id // 64 ORDER BY event_id) - 1 AS rn FROM s)
+SELECT window_number, part, node_id, sensor_name, CAST(rn AS INTEGER) AS position, t AS sample_time, value AS v0, u AS v1 FROM n"""
 )
 def q_window_json(spark, sf_dir):
     """Window documents, written out as JSON and read back."""
@@ -135,8 +135,8 @@ def q_sensor_data_long(spark, sf_dir):
 
 _MIC_ROWS = f"""n AS (SELECT epoch_us(ts) AS us, value, CAST(user_id % 6 AS VARCHAR) AS node_id, event_id,
   CAST(floor((epoch_us(ts) / 1e6 - {_START}) / 86400e0) AS BIGINT) AS window_number FROM events WHERE event_type = 'view'),
-r AS (SELECT *, row_number() OVER (PARTITION BY window_number, node_id ORDER BY event_id) - 1 AS rn FROM n),
-m AS (SELECT *, 'events/window-' || window_number || '-' || (rn // 16) || '.json' AS window_path FROM r)"""
+r AS (SELECT *, event_id // 64 AS part, row_number() OVER (PARTITION BY window_number, node_id, event_id // 64 ORDER BY event_id) - 1 AS rn FROM n),
+m AS (SELECT *, 'events/window-' || window_number || '-' || part || '.json' AS window_path FROM r)"""
 
 
 def _microphones(spark, sf_dir):
@@ -148,7 +148,7 @@ def _microphones(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MIC_ROWS} SELECT window_path, node_id, CAST(rn % 16 AS INTEGER) AS position, us / 1e6 AS sample_time, value AS v0 FROM m"""
+    f"""WITH {_MIC_ROWS} SELECT window_path, node_id, CAST(rn AS INTEGER) AS position, us / 1e6 AS sample_time, value AS v0 FROM m"""
 )
 def q_mic_split(spark, sf_dir):
     """Microphone rows split off their windows."""
@@ -428,8 +428,8 @@ def q_ingest_campaigns(spark, sf_dir):
 @query(
     f"""WITH s AS (SELECT CAST(user_id % 6 AS VARCHAR) AS node_id, {SENSOR_CASE} AS sensor_name, event_id,
   CAST(floor((epoch_us(ts) / 1e6 - {_START}) / 86400e0) AS BIGINT) AS window_number FROM events),
-n AS (SELECT *, row_number() OVER (PARTITION BY window_number, node_id, sensor_name ORDER BY event_id) - 1 AS rn FROM s)
-SELECT 'events/window-' || window_number || '-' || (rn // 16) || '.json' AS window_path, node_id,
+n AS (SELECT *, event_id // 64 AS part FROM s)
+SELECT 'events/window-' || window_number || '-' || part || '.json' AS window_path, node_id,
   count_if(sensor_name IN ('Acc', 'Baros_P')) AS rows, count_if(sensor_name IN ('Acc', 'Baros_P')) = 0 AS empty FROM n GROUP BY ALL"""
 )
 def q_inserted_per_node(spark, sf_dir):
@@ -565,30 +565,38 @@ def q_config_defaults(spark, sf_dir):
 
 # --- streams --------------------------------------------------------------------------------------------------
 
-STREAM_FILES = 3
+SLICES = 3
 
 
-def _staged_stream(spark, rows, name):
-    """The rows as a file stream of several micro-batches in ``seq`` order; every row is in it."""
+def _stream_in_slices(spark, rows, name, handler):
+    """Feeds all rows to a stream in ``seq`` order: a slice is written, drained, and the query stops and resumes."""
     base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    handle = handler(base)
     bounds = rows.agg(F.max("seq")).first()[0] + 1
-    for i in range(STREAM_FILES):
-        low, high = bounds * i // STREAM_FILES, bounds * (i + 1) // STREAM_FILES
-        rows.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    return base, stream
+    for i in range(SLICES):
+        low, high = bounds * i // SLICES, bounds * (i + 1) // SLICES
+        rows.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        batches.for_each_batch(stream, handle, f"{base}/checkpoint").awaitTermination()
+    return base
+
+
+def _keep(base):
+    def write(rows, number):
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    return write
 
 
 @query(f"WITH {ALIGNED} SELECT seq, packet_origin, packet_type_name, time_offset, abs_time FROM aligned")
 def q_stream_offsets(spark, sf_dir):
     """Clock and handle tracking over micro-batches."""
-    base, stream = _staged_stream(spark, packets_from_events(table(spark, sf_dir, "events")), "align")
-
-    def write(aligned, number):
-        aligned.drop("packet").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    handle = batches.align_stream(f"{base}/state", write, block_rows=BLOCK_ROWS)
-    batches.for_each_batch(stream, handle, f"{base}/checkpoint").awaitTermination()
+    base = _stream_in_slices(
+        spark,
+        packets_from_events(table(spark, sf_dir, "events")),
+        "align",
+        lambda base: batches.align_stream(f"{base}/state", _keep(base), block_rows=BLOCK_ROWS),
+    )
     return spark.read.parquet(f"{base}/out").select(
         "seq", "packet_origin", "packet_type_name", "time_offset", F.col("timestamp").alias("abs_time")
     )
@@ -601,13 +609,12 @@ def q_stream_gaps(spark, sf_dir):
     """Lost packets over micro-batches."""
     from driver_tables.adapters import sensor_packets_from_events
 
-    base, stream = _staged_stream(spark, sensor_packets_from_events(table(spark, sf_dir, "events")), "gaps")
-
-    def write(found, number):
-        found.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-
-    handle = batches.lost_sets_stream(f"{base}/state", write, SLACK_SECONDS, BLOCK_ROWS)
-    batches.for_each_batch(stream, handle, f"{base}/checkpoint").awaitTermination()
+    base = _stream_in_slices(
+        spark,
+        sensor_packets_from_events(table(spark, sf_dir, "events")),
+        "gaps",
+        lambda base: batches.lost_sets_stream(f"{base}/state", _keep(base), SLACK_SECONDS, BLOCK_ROWS),
+    )
     return spark.read.parquet(f"{base}/out").select(
         "seq", "packet_origin", "sensor_name", "packet_ordinal", "lost", F.round("gap_ms", 3).alias("gap_ms")
     )
@@ -625,10 +632,13 @@ def q_stream_windows(spark, sf_dir):
         (F.col("user_id") % 6).cast("string").alias("node_id"),
         F.round(F.col("value") * 100).cast("bigint").alias("cents"),
     )
-    base, stream = _staged_stream(spark, rows, "windows")
-    handle = batches.window_totals_stream(
-        f"{base}/totals", f"{base}/late", f"{base}/state", "ts", "cents", "600 seconds", 3600.0, ["node_id"]
+    base = _stream_in_slices(
+        spark,
+        rows,
+        "windows",
+        lambda base: batches.window_totals_stream(
+            f"{base}/totals", f"{base}/late", f"{base}/state", "ts", "cents", "600 seconds", 3600.0, ["node_id"]
+        ),
     )
-    batches.for_each_batch(stream, handle, f"{base}/checkpoint").awaitTermination()
     merged = batches.merged_totals(spark.read.parquet(f"{base}/totals"), ["node_id"])
     return merged.select(F.unix_micros("window_start").alias("window_start_us"), "node_id", "n", "total")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import text
 from gustline.operators import validation
+from gustline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -95,8 +96,10 @@ def deduplicate_configurations(incoming: DataFrame, existing: DataFrame) -> Conf
         F.min_by("gateway_configuration", "ingest_seq").alias("gateway_configuration"),
     )
     known = existing.groupBy("nodes_configuration_hash").agg(F.min("id").alias("_known"))
-    resolved = firsts.join(known, "nodes_configuration_hash", "left").withColumn(
-        "id", F.coalesce("_known", text.content_uuid(F.col("nodes_configuration_hash")))
+    resolved = cut_lineage(
+        firsts.join(known, "nodes_configuration_hash", "left").withColumn(
+            "id", F.coalesce("_known", text.content_uuid(F.col("nodes_configuration_hash")))
+        )
     )
     new = resolved.where(F.col("_known").isNull()).select(
         "id",

@@ -8,17 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gustline.operators.gaps import held_values
-from gustline.operators.ordered import BLOCK_ROWS, ordinals, running_totals
+from gustline.operators.ordered import BLOCK_ROWS, block_of, running_totals
 from gustline.session import broadcast_if_small
 
-SAMPLES_PER_PART = 5_000
-# a payload has at most 255 bytes, hence fewer samples than this
-_MAX_SAMPLES = 256
-
-
-def sample_seq() -> Column:
-    """Arrival order of samples: unique per session, origin and sensor."""
-    return F.col("seq") * _MAX_SAMPLES + F.col("position")
+PACKETS_PER_PART = 1 << 15
 
 
 def with_window_number(df: DataFrame, time: str, size: float, starts: DataFrame | None = None) -> DataFrame:
@@ -54,33 +47,33 @@ def arrival_windows(
     )
 
 
-def window_documents(
-    samples: DataFrame, part_samples: int = SAMPLES_PER_PART, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """One JSON document ``{node: {sensor: [[time, v0, ...], ...]}}`` per session, window and part.
+def window_documents(samples: DataFrame, packets_per_part: int = PACKETS_PER_PART) -> DataFrame:
+    """JSON documents ``{node: {sensor: [[time, v0, ...], ...]}}`` per session, window and part.
 
-    Needs session_id, window_number, node_id, sensor_name, sample_seq,
-    sample_time and sensor_value.  A part holds at most ``part_samples``
-    consecutive samples of each sensor, so no document grows with its window;
-    small windows are one part.
+    Needs session_id, window_number, node_id, sensor_name, seq, position,
+    sample_time and sensor_value.  A part covers ``packets_per_part`` successive
+    arrival numbers, so no document grows with its window or its busiest sensor.
+    Samples are shuffled once: nodes and sensors of a part meet in one task.
     """
-    series = ["session_id", "window_number", "node_id", "sensor_name"]
-    numbered = ordinals(samples, series, "sample_seq", "_ordinal", block_rows * _MAX_SAMPLES)
+    document = ["session_id", "window_number", "part"]
     point = F.concat(F.array(F.col("sample_time")), F.col("sensor_value"))
-    per_sensor = (
-        numbered.withColumn("part", F.floor((F.col("_ordinal") - 1) / F.lit(part_samples)).cast("bigint"))
-        .groupBy(*series, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_ordinal", point.alias("point")))).alias("points"))
-        .withColumn("points", F.col("points.point"))
+    placed = samples.select(
+        *[c for c in document if c != "part"],
+        block_of("seq", packets_per_part).alias("part"),
+        "node_id",
+        "sensor_name",
+        F.struct("seq", "position", point.alias("point")).alias("entry"),
+    ).repartition(*document)
+    per_sensor = placed.groupBy(*document, "node_id", "sensor_name").agg(
+        F.array_sort(F.collect_list("entry")).getField("point").alias("points")
     )
-    by_node = per_sensor.groupBy("session_id", "window_number", "part", "node_id").agg(
+    by_node = per_sensor.groupBy(*document, "node_id").agg(
         F.map_from_entries(F.collect_list(F.struct("sensor_name", "points"))).alias("sensors")
     )
-    return (
-        by_node.groupBy("session_id", "window_number", "part")
-        .agg(F.map_from_entries(F.collect_list(F.struct("node_id", "sensors"))).alias("window"))
-        .select("session_id", "window_number", "part", F.to_json("window").alias("document"))
+    whole = by_node.groupBy(*document).agg(
+        F.map_from_entries(F.collect_list(F.struct("node_id", "sensors"))).alias("window")
     )
+    return whole.select(*document, F.to_json("window").alias("document"))
 
 
 def stored_totals(stored: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
