@@ -154,8 +154,10 @@ def rolling(
     ``size - 1`` rows of a block are copied into the next as its look-back.
     """
     numbered = ordinals(df, keys, order, "_ordinal", block_rows)
-    own = F.floor((F.col("_ordinal") - 1) / F.lit(block_rows)).cast("bigint")
-    left_in_block = F.lit(block_rows) - (F.col("_ordinal") - 1) % F.lit(block_rows)
+    # a block is at least as long as the frame, so a row's look-back starts no earlier than the block before
+    length = F.lit(max(block_rows, size))
+    own = F.floor((F.col("_ordinal") - 1) / length).cast("bigint")
+    left_in_block = length - (F.col("_ordinal") - 1) % length
     homes = F.when(left_in_block < size, F.array(own, own + 1)).otherwise(F.array(own))
     frame = _within(keys, "_ordinal").rowsBetween(-(size - 1), 0)
     return (
