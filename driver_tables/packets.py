@@ -433,9 +433,8 @@ def q_time_sync_cut(spark, sf_dir):
             _hashes("o_orderkey", 16),
         ).alias("packet"),
     )
-    words = decode.decode_time_sync(packets).where("kind = 1")
-    words = words.withColumn("word_seq", F.col("seq") * 64 + F.col("position"))
-    return decode.keep_first_central_words(words, ["device"], "word_seq").select("seq", "device", "position", "value")
+    words = decode.decode_time_sync(packets, central_limit=187, keys=["device"])
+    return words.where("kind = 1").select("seq", "device", "position", "value")
 
 
 @query(

@@ -6,8 +6,11 @@ bytes, battery words); whole sample blocks go through ``operators.decode``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _hex_digits(payload: Column, offset: int, width: int, endian: str) -> Column:
@@ -54,19 +57,30 @@ def whole_unsigned(payload: Column, endian: str = "little", max_bytes: int = 8)
     return branches
 
 
-def word_array(payload: Column, offset: int, count: Column, endian: str = "little", signed: bool = False) -> Column:
-    """``count`` consecutive 32-bit words starting at ``offset``."""
-
-    def word(i: Column) -> Column:
-        start = F.lit(offset) + i * 4
-        order = (4, 3, 2, 1) if endian == "little" else (1, 2, 3, 4)
-        digits = F.concat(*[F.hex(F.substring(payload, start + k, F.lit(1))) for k in order])
-        value = F.conv(digits, 16, 10).cast("bigint")
-        return F.when(value >= F.lit(1 << 31), value - F.lit(1 << 32)).otherwise(value) if signed else value
-
-    return F.when(
-        count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), word)
-    ).otherwise(F.array().cast("array<bigint>"))
+def _words(payloads: pa.Array, offsets: pa.Array, counts: pa.Array, big_endian: pa.Array) -> pa.Array:
+    payloads = payloads.cast(pa.binary())
+    starts = np.frombuffer(payloads.buffers()[1], np.int32)[payloads.offset : payloads.offset + len(payloads) + 1]
+    data = np.frombuffer(payloads.buffers()[2] or b"", np.uint8)
+    wanted = counts.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    from_byte = offsets.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    fitting = np.maximum((np.diff(starts) - from_byte) // 4, 0)
+    wanted = np.minimum(wanted, fitting)
+    bounds = np.concatenate([[0], np.cumsum(wanted)])
+    within = np.arange(bounds[-1]) - np.repeat(bounds[:-1], wanted)
+    at = np.repeat(starts[:-1] + from_byte, wanted) + 4 * within
+    quads = np.ascontiguousarray(data[at[:, None] + np.arange(4)])
+    big = bool(len(big_endian)) and big_endian[0].as_py()
+    values = quads.view(">u4" if big else "<u4").ravel().astype(np.int64)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def word_array(payload: Column, offset: int, count: Column, endian: str = "little") -> Column:
+    """Up to ``count`` consecutive unsigned 32-bit words from ``offset`` on, as many as the payload holds whole.
+
+    Long word dumps are unpacked a batch at a time with numpy.
+    """
+    unpack = F.arrow_udf(_words, T.ArrayType(T.LongType()))
+    return unpack(payload, F.lit(offset), count.cast("int"), F.lit(endian == "big"))
 
 
 def little_endian_bytes(value: Column, width: int) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gustline import catalogue as cat
 from gustline.functions import binary
+from gustline.operators.ordered import running_totals
 
 SAMPLE_TYPE = "array<struct<sensor_name:string,position:int,sensor_value:array<double>>>"
 
@@ -300,23 +301,40 @@ def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
     return packets.select(*kept, F.inline(battery_sample(endian)))
 
 
-def decode_time_sync(packets: DataFrame, endian: str = "little") -> DataFrame:
-    """Time synchronisation dumps: (kind, position, value) rows; kinds other than 0-4 give no rows."""
+def decode_time_sync(
+    packets: DataFrame, endian: str = "little", central_limit: int | None = None, keys: Sequence[str] = ("packet_origin",)
+) -> DataFrame:
+    """Time synchronisation dumps: (kind, position, value) rows; kinds other than 0-4 give no rows.
+
+    ``central_limit`` ends the central dump (kind 1) after so many words in all
+    per key, counted over packets in ``seq`` order before their words are unfolded.
+    """
     kind = binary.unsigned_int(F.col("packet"), 1, 4, endian)
-    count = F.when(kind == 0, 18).when(kind == 1, 60).when(kind.isin(2, 3, 4), 61).otherwise(0)
-    words = binary.word_array(F.col("packet"), 5, count, endian)
+    count = F.when(F.col("kind") == 0, 18).when(F.col("kind") == 1, 60).when(F.col("kind").isin(2, 3, 4), 61).otherwise(0)
+    kept = [c for c in packets.columns if c != "packet"]
+    dumps = packets.withColumn("kind", kind).where(F.col("kind").between(0, 4))
+    words = dumps.select(*kept, "kind", binary.word_array(F.col("packet"), 5, count, endian).alias("words"))
+    if central_limit is not None:
+        words = _cut_central(words, central_limit, keys)
     # the sequence dump ends in three signed words
     signed = F.when(
         (F.col("kind") == 0) & (F.col("position") >= 15) & (F.col("word") >= 1 << 31), F.col("word") - (1 << 32)
     ).otherwise(F.col("word"))
-    kept = [c for c in packets.columns if c != "packet"]
     return (
-        packets.select(*kept, kind.alias("kind"), F.posexplode(words).alias("position", "word"))
+        words.select(*kept, "kind", F.posexplode("words").alias("position", "word"))
         .withColumn("value", signed)
         .drop("word")
     )
 
 
+def _cut_central(words: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame:
+    size = F.size("words").cast("bigint")
+    central = running_totals(words.where("kind = 1"), keys, "seq", {"_so_far": size})
+    left = F.lit(limit) - (F.col("_so_far") - size)
+    cut = central.where(left > 0).withColumn("words", F.slice("words", F.lit(1), F.least(left, size).cast("int")))
+    return words.where("kind <> 1").unionByName(cut.drop("_so_far"))
+
+
 def decode_ticks(packets: DataFrame, endian: str = "little") -> DataFrame:
     """Timestamp packets: each whole 32-bit word of the payload is one tick row."""
     count = F.floor(F.octet_length("packet") / 4)
@@ -337,16 +355,6 @@ def sample_times(samples: DataFrame, timestamp: str, period: str, anchor: str =
     return samples.withColumn("sample_time", time)
 
 
-def keep_first_central_words(time_sync: DataFrame, keys: Sequence[str], order: str, limit: int = 187) -> DataFrame:
-    """The central dump ends after ``limit`` words in all; other kinds are untouched."""
-    from gustline.operators.ordered import running_totals
-
-    counted = running_totals(
-        time_sync, keys, order, {"_words": F.when(F.col("kind") == 1, F.lit(1)).otherwise(F.lit(0))}
-    )
-    return counted.where((F.col("kind") != 1) | (F.col("_words") <= limit)).drop("_words")
-
-
 def calibrate(samples: DataFrame, constants: str = "conversion_constants") -> DataFrame:
     """Channel values divided by their conversion constants (opt-in: raw values are the default everywhere)."""
     return samples.withColumn(

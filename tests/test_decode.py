@@ -116,3 +116,12 @@ def test_sample_times_and_calibration(spark):
     assert decode.sample_times(frame, "timestamp", "period").first().sample_time == 10.5
     assert decode.sample_times(frame, "timestamp", "period", "end").first().sample_time == 8.5
     assert decode.calibrate(frame).first().sensor_value == [1.0, 40.96]
+
+
+def test_central_dump_ends_after_its_limit(spark):
+    payload = lambda kind: bytearray([1]) + struct.pack("<I", kind) + struct.pack("<61I", *range(61))
+    rows = [("a", i, payload(1)) for i in range(5)] + [("b", 9, payload(1)), ("a", 7, payload(2))]
+    frame = spark.createDataFrame(rows, "packet_origin string, seq bigint, packet binary")
+    words = decode.decode_time_sync(frame, central_limit=187)
+    counts = {(r.packet_origin, r.seq): r["count"] for r in words.groupBy("packet_origin", "seq").count().collect()}
+    assert counts == {("a", 0): 60, ("a", 1): 60, ("a", 2): 60, ("a", 3): 7, ("b", 9): 60, ("a", 7): 61}
