@@ -6,10 +6,13 @@ its type the packet type, hashes of its id the payload.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustline.functions import binary
+from gustline.session import ensure_checkpoint_dir
 
 NODES = [str(n) for n in range(6)]
 SENSOR_OF_EVENT = {"click": "Acc", "view": "Mics", "purchase": "Constat", "error": "Baros_P", "signup": "Door"}
@@ -19,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(packets: DataFrame) -> DataFrame:
+    """Stores derived packets as the packet table a real run would read, in the shared folder."""
+    spark = packets.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/packets-{uuid.uuid4().hex}"
+    packets.write.parquet(path)
+    return spark.read.schema(packets.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where a small file would leave most of them idle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def micros(column: str = "ts") -> Column:
     """Microseconds since the epoch of a zone-less timestamp."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
@@ -66,8 +83,8 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         .when(F.col("packet_type") == 58, F.when(event % 11 == 0, 6).otherwise(13))
         .otherwise(244)
     )
-    return (
-        events.withColumn("packet_type", packet_type)
+    return stage(
+        spread(events).withColumn("packet_type", packet_type)
         .withColumn("ticks", ticks)
         .select(
             F.lit("events").alias("session_id"),

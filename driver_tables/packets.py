@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver_tables.adapters import NODES, micros, packets_from_events, sensor_packets_from_events, table
+from driver_tables.adapters import (
+    NODES,
+    _hashes,
+    packets_from_events,
+    sensor_packets_from_events,
+    spread,
+    stage,
+    table,
+)
 from driver_tables.registry import query
 from gustline import catalogue as cat
+from gustline.functions import binary
 from gustline.operators import clock, decode, gaps, routing, sensors
 from gustline.plans import telemetry
 from gustline.sources import captures
@@ -398,13 +407,12 @@ FROM w GROUP BY ALL"""
 )
 def q_time_sync(spark, sf_dir):
     """Time synchronisation dumps, decoded to words and summed per kind and position."""
-    from driver_tables.adapters import _hashes
-    from gustline.functions import binary
-
     kind = binary.little_endian_bytes(F.col("o_orderkey") % 6, 4)
-    packets = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("seq"),
-        F.concat(F.lit(bytes([1])), kind, _hashes("o_orderkey", 16)).alias("packet"),
+    packets = stage(
+        spread(table(spark, sf_dir, "orders")).select(
+            F.col("o_orderkey").alias("seq"),
+            F.concat(F.lit(bytes([1])), kind, _hashes("o_orderkey", 16)).alias("packet"),
+        )
     )
     return (
         decode.decode_time_sync(packets)
@@ -421,17 +429,13 @@ SELECT seq, device, CAST(i AS INTEGER) AS position, v AS value FROM n WHERE rn <
 )
 def q_time_sync_cut(spark, sf_dir):
     """The central dump's first 187 words per device."""
-    from driver_tables.adapters import _hashes
-    from gustline.functions import binary
-
-    packets = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("seq"),
-        (F.col("o_custkey") % 3).alias("device"),
-        F.concat(
-            F.lit(bytes([1])),
-            binary.little_endian_bytes(F.col("o_orderkey") % 6, 4),
-            _hashes("o_orderkey", 16),
-        ).alias("packet"),
+    kind = binary.little_endian_bytes(F.col("o_orderkey") % 6, 4)
+    packets = stage(
+        spread(table(spark, sf_dir, "orders")).select(
+            F.col("o_orderkey").alias("seq"),
+            (F.col("o_custkey") % 3).alias("device"),
+            F.concat(F.lit(bytes([1])), kind, _hashes("o_orderkey", 16)).alias("packet"),
+        )
     )
     words = decode.decode_time_sync(packets, central_limit=187, keys=["device"])
     return words.where("kind = 1").select("seq", "device", "position", "value")
@@ -443,11 +447,11 @@ SELECT seq, CAST(i AS INTEGER) AS position, {_unsigned("h", "4 * i", 4)} AS tick
 )
 def q_ticks(spark, sf_dir):
     """Timestamp packets: whole words of payloads of different length, a trailing part word ignored."""
-    from driver_tables.adapters import _hashes
-
     size = (F.col("c_custkey") % 9 * 4 + 3).cast("int")
-    packets = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("seq"), F.substring(_hashes("c_custkey", 3), F.lit(1), size).alias("packet")
+    packets = stage(
+        spread(table(spark, sf_dir, "customer")).select(
+            F.col("c_custkey").alias("seq"), F.substring(_hashes("c_custkey", 3), F.lit(1), size).alias("packet")
+        )
     )
     return decode.decode_ticks(packets).select("seq", "position", "tick")
 

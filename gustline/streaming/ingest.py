@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,12 +19,17 @@ def new_windows(spark: SparkSession, windows_path: str, max_files_per_trigger: i
     return as_windows(stream.option("recursiveFileLookup", "true").schema("value string").text(windows_path))
 
 
-def ingest_batch(windows_path: str, warehouse: str):
-    """Writer for one micro-batch of windows.  Dimensions get a snapshot per batch, facts a folder per batch."""
+def ingest_batch(windows_path: str, warehouse: str, metadata: Callable[[SparkSession], DataFrame] | None = None):
+    """Writer for one micro-batch of windows.  Dimensions get a snapshot per batch, facts a folder per batch.
+
+    ``metadata`` reads the table (window_path, window_metadata); by default it is read from sidecar files.  The
+    paths of each batch go to ``loaded_windows``: what is staged but not in it can be replayed.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        described = batch.join(read_window_metadata(spark, windows_path), "window_path", "left").persist()
+        known_metadata = metadata(spark) if metadata else read_window_metadata(spark, windows_path)
+        described = batch.join(known_metadata, "window_path", "left").persist()
         try:
             campaigns = sinks.read_table(spark, f"{warehouse}/measurement_campaign", CAMPAIGN_SCHEMA, before=number)
             known = sinks.read_table(spark, f"{warehouse}/configuration", CONFIGURATION_SCHEMA, before=number)
@@ -33,6 +40,7 @@ def ingest_batch(windows_path: str, warehouse: str):
                 result.microphone_samples, f"{warehouse}/microphone/batch={number}", mode="overwrite"
             )
             sinks.write_rows(result.rejects, f"{warehouse}/rejects", number)
+            sinks.write_rows(described.select("window_path").distinct(), f"{warehouse}/loaded_windows", number)
             sinks.write_table(result.campaigns, f"{warehouse}/measurement_campaign", number)
             sinks.write_table(
                 known.unionByName(result.new_configurations), f"{warehouse}/configuration", number

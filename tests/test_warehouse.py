@@ -7,7 +7,7 @@ from gustline.operators import registry, windows
 from gustline.plans import ingest
 from gustline.session import literal_table
 from gustline.sources import sinks
-from gustline.sources.windows import read_window_metadata, read_windows, window_samples
+from gustline.sources.windows import describe_windows, read_window_metadata, read_windows, window_samples
 from gustline.streaming import batches
 from gustline.streaming.ingest import ingest_stream
 
@@ -214,6 +214,8 @@ def test_windows_stream_into_the_warehouse_once(spark, tmp_path):
     campaign = sinks.read_table(spark, f"{warehouse}/measurement_campaign", ingest.CAMPAIGN_SCHEMA).collect()
     assert len(campaign) == 1 and campaign[0].end_time == datetime.datetime(2022, 11, 2, 17)
     assert spark.read.parquet(f"{warehouse}/microphone_data").count() == 1
+    loaded = spark.read.parquet(f"{warehouse}/loaded_windows")
+    assert ingest.unsent_windows(read_windows(spark, str(source)), loaded).count() == 0
     # a retried batch replaces its own output
     from gustline.streaming.ingest import ingest_batch
 
@@ -248,3 +250,11 @@ def test_fan_out_and_watermarked_windows(spark, tmp_path):
     query = totals.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("totals").collect()) == [5, 5]
+
+
+def test_metadata_table_stamps_the_end_time(spark):
+    frame = spark.createDataFrame([("a",), ("a",), ("b",)], "window_path string")
+    rows = describe_windows(frame, F.lit(metadata()), F.lit("2023-01-01 00:00:00").cast("timestamp")).collect()
+    assert sorted(r.window_path for r in rows) == ["a", "b"]
+    campaign = json.loads(rows[0].window_metadata)["measurement_campaign"]
+    assert campaign["end_time"] == "2023-01-01 00:00:00" and campaign["reference"] == "effervescent-slug-of-doom"
