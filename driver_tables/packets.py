@@ -544,7 +544,7 @@ def q_gap_fold(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE {LOST}
-SELECT packet_origin, sensor_name, count(*) AS packets, count_if(lost) AS lost_packets,
+SELECT packet_origin, sensor_name, count(*) AS packets, CAST(count_if(lost) AS BIGINT) AS lost_packets,
   round(coalesce(sum(gap_ms), 0), 2) AS total_gap_ms FROM f GROUP BY ALL"""
 )
 def q_gap_report(spark, sf_dir):

@@ -27,7 +27,7 @@ _START = "(SELECT min(epoch_us(ts)) / 1e6 FROM events)"
 
 @query(
     """SELECT epoch_us(ts) // 600000000 * 600000000 AS window_start_us, CAST(user_id % 6 AS VARCHAR) AS node_id, event_type,
-  count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS total_cents
+  count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents
 FROM events GROUP BY ALL"""
 )
 def q_window_batch(spark, sf_dir):
@@ -430,7 +430,7 @@ def q_ingest_campaigns(spark, sf_dir):
   CAST(floor((epoch_us(ts) / 1e6 - {_START}) / 86400e0) AS BIGINT) AS window_number FROM events),
 n AS (SELECT *, event_id // 64 AS part FROM s)
 SELECT 'events/window-' || window_number || '-' || part || '.json' AS window_path, node_id,
-  count_if(sensor_name IN ('Acc', 'Baros_P')) AS rows, count_if(sensor_name IN ('Acc', 'Baros_P')) = 0 AS empty FROM n GROUP BY ALL"""
+  CAST(count_if(sensor_name IN ('Acc', 'Baros_P')) AS BIGINT) AS rows, count_if(sensor_name IN ('Acc', 'Baros_P')) = 0 AS empty FROM n GROUP BY ALL"""
 )
 def q_inserted_per_node(spark, sf_dir):
     """Rows per window and node, nodes without any included."""

@@ -28,6 +28,10 @@ def rounded(value):
     return float(f"{value:.10g}") if isinstance(value, float) else value
 
 
+def kinds(columns, rows):
+    return {c: {type(r[i]).__name__ for r in rows} - {"NoneType"} for i, c in enumerate(columns)}
+
+
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query_matches_sql(spark, sql, name):
     result = entry_points.queries()[name](spark, SF_DIR)
@@ -40,7 +44,9 @@ def test_query_matches_sql(spark, sql, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == columns
         order = [names.index(c) for c in columns]
-        assert rows == sorted((tuple(rounded(r[i]) for i in order) for r in found.fetchall()), key=str)
+        expected = sorted((tuple(rounded(r[i]) for i in order) for r in found.fetchall()), key=str)
+        assert rows == expected
+        assert kinds(columns, rows) == kinds(columns, expected)
 
 
 def test_entry(spark):
