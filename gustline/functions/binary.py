@@ -79,7 +79,8 @@ def word_array(payload: Column, offset: int, count: Column, endian: str = "littl
 
     Long word dumps are unpacked a batch at a time with numpy.
     """
-    unpack = F.arrow_udf(_words, T.ArrayType(T.LongType()))
+    # declared non-deterministic so that no filter inferred from unfolding the words unpacks a second time
+    unpack = F.arrow_udf(_words, T.ArrayType(T.LongType())).asNondeterministic()
     return unpack(payload, F.lit(offset), count.cast("int"), F.lit(endian == "big"))
 
 

@@ -206,7 +206,8 @@ def _decoder(chosen: Sequence[Layout]):
         return pa.ListArray.from_arrays(pa.array(offsets), samples)
 
     decode.__annotations__ = {"names": pa.Array, "nodes": pa.Array, "packets": pa.Array, "return": pa.Array}
-    return F.arrow_udf(decode, SAMPLE_TYPE)
+    # declared non-deterministic so that no filter inferred from unfolding the samples decodes a second time
+    return F.arrow_udf(decode, SAMPLE_TYPE).asNondeterministic()
 
 
 def _check_keys(chosen: Sequence[Layout]) -> None:
