@@ -61,7 +61,17 @@ def leading_bytes(
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """Capture files; the session is the name of the folder they lie in."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return _as_captures(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def stream_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Capture files as they appear.  Frame each micro-batch in ``foreachBatch``: a session's files must come in one,
+    so move a session folder into place when it is complete."""
+    reader = spark.readStream.format("binaryFile").schema(CAPTURE_SCHEMA)
+    return _as_captures(reader.option("recursiveFileLookup", "true").load(path))
+
+
+def _as_captures(files: DataFrame) -> DataFrame:
     return files.select(
         F.element_at(F.split("path", "/"), -2).alias("session_id"), "path", "modificationTime", "content"
     )

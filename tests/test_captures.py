@@ -5,6 +5,7 @@ from gustline import catalogue as cat
 from gustline.operators import clock, routing, sensors
 from gustline.plans import telemetry
 from gustline.sources import captures
+from gustline.streaming import batches
 
 LEADERS = frozenset([245, 246, 254])
 
@@ -111,3 +112,21 @@ def test_arrival_time_runs_back_from_the_end_of_the_file(spark, tmp_path):
 def test_leading_bytes(spark):
     rows = captures.leading_bytes(spark, ["0", "3"], packet_key=248).collect()
     assert {(r.leading_byte, r.packet_origin) for r in rows} == {(245, "0"), (248, "3")}
+
+
+def test_captures_stream_session_by_session(spark, tmp_path):
+    root, out = tmp_path / "captures", str(tmp_path / "packets")
+    origins = captures.leading_bytes(spark, ["0"])
+
+    def frame_batch(batch, number):
+        framed = captures.frame_captures(batch.persist(), origins)
+        framed.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    for session in ("one", "two"):
+        stream_bytes = packet(0, 56, b"\x01") * 5
+        write(root / session, "a.bin", stream_bytes[:10])
+        write(root / session, "b.bin", stream_bytes[10:])
+        query = batches.for_each_batch(captures.stream_captures(spark, str(root)), frame_batch, str(tmp_path / "cp"))
+        query.awaitTermination()
+    counts = spark.read.parquet(out).groupBy("session_id").count().collect()
+    assert {r.session_id: r["count"] for r in counts} == {"one": 5, "two": 5}
