@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gustline.llm import chunk_dedup
+from gustline.llm import chat_format, chunk_dedup, decontaminate, secret_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,6 +27,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_ESCAPED = "replace(replace(replace(replace({0}, '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3')"
+
+
+@query(
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), marked AS (
+        SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+               AS loss_sha256,
+           sum(length({_ESCAPED.format("text")}) + CASE WHEN before = role THEN length('<+>')
+               ELSE length('<s>[' || {_ESCAPED.format("role")} || ']' || '</s>') END)::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id
+    """
+)
+def op2_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]").alias("text")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+                             F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    extra = spark.range(1).select(F.lit(-1).alias("conv_id"), both.alias("t")).select("conv_id", "t.turn", "t.role", text)
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(extra)))
+
+
 @query(
     """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -35,3 +66,50 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 )
 def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.find_copies(read(spark, sf_dir, "documents"))
+
+
+_SECRET_PATTERNS = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", "AKIA[A-Z0-9]+", 20, 0),
+    ("hex", "[0-9a-f]+", 24, 0),
+]
+_SECRET_MATCHES = " UNION ALL ".join(
+    f"SELECT row, '{kind}' AS kind, {i} AS rank, {least} AS least, string_split_regex(t, '{p}') AS gaps, "
+    f"regexp_extract_all(t, '{p}', 0) AS hits, regexp_extract_all(t, '{p}', {group}) AS counted FROM d"
+    for i, (kind, p, least, group) in enumerate(_SECRET_PATTERNS)
+)
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({_SECRET_MATCHES}),
+    e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+    f AS (
+        SELECT row, kind, rank, length(hits[i]) AS size,
+               list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM e WHERE length(counted[i]) >= least
+    ),
+    g AS (
+        SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+               count(*) FILTER (kind = 'hex') AS n_hex,
+               string_agg(concat_ws(':', kind, start::BIGINT, (start + size)::BIGINT), ',' ORDER BY start, rank) AS spans
+        FROM f GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (row)
+    """
+)
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_ledger.scan_versions(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = secret_ledger.listing(F.col("found"))
+    digest = F.sha2(spans.cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, spans.alias("spans"))
+
+
+@query()
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

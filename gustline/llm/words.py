@@ -106,6 +106,8 @@ def parts(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 def words_of(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, lower: bool = True) -> Words:
     """Words of documents data[offsets[i]:offsets[i + 1]]; ASCII capitals count as small letters if ``lower``."""
     n = len(offsets) - 1
+    if lower:
+        data = _LOWER[data]
     inside = in_word[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
@@ -118,7 +120,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, lower:
     ends = np.flatnonzero(inside & ~after[1:]) + 1
     up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    values = (_LOWER[data] if lower else data).astype(np.uint64)
+    values = data.astype(np.uint64)
     values += np.uint64(1)
     values *= up[: len(data)]
     np.cumsum(values, out=sums[1:])
