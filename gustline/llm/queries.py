@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import chat_format, chunk_dedup, decontaminate, secret_ledger
+from gustline.llm import chat_format, chunk_dedup, decontaminate, ngram_join, secret_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -68,6 +68,12 @@ def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.find_copies(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.link_documents(read(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 _SECRET_PATTERNS = [
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     ("access", "AKIA[A-Z0-9]+", 20, 0),

@@ -162,8 +162,12 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         lone = mix(lone + words.counts[short].astype(np.uint64))
         value = np.concatenate([value, lone])
         document = np.concatenate([document, short])
-    order = np.lexsort((value, document))
-    value, document = value[order], document[order]
+    if len(short):
+        order = np.argsort(document, kind="stable")
+        value, document = value[order], document[order]
+    ends = np.cumsum(np.bincount(document, minlength=n)).tolist()
+    for start, end in zip([0, *ends], ends):
+        value[start:end].sort()
     if len(value):
         fresh = np.ones(len(value), bool)
         fresh[1:] = (value[1:] != value[:-1]) | (document[1:] != document[:-1])
