@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustline.llm.rows import keep_rows, text_sha
 from gustline.llm.staging import Staging
 from gustline.llm.words import mix, parts, text_bytes
 
@@ -157,17 +158,4 @@ def _slice(k):
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, each (doc_id, text) once."""
-    stay = find_copies(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    return keep_rows(docs, stay.distinct())
-
-
-def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id and SHA-256 are among ``stay`` (_id, _sha); one of each."""
-    names = docs.columns
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], digest.alias("_doc_sha"))
-    held = marked.join(
-        stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_doc_sha"] == stay["_sha"]), "left_semi"
-    )
-    same = Window.partitionBy("doc_id", "_doc_sha").orderBy("doc_id")
-    return held.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*[f"`{c}`" for c in names])
+    return keep_rows(docs, find_copies(docs).filter("kept").select("doc_id", "text_sha256"), text_sha())

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustline.llm.rows import drop_rows, text_key, text_keys
 from gustline.llm.staging import Staging
 from gustline.llm.words import ALPHANUMERIC, Words, grams, longs, parts, text_bytes, words_of
 
@@ -102,8 +102,7 @@ def marked(texts: DataFrame, id_column: str, pad: int, sizes: list[int], field=N
             for a, b in parts(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 piece = data[offsets[a] : offsets[b]]
-                view = memoryview(piece)
-                keys = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(own[:-1], own[1:])], np.uint64)
+                keys = text_keys(piece, own)
                 counts, marks = _marks(words_of(piece, own, ALPHANUMERIC), sizes, pad, bits)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), longs(keys), pa.array(counts), marks],
@@ -140,7 +139,7 @@ def _run_length(same: Column, order: list[int]) -> Column:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, staging: Staging | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and key (a hash of the text) of every row of ``docs``.
 
     Reads ``doc_id`` and ``text`` of documents, ``item_id`` and ``text`` of items; other columns may have any name.
     Words are runs of ASCII letters and digits and of anything beyond ASCII, capitals A-Z as small letters.  A window
@@ -215,4 +214,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, staging: Staging | None
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        "key",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns."""
+    hit = find_overlaps(docs, benchmark).filter("contaminated").select("doc_id", "key")
+    return drop_rows(docs, hit, text_key())

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline.llm.components import components
+from gustline.llm.rows import keep_rows, text_key, text_keys
 from gustline.llm.staging import Staging
 from gustline.llm.words import SPACED, longs, parts, set_digests, shingle_sets, text_bytes, words_of
 
@@ -46,12 +46,7 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarr
         own = offsets[a : b + 1] - offsets[a]
         piece = data[offsets[a] : offsets[b]]
         value, ends = shingle_sets(words_of(piece, own, SPACED), size)
-        yield a, b, value, ends, _text_keys(piece, own)
-
-
-def _text_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    view = memoryview(data)
-    return np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(offsets[:-1], offsets[1:])], np.uint64)
+        yield a, b, value, ends, text_keys(piece, own)
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
@@ -194,7 +189,7 @@ def class_sets(docs: DataFrame, size: int, field) -> DataFrame:
             for a, b in parts(offsets):
                 own = offsets[a : b + 1] - offsets[a]
                 piece = data[offsets[a] : offsets[b]]
-                keys = _text_keys(piece, own)
+                keys = text_keys(piece, own)
                 slot = (keys & np.uint64((1 << FIELD_BITS) - 1)).astype(np.int64)
                 wanted = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
                 chosen = []
@@ -411,3 +406,15 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "key",
     )
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all its columns; rows without a set all stay.
+
+    Where a component has no doc_id but nulls, or repeats its smallest, the row of the smallest text hash stays.
+    """
+    found = link_documents(docs, size, percent)
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("doc_id", "component_id").agg(F.min("key").alias("key"))
+    stay = found.filter("n_shingles = 0").select("doc_id", "key").union(first.select("doc_id", "key"))
+    return keep_rows(docs, stay, text_key())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import chat_format, chunk_dedup, decontaminate, ngram_join, secret_ledger
+from gustline.llm import chat_format, chunk_dedup, decontaminate, language, ngram_join, packing, secret_ledger
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,6 +74,17 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query()
+def op5_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.with_clusters(read(spark, sf_dir, "documents")))
+
+
+@query()
+def op7_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 _SECRET_PATTERNS = [
     ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     ("access", "AKIA[A-Z0-9]+", 20, 0),
@@ -118,4 +129,4 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
