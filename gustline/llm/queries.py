@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import chat_format, chunk_dedup, decontaminate, language, ngram_join, packing, secret_ledger
+from gustline.llm import chat_format, chunk_dedup, decontaminate, language, ngram_join, packing, secret_ledger, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,6 +74,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query()
+def op3_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_clusters(read(spark, sf_dir, "documents")))
