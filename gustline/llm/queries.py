@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import chat_format, chunk_dedup, decontaminate, language, ngram_join, packing, secret_ledger, token_counts
+from gustline.llm import (
+    chat_format,
+    chunk_dedup,
+    decontaminate,
+    html_text,
+    language,
+    ngram_join,
+    packing,
+    pii,
+    secret_ledger,
+    token_counts,
+)
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,6 +38,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query()
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 _ESCAPED = "replace(replace(replace(replace({0}, '~', '~0'), '<', '~1'), '[', '~2'), ']', '~3')"
 
 
@@ -135,3 +151,8 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query()
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key=b"a key of the query's own")
