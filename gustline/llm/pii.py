@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.rows import text_key
+from gustline.llm.rows import shield, text_key
 from gustline.llm.staging import Staging
 
 # Titles and what gender they tell, and given names and surnames by gender and script.
@@ -245,8 +245,8 @@ def assign(entities: DataFrame, key: bytes, staging: Staging) -> DataFrame:
 def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> DataFrame:
     """The rows of ``docs`` with entities in ``text`` replaced, and n_entities and spans (kind:start:end in the old text).
 
-    Reads ``doc_id`` and ``text`` and keeps the other columns; names that start with an underscore are taken, and
-    columns named n_entities or spans are replaced.  A null text stays null, an empty one empty, both without entities.
+    Reads ``doc_id`` and ``text`` and keeps the other columns, of any name but n_entities and spans, which are
+    replaced.  A null text stays null, an empty one empty, both without entities.
     Of overlapping matches the kind listed first in PATTERNS stands.  Repeated rows are treated alike.  The same key
     gives the same surrogates for the same entities.  An empty table gives no rows.
     """
@@ -271,10 +271,9 @@ def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> Data
     listed = edits.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("_edits")
     )
-    own = [c for c in docs.columns if c not in ("n_entities", "spans")]
-    base = docs.select(*[F.col(f"`{c}`") for c in own])
+    base, restore = shield(docs.drop("n_entities", "spans"), "doc_id", "text")
     held = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
-    keep = [F.col(f"`{c}`") for c in own if c != "text"]
+    keep = [F.col(c) for c in base.columns if c != "text"]
     none = F.array().cast("array<struct<start:int,end:int,kind:string,new:string>>")
     some = base.filter(held).withColumn("_key", text_key())
     some = some.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
@@ -298,4 +297,4 @@ def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> Data
     rest = base.filter(~held).select(
         *keep, "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("spans")
     )
-    return edited.unionByName(rest).select(*[F.col(f"`{c}`") for c in own], "n_entities", "spans")
+    return edited.unionByName(rest).select(*restore, "n_entities", "spans")

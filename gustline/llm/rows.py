@@ -27,6 +27,12 @@ def text_sha() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
+def shield(df: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all but the used columns under names of our own, and the columns that bring theirs back."""
+    own = {c: c if c in used else f"_own{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]), [F.col(n).alias(c) for c, n in own.items()]
+
+
 def _joined(docs: DataFrame, chosen: DataFrame, digest: Column, how: str) -> DataFrame:
     chosen = chosen.toDF("_chosen_id", "_chosen_digest").distinct()
     marked = docs.withColumn("_digest", digest)
@@ -36,11 +42,13 @@ def _joined(docs: DataFrame, chosen: DataFrame, digest: Column, how: str) -> Dat
 
 def keep_rows(docs: DataFrame, chosen: DataFrame, digest: Column) -> DataFrame:
     """Rows of ``docs`` whose doc_id (nulls alike) and digest are in ``chosen``; one of each."""
+    docs, back = shield(docs, "doc_id", "text")
     same = Window.partitionBy("doc_id", "_digest").orderBy("_digest")
     held = _joined(docs, chosen, digest, "left_semi").withColumn("_nth", F.row_number().over(same))
-    return held.filter("_nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    return held.filter("_nth = 1").select(*back)
 
 
 def drop_rows(docs: DataFrame, chosen: DataFrame, digest: Column) -> DataFrame:
     """Rows of ``docs`` whose doc_id and digest are not in ``chosen``."""
-    return _joined(docs, chosen, digest, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    docs, back = shield(docs, "doc_id", "text")
+    return _joined(docs, chosen, digest, "left_anti").select(*back)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustline.llm.rows import shield
 from gustline.llm.staging import Staging
 
 
@@ -121,9 +122,8 @@ def scan_versions(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings of every row of ``versions``, and the ledger with what this scan added.
 
-    Reads ``text`` and keeps the other columns; names that start with an underscore are taken.  Findings have
-    ``found``, an array of (kind, start, end) by start, then kind in the order of the rules; empty where there are
-    none.  A null text is an empty one.  Repeated rows and equal texts share one scan, and each row has its findings.
+    Reads ``text`` and keeps the other columns, of any name but ``found``.  Findings have ``found``, an array of
+    (kind, start, end) by start, then kind in the order of the rules; empty where there are none.  A null text is an empty one.  Repeated rows and equal texts share one scan, and each row has its findings.
     Only the newest version of a rule in ``rules`` reports; the ledger keeps the others.  An empty table has no
     findings and adds nothing.
     """
@@ -146,10 +146,11 @@ def scan_versions(
         F.coalesce("_hits", F.array().cast("array<struct<start:int,_rank:int,end:int,kind:string>>")),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    names = [c for c in versions.columns if c != "text"]
-    named = contents(versions).select(*[F.col(f"`{c}`") for c in names], "_blob")
+    own, restore = shield(versions.drop("found"), "text")
+    named = contents(own).drop("text")
     back = named.join(hits, named["_blob"] == hits["blob"], "left")
-    return back.select(*[F.col(f"`{c}`") for c in names], found.alias("found")), grown
+    kept = [c for c, name in zip(restore, versions.drop("found").columns) if name != "text"]
+    return back.select(*kept, found.alias("found")), grown
 
 
 def listing(found: Column) -> Column:
