@@ -91,17 +91,25 @@ def _bits(keys: list) -> list[int]:
     return [0 if k is None or counts[k] < 2 else 1 << number.setdefault(k, len(number)) for k in keys]
 
 
-def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Bins of one shard, the longest pieces first; ties by doc_id and piece.  Gives bin, residual and order."""
-    rows = pieces.sort_values(["length", "doc_id", "piece", "cluster"], ascending=[False, True, True, True])
+def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Pieces and bins of one shard: full pieces in bins of their own, then the rests, the longest first.
+
+    Ties go by doc_id and cluster.  A rest of no length is a piece only of a document of no length; it has bin -1.
+    """
+    rows = rows.assign(full=rows["length"] // capacity, rest=rows["length"] % capacity)
+    rows = rows.sort_values(["rest", "doc_id", "cluster"], ascending=[False, True, True])
     missing = lambda c: [None if pd.isna(x) else x for x in rows[c]]
     bins = Bins(capacity)
-    numbers = []
-    for length, source, cluster in zip(rows["length"].tolist(), _bits(missing("source")), _bits(missing("cluster"))):
-        numbers.append(bins.add(length, source, cluster) if length else -1)
-    numbers_ = np.array(numbers, np.int64)
+    rests = rows["rest"].tolist()
+    numbers = [bins.add(n, s, c) if n else -1 for n, s, c in zip(rests, _bits(missing("source")), _bits(missing("cluster")))]
     left = np.array([*bins.residuals, 0], np.int64)
-    return rows.assign(bin=numbers_, residual=left[numbers_], slot=rows.groupby(numbers_).cumcount().to_numpy())
+    tail = rows.assign(piece=rows["full"], length=rows["rest"], bin=np.array(numbers, np.int64))
+    tail = tail[(tail["rest"] > 0) | (tail["full"] == 0)]
+    tail = tail.assign(residual=left[tail["bin"]], slot=tail.groupby("bin").cumcount())
+    whole = rows.loc[rows.index.repeat(rows["full"])]
+    nth = whole.groupby(level=0).cumcount()
+    whole = whole.assign(piece=nth, length=capacity, bin=np.arange(len(whole)) + len(bins.residuals), residual=0, slot=0)
+    return pd.concat([tail, whole])[["shard", "doc_id", "piece", "length", "bin", "residual", "slot"]]
 
 
 def with_clusters(docs: DataFrame) -> DataFrame:
@@ -128,45 +136,19 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD
     count = rows.count()
     shards = max(1, -(-count // shard_pieces))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "length"), F.lit(shards)).cast("int"))
-    full = F.floor(F.col("length") / capacity).cast("int")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(group, capacity)
 
-    rest = dealt.select(
-        "shard",
-        "doc_id",
-        "source",
-        "cluster",
-        full.alias("piece"),
-        (F.col("length") - full * capacity).alias("length"),
-    ).filter("length > 0 or piece = 0")
-    packed = rest.groupBy("shard").applyInPandas(
-        run,
-        "shard int, doc_id long, source string, cluster long, piece int, length int, bin long, residual int, slot int",
+    packed = dealt.groupBy("shard").applyInPandas(
+        run, "shard int, doc_id long, piece long, length int, bin long, residual int, slot int"
     )
-    packed = packed.select(
+    return packed.select(
         "doc_id",
         "piece",
-        (F.col("piece").cast("long") * capacity).alias("start"),
+        (F.col("piece") * capacity).alias("start"),
         "length",
         F.when(F.col("bin") >= 0, F.concat_ws("-", "shard", "bin")).alias("bin_id"),
         "slot",
         "residual",
     )
-    whole = (
-        dealt.filter(full > 0)
-        .select("doc_id", "cluster", F.posexplode(F.sequence(F.lit(1), full)).alias("piece", "nth"))
-        .select(
-            "doc_id",
-            "piece",
-            (F.col("piece").cast("long") * capacity).alias("start"),
-            F.lit(capacity).alias("length"),
-            F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "cluster", "piece").alias(
-                "bin_id"
-            ),
-            F.lit(0).alias("slot"),
-            F.lit(0).alias("residual"),
-        )
-    )
-    return packed.unionByName(whole)
