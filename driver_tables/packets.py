@@ -234,6 +234,33 @@ def q_enum_decode(spark, sf_dir):
     return events.select("seq", "packet_origin", "packet_type_name", "code", "event", "reject_reason")
 
 
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 250 >= 6 THEN NULL
+  WHEN c_custkey % 7 = 0 THEN c_custkey % 5 + (1::BIGINT << (8 * (c_custkey % 250 + 1))::INTEGER) ELSE c_custkey % 5 END AS code FROM customer"""
+)
+def q_whole_codes(spark, sf_dir):
+    """Codes that fill a payload of any length: high bytes of zero don't count, a value beyond 56 bits is none."""
+    key = F.col("c_custkey")
+    zeros = F.unhex(F.repeat(F.lit("00"), (key % 250).cast("int")))
+    high = F.when(key % 7 == 0, F.lit(bytes([1]))).otherwise(F.lit(bytes([0])))
+    payload = F.concat(binary.little_endian_bytes(key % 5, 1), zeros, high)
+    return table(spark, sf_dir, "customer").select("c_custkey", binary.whole_unsigned(payload).alias("code"))
+
+
+@query(
+    """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 > 4 THEN 'unknown_time_sync_kind' ELSE 'short_payload' END AS reject_reason
+FROM orders WHERE o_orderkey % 7 > 4 OR o_orderkey % 63 < CASE o_orderkey % 7 WHEN 0 THEN 18 WHEN 1 THEN 60 ELSE 61 END"""
+)
+def q_time_sync_rejects(spark, sf_dir):
+    """Time synchronisation dumps that are cut off or of an unknown kind."""
+    key = F.col("o_orderkey")
+    words = F.unhex(F.repeat(F.lit("01020304"), (key % 63).cast("int")))
+    packets = table(spark, sf_dir, "orders").select(
+        key.alias("seq"), F.concat(F.lit(bytes([1])), binary.little_endian_bytes(key % 7, 4), words).alias("packet")
+    )
+    return decode.time_sync_faults(packets).select("seq", "reject_reason")
+
+
 def _unsigned(payload: str, offset: str, width: int, big: bool = False) -> str:
     order = range(width) if big else reversed(range(width))
     digits = " || ".join(f"substr({payload}, 2 * ({offset} + {k}) + 1, 2)" for k in order)

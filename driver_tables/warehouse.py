@@ -13,7 +13,7 @@ from gustline import catalogue as cat
 from gustline.functions import text
 from gustline.operators import decode, gaps, registry, sensors, validation, windows
 from gustline.plans import ingest, telemetry
-from gustline.session import ensure_checkpoint_dir
+from gustline.session import ensure_checkpoint_dir, literal_table
 from gustline.sources import configuration
 from gustline.sources.windows import window_samples
 from gustline.streaming import batches
@@ -158,7 +158,7 @@ def q_mic_split(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MIC_ROWS} SELECT min(us) AS datetime_us, 'microphone/' || replace(window_path, '.json', '') || '/node_id=' || node_id || '.parquet' AS path,
+    f"""WITH {_MIC_ROWS} SELECT min(us) AS datetime_us, 'microphone/window_id=' || substr(sha256(window_path), 1, 16) || '/node_id=' || node_id AS path,
   node_id, count(*) AS samples FROM m GROUP BY window_path, node_id"""
 )
 def q_mic_catalog(spark, sf_dir):
@@ -642,3 +642,33 @@ def q_stream_windows(spark, sf_dir):
     )
     merged = batches.merged_totals(spark.read.parquet(f"{base}/totals"), ["node_id"])
     return merged.select(F.unix_micros("window_start").alias("window_start_us"), "node_id", "n", "total")
+
+
+@query(
+    """SELECT 'w' || c_custkey AS window_path, CASE c_custkey % 6 WHEN 1 THEN 'malformed_document' WHEN 2 THEN 'malformed_samples: 0 Acc'
+  WHEN 3 THEN 'no_campaign' WHEN 4 THEN 'no_campaign' WHEN 5 THEN 'samples_without_time: 0 Acc 2' END AS reject_reason
+FROM customer WHERE c_custkey % 6 > 0"""
+)
+def q_ingest_rejects(spark, sf_dir):
+    """Windows that are cut off, hold text for numbers, have no campaign or samples without a time; each is told."""
+    kind = F.col("c_custkey") % 6
+    document = (
+        F.when(kind == 1, F.lit('{"0": {"Acc": [[1.0, 2'))
+        .when(kind == 2, F.lit('{"0": {"Acc": "oops", "Gyro": [[1.0, 7.0]]}}'))
+        .when(kind == 5, F.lit('{"0": {"Acc": [[], [null, 2.0], [1.0, 3.0]]}}'))
+        .otherwise(F.lit('{"0": {"Acc": [[1.0, 2.0]]}}'))
+    )
+    metadata = '{"nodes": {"0": {}}, "gateway": {}, "measurement_campaign": {"reference": "%s"}}'
+    described = (
+        F.when(kind == 3, F.lit(None).cast("string"))
+        .when(kind == 4, F.lit('{"nodes": {}, "measurement_campaign": {"label": "x"}}'))
+        .otherwise(F.lit(metadata % "campaign"))
+    )
+    given = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("w"), "c_custkey").alias("window_path"),
+        document.alias("document"),
+        described.alias("window_metadata"),
+        F.col("c_custkey").alias("ingest_seq"),
+    )
+    none = lambda schema: literal_table(spark, [], schema)
+    return ingest.ingest_windows(given, none(ingest.CAMPAIGN_SCHEMA), none(ingest.CONFIGURATION_SCHEMA)).rejects

@@ -43,7 +43,6 @@ DEFAULT_GATEWAY_HANDLES = {64: "Local Info Message"}
 DEFAULT_NODE_HANDLES = {DEFAULT_NODE_HANDLE_START + 2 * (i + 1): name for i, name in enumerate(PACKET_NAMES)}
 
 # --- fixed values: what happens to each packet name -------------------------
-SENSOR_PACKETS = ["Abs. baros", "Diff. baros", "Mic 0", "IMU Accel", "IMU Gyro", "IMU Magnetometer", "Constat"]
 TICK_PACKETS = ["Timestamp Packet 0", "Timestamp Packet 1"]
 UNSUPPORTED_PACKETS = ["Analog1", "Analog2", "Analog Kinetron"]
 REMOTE_INFO_PACKETS = ["Mic 1", "Cmd Decline", "Sleep State", "Remote Info Message"]

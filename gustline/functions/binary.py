@@ -47,13 +47,17 @@ def float32(payload: Column, offset: int, endian: str = "little") -> Column:
     )
 
 
-def whole_unsigned(payload: Column, endian: str = "little", max_bytes: int = 8) -> Column:
-    """The whole payload as one unsigned integer; null when empty or too large for a bigint."""
-    branches = None
-    for width in range(1, max_bytes):
-        hit = F.octet_length(payload) == width
-        value = unsigned_int(payload, 0, width, endian)
-        branches = F.when(hit, value) if branches is None else branches.when(hit, value)
+def whole_unsigned(payload: Column, endian: str = "little") -> Column:
+    """The whole payload, of any length, as one unsigned integer; null when empty or beyond 56 bits."""
+    size = F.octet_length(payload)
+    kept = F.least(size, F.lit(7))
+    if endian == "little":
+        low, high = F.substr(payload, F.lit(1), kept), F.substr(payload, F.lit(8), size)
+    else:
+        low, high = F.substr(payload, size - kept + 1, kept), F.substr(payload, F.lit(1), size - kept)
+    branches = F.when(F.hex(high).rlike("[^0]"), F.lit(None).cast("bigint"))
+    for width in range(1, 8):
+        branches = branches.when(kept == width, unsigned_int(low, 0, width, endian))
     return branches
 
 

@@ -128,7 +128,8 @@ def _numbers(payloads: np.ndarray, layout: Layout) -> np.ndarray:
         steps = np.arange(width) if layout.endian == "little" else np.arange(width)[::-1]
         picked = payloads[:, offsets[:, channel, None] + steps]
         if kind == "float":
-            values = np.ascontiguousarray(picked).view("<f4")[..., 0].astype(float)
+            with np.errstate(invalid="ignore"):  # signalling NaN become quiet ones
+                values = np.ascontiguousarray(picked).view("<f4")[..., 0].astype(float)
         else:
             values = (picked.astype(np.int64) << (8 * np.arange(width))).sum(axis=-1)
             if kind == "int":
@@ -302,10 +303,28 @@ def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
     return packets.select(*kept, F.inline(battery_sample(endian)))
 
 
+#: Words of each kind of time synchronisation dump.
+SYNC_WORDS = {0: 18, 1: 60, 2: 61, 3: 61, 4: 61}
+
+
+def time_sync_faults(packets: DataFrame, endian: str = "little") -> DataFrame:
+    """Dumps that :func:`decode_time_sync` can't give whole, with ``reject_reason``."""
+    kind = binary.unsigned_int(F.col("packet"), 1, 4, endian)
+    words = F.floor((F.octet_length("packet") - 5) / 4)
+    wanted = F.try_element_at(F.create_map(*[F.lit(x) for pair in SYNC_WORDS.items() for x in pair]), kind.cast("int"))
+    reason = (
+        F.when(kind.isNull(), "short_payload")
+        .when(~kind.isin(*SYNC_WORDS), "unknown_time_sync_kind")
+        .when(words < wanted, "short_payload")
+    )
+    return packets.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
+
+
 def decode_time_sync(
     packets: DataFrame, endian: str = "little", central_limit: int | None = None, keys: Sequence[str] = ("packet_origin",)
 ) -> DataFrame:
-    """Time synchronisation dumps: (kind, position, value) rows; kinds other than 0-4 give no rows.
+    """Time synchronisation dumps: (kind, position, value) rows; a cut-off dump gives the words that it has.
+    Other kinds and cut-off dumps are told by :func:`time_sync_faults`.
 
     ``central_limit`` ends the central dump (kind 1) after so many words in all
     per key, counted over packets in ``seq`` order before their words are unfolded.

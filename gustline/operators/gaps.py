@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gustline import catalogue as cat
 from gustline.operators.ordered import BLOCK_ROWS, block_of, ordinals, previous_row
-from gustline.session import broadcast_if_small, cut_lineage
+from gustline.session import broadcast_if_small, cut_lineage, join_with_nulls
 
 PACKET_KEYS = ["session_id", "packet_origin", "sensor_name"]
 _BLOCK = "_block"
@@ -155,8 +155,8 @@ def held_values(
         stale = chained.where("_stale").drop("_stale")
         if stale.isEmpty():
             break
-        rerun = rows.join(stale, [*keys, _BLOCK]).groupBy(*keys, _BLOCK).applyInPandas(summarise, summary_schema)
-        summary = cut_lineage(summary.join(stale, [*keys, _BLOCK], "left_anti").unionByName(rerun))
+        rerun = join_with_nulls(rows, stale, [*keys, _BLOCK]).groupBy(*keys, _BLOCK).applyInPandas(summarise, summary_schema)
+        summary = cut_lineage(join_with_nulls(summary, stale, [*keys, _BLOCK], "left_anti").unionByName(rerun))
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_order")
@@ -170,14 +170,14 @@ def held_values(
     order_type = rows.schema["_order"].dataType.simpleString()
     key_only = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
     held = (
-        rows.join(chained.drop("_stale"), [*keys, _BLOCK])
+        join_with_nulls(rows, chained.drop("_stale"), [*keys, _BLOCK])
         .groupBy(*keys, _BLOCK)
         .applyInPandas(
             emit, f"{key_only}, _order {order_type}, held_before double, held double, replaced boolean"
         )
         .withColumnRenamed("_order", order)
     )
-    return df.join(held, [*keys, order])
+    return join_with_nulls(df, held, [*keys, order])
 
 
 def lag_gaps(
@@ -193,7 +193,7 @@ def _with_carried(packets: DataFrame, carried: DataFrame | None, keys: Sequence[
     if carried is None:
         return packets.select("*", *[F.lit(None).cast(kind).alias(f"_carried_{c}") for c, kind in columns.items()])
     state = carried.select(*keys, *[F.col(c).alias(f"_carried_{c}") for c in columns])
-    return packets.join(broadcast_if_small(state), list(keys), "left")
+    return join_with_nulls(packets, broadcast_if_small(state), list(keys), "left")
 
 
 LOST_STATE = {"packets_before": "bigint", "anchor": "double"}
@@ -260,7 +260,7 @@ def drift_state(drift: DataFrame, carried: DataFrame | None = None, keys: Sequen
 def _merge_state(latest: DataFrame, carried: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     if carried is None:
         return latest
-    return latest.unionByName(carried.join(latest, list(keys), "left_anti").select(*latest.columns))
+    return latest.unionByName(join_with_nulls(carried, latest, list(keys), "left_anti").select(*latest.columns))
 
 
 def period_drift(

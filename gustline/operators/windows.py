@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gustline.operators.gaps import held_values
 from gustline.operators.ordered import BLOCK_ROWS, block_of, running_totals
-from gustline.session import broadcast_if_small
+from gustline.session import broadcast_if_small, cut_lineage
 
 PACKETS_PER_PART = 1 << 15
 
@@ -20,7 +20,8 @@ def with_window_number(df: DataFrame, time: str, size: float, starts: DataFrame
     ``starts`` (session_id, session_start) gives the starts; otherwise a session starts with its earliest row.
     """
     if starts is None:
-        starts = df.groupBy("session_id").agg(F.min(time).alias("session_start"))
+        # written once: the rows are decoded for it a single time, and its size is counted on what was written
+        starts = cut_lineage(df.groupBy("session_id").agg(F.min(time).alias("session_start")))
     number = F.floor((F.col(time) - F.col("session_start")) / F.lit(float(size))).cast("bigint")
     return (
         df.join(broadcast_if_small(starts), "session_id").withColumn("window_number", number).drop("session_start")
@@ -93,8 +94,9 @@ def retention(
     The newest window always stays.  ``near_limit`` flags rows at or beyond nine tenths of the budget.
     """
     keys = list(keys)
-    summed = running_totals(stored, keys, "window_number", {"bytes_kept": F.col("bytes")}, block_rows, descending=True)
-    newest = F.col("bytes_kept") == F.col("bytes")
-    return summed.withColumn("keep", newest | (F.col("bytes_kept") <= byte_budget)).withColumn(
-        "near_limit", F.col("bytes_kept") >= F.lit(0.9 * byte_budget)
+    sums = {"bytes_kept": F.col("bytes"), "_nth": F.lit(1).cast("bigint")}
+    summed = running_totals(stored, keys, "window_number", sums, block_rows, descending=True)
+    keep = (F.col("_nth") == 1) | (F.col("bytes_kept") <= byte_budget)
+    return summed.withColumn("keep", keep).withColumn("near_limit", F.col("bytes_kept") >= F.lit(0.9 * byte_budget)).drop(
+        "_nth"
     )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gustline.plans.ingest import CAMPAIGN_SCHEMA, CONFIGURATION_SCHEMA, ingest_windows
+from gustline.plans.ingest import CAMPAIGN_SCHEMA, CONFIGURATION_SCHEMA, ingest_windows, unsent_windows
+from gustline.session import broadcast_if_small
 from gustline.sources import sinks
-from gustline.sources.windows import as_windows, read_window_metadata
+from gustline.sources.windows import as_windows, read_window_metadata, read_windows
 from gustline.streaming.batches import for_each_batch
 
 
@@ -19,32 +23,60 @@ def new_windows(spark: SparkSession, windows_path: str, max_files_per_trigger: i
     return as_windows(stream.option("recursiveFileLookup", "true").schema("value string").text(windows_path))
 
 
-def ingest_batch(windows_path: str, warehouse: str, metadata: Callable[[SparkSession], DataFrame] | None = None):
-    """Writer for one micro-batch of windows.  Dimensions get a snapshot per batch, facts a folder per batch.
+def _sidecars(spark: SparkSession, batch: DataFrame) -> DataFrame:
+    """Metadata beside the windows of a batch: only the folders that they lie in are read."""
+    # file paths come percent-encoded; in them a plus sign is just that
+    plain = F.url_decode(F.replace(F.col("window_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(plain, "/[^/]*$", "")
+    # a micro-batch holds at most maxFilesPerTrigger files
+    folders = [r[0] for r in batch.select(folder).distinct().collect()]
+    if not folders:
+        return batch.select("window_path", F.lit(None).cast("string").alias("window_metadata"))
+    return read_window_metadata(spark, folders)
 
-    ``metadata`` reads the table (window_path, window_metadata); by default it is read from sidecar files.  The
-    paths of each batch go to ``loaded_windows``: what is staged but not in it can be replayed.
+
+def _not_loaded(spark: SparkSession, batch: DataFrame, warehouse: str, query: str, number: int) -> DataFrame:
+    """The windows of a batch that no other batch has loaded, of whatever query."""
+    try:
+        loaded = spark.read.parquet(f"{warehouse}/loaded_windows")
+    except AnalysisException:  # nothing was ever loaded
+        return batch
+    others = loaded.where((F.col("query") != query) | (F.col("batch") != number)).select("window_path")
+    paths = batch.select("window_path").distinct()
+    return unsent_windows(batch, others.join(broadcast_if_small(paths), "window_path", "left_semi"))
+
+
+def ingest_batch(
+    warehouse: str, metadata: Callable[[SparkSession], DataFrame] | None = None, query: str = "ingest"
+):
+    """Writer for one micro-batch of windows.  Dimensions get a snapshot per batch, facts a folder per query and batch.
+
+    ``metadata`` reads the table (window_path, window_metadata); by default sidecar files are read.  ``query`` names
+    the query whose batches these are: another query, or the same one with a new checkpoint, needs a name of its own.
+    Windows that were accepted go to ``loaded_windows``: what is staged but not in it can be replayed.  One query writes
+    to a warehouse at a time.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known_metadata = metadata(spark) if metadata else read_window_metadata(spark, windows_path)
+        batch = _not_loaded(spark, batch, warehouse, query, number)
+        known_metadata = metadata(spark) if metadata else _sidecars(spark, batch)
         described = batch.join(known_metadata, "window_path", "left").persist()
+        folder, writer = f"query={query}/batch={number}", f"{query}-{number}"
         try:
-            campaigns = sinks.read_table(spark, f"{warehouse}/measurement_campaign", CAMPAIGN_SCHEMA, before=number)
-            known = sinks.read_table(spark, f"{warehouse}/configuration", CONFIGURATION_SCHEMA, before=number)
+            table = lambda name, schema: sinks.read_table(spark, f"{warehouse}/{name}", schema, writer=writer)
+            campaigns = table("measurement_campaign", CAMPAIGN_SCHEMA)
+            known = table("configuration", CONFIGURATION_SCHEMA)
             result = ingest_windows(described, campaigns, known)
-            sinks.write_sensor_data(result.sensor_data, f"{warehouse}/sensor_data", number)
-            sinks.write_rows(result.microphone_data, f"{warehouse}/microphone_data", number)
-            sinks.write_microphone_samples(
-                result.microphone_samples, f"{warehouse}/microphone/batch={number}", mode="overwrite"
-            )
-            sinks.write_rows(result.rejects, f"{warehouse}/rejects", number)
-            sinks.write_rows(described.select("window_path").distinct(), f"{warehouse}/loaded_windows", number)
-            sinks.write_table(result.campaigns, f"{warehouse}/measurement_campaign", number)
+            sinks.write_sensor_data(result.sensor_data, f"{warehouse}/sensor_data", folder)
+            sinks.write_rows(result.microphone_data, f"{warehouse}/microphone_data", folder)
+            sinks.write_microphone_samples(result.microphone_samples, warehouse)
+            sinks.write_rows(result.rejects, f"{warehouse}/rejects", folder)
+            sinks.write_table(result.campaigns, f"{warehouse}/measurement_campaign", writer=writer)
             sinks.write_table(
-                known.unionByName(result.new_configurations), f"{warehouse}/configuration", number
+                known.unionByName(result.new_configurations), f"{warehouse}/configuration", writer=writer
             )
+            sinks.write_rows(result.accepted, f"{warehouse}/loaded_windows", folder)
         finally:
             described.unpersist()
 
@@ -54,6 +86,22 @@ def ingest_batch(windows_path: str, warehouse: str, metadata: Callable[[SparkSes
 def ingest_stream(
     spark: SparkSession, windows_path: str, warehouse: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    return for_each_batch(
-        new_windows(spark, windows_path), ingest_batch(windows_path, warehouse), checkpoint, trigger
-    )
+    """Loads windows as they appear.  The checkpoint's path names the query, so a new one can't replace older facts."""
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return for_each_batch(new_windows(spark, windows_path), ingest_batch(warehouse, query=query), checkpoint, trigger)
+
+
+def replay(
+    spark: SparkSession,
+    windows_path: str,
+    warehouse: str,
+    query: str,
+    metadata: Callable[[SparkSession], DataFrame] | None = None,
+) -> int:
+    """Sends the stored windows that no other query has loaded; gives how many there were.
+
+    ``query`` is new for each replay; a replay that failed runs again under its name.
+    """
+    missing = _not_loaded(spark, read_windows(spark, windows_path), warehouse, query, 0)
+    ingest_batch(warehouse, metadata, query)(missing, 0)
+    return missing.count()

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import struct
 
@@ -34,6 +35,11 @@ def test_float32_covers_all_kinds_of_value(spark):
 def test_whole_payload_and_back(spark):
     assert one(spark, binary.whole_unsigned(F.col("b")), b=bytearray([2, 1])) == 258
     assert one(spark, binary.whole_unsigned(F.col("b")), b=bytearray()) is None
+    for size in (6, 7, 8, 240):
+        assert one(spark, binary.whole_unsigned(F.col("b")), b=bytearray([2, 1] + [0] * (size - 2))) == 258
+        assert one(spark, binary.whole_unsigned(F.col("b"), "big"), b=bytearray([0] * (size - 2) + [1, 2])) == 258
+    assert one(spark, binary.whole_unsigned(F.col("b")), b=bytearray([1] * 7)) == int("01" * 7, 16)
+    assert one(spark, binary.whole_unsigned(F.col("b")), b=bytearray([0] * 7 + [1])) is None
     assert bytes(one(spark, binary.little_endian_bytes(F.col("n"), 4), n=305419896)) == bytes.fromhex("78563412")
 
 
@@ -67,7 +73,7 @@ def test_times_and_paths(spark):
     assert one(spark, text.session_name(F.timestamp_seconds(F.lit(0)))) == "19700101T000000"
     assert one(spark, text.window_path(F.lit("out/s"), F.lit(3))) == "out/s/window-3.json"
     assert one(spark, text.microphone_path(F.lit("a.b/window-3.json"), F.lit("7"))) == (
-        "microphone/a.b/window-3/node_id=7.parquet"
+        "microphone/window_id=" + hashlib.sha256(b"a.b/window-3.json").hexdigest()[:16] + "/node_id=7"
     )
     assert one(spark, text.if_truthy_text(F.lit(""))) is None
     assert one(spark, text.if_truthy_number(F.lit(0.0))) is None

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gustline.operators import gaps, windows
 
@@ -123,3 +124,15 @@ def test_lag_gaps_and_arrival_windows(spark):
     assert [r.gap for r in got] == [None, 0.0, 5.0, -9.0]
     numbered = windows.arrival_windows(frame, "t", 10.0, block_rows=2).orderBy("seq").collect()
     assert [r.window_number for r in numbered] == [0, 1, 2, 2]
+
+
+def test_packets_of_unnamed_sensors_stay(spark):
+    rows = [(i, "1", name, 16384 * i, 1, 1.0) for i in range(3) for name in ("Acc", None)]
+    packets = spark.createDataFrame(
+        [(2 * k + j, *r[1:]) for j in range(1) for k, r in enumerate(rows)],
+        "seq bigint, packet_origin string, sensor_name string, node_ticks bigint, samples_in_packet int, period double",
+    ).withColumn("session_id", F.lit("s"))
+    keys = ["session_id", "packet_origin", "sensor_name"]
+    for block_rows in (2, 100):
+        assert gaps.lost_sets(packets, block_rows=block_rows, keys=keys).where("sensor_name is null").count() == 3
+        assert gaps.period_drift(packets, block_rows=block_rows, keys=keys).where("sensor_name is null").count() == 3
