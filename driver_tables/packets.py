@@ -92,9 +92,9 @@ def _classified(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PACKETS},
-entered AS (SELECT *, CASE WHEN packet_type = 52 THEN packet_timestamp - clock_ticks / 65536e0 END AS entry
-  FROM packets WHERE packet_type <> 255),
+    f"""WITH events AS (SELECT * REPLACE (CASE event_type WHEN 'signup' THEN 'error' ELSE event_type END AS event_type) FROM events),
+{PACKETS},
+entered AS (SELECT *, CASE WHEN packet_type = 52 THEN packet_timestamp - clock_ticks / 65536e0 END AS entry FROM packets),
 medians AS (SELECT * EXCLUDE (l), (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS m0 FROM (
   SELECT *, CASE WHEN entry IS NOT NULL THEN list_sort(list(entry) OVER (PARTITION BY packet_origin, entry IS NOT NULL
   ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) END AS l FROM entered)),
@@ -106,7 +106,9 @@ FROM offsets"""
 )
 def q_offset_median(spark, sf_dir):
     """Median clock offset of the last ten connection statistics, without reconnects."""
-    packets = packets_from_events(table(spark, sf_dir, "events")).where("packet_type <> 255")
+    # no event defines handles: those that would are connection statistics
+    kind = F.when(F.col("event_type") == "signup", "error").otherwise(F.col("event_type"))
+    packets = packets_from_events(table(spark, sf_dir, "events").withColumn("event_type", kind))
     aligned = clock.align_packets(packets, block_rows=BLOCK_ROWS)
     return aligned.select(
         "packet_origin", "seq", "time_offset", F.col("timestamp").alias("abs_time")
