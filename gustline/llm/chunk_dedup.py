@@ -118,8 +118,8 @@ def find_copies(docs: DataFrame, staging: Staging | None = None, fingerprint_byt
     doc_ids are smaller than any other, and where a group has nothing else keep_id is null.  Rows that repeat a doc_id
     with the same text are all counted and share its ``kept``.  An empty table gives none.
 
-    No group is ever gathered: groups are counts and maxima, combined before the shuffle, and joined back by recipe;
-    Spark splits the join where one recipe holds a large share of the rows.
+    No group is ever gathered: groups are counts and maxima, combined before the shuffle, and joined back by recipe.
+    They are written first: a join of two plain shuffles is one that Spark splits where a recipe holds a large share.
     """
     staging = staging or Staging(docs.sparkSession)
     rows = staging.table(recipes(docs, fingerprint_bytes), "recipes")
@@ -147,6 +147,7 @@ def find_copies(docs: DataFrame, staging: Staging | None = None, fingerprint_byt
     )
     keyed = staging.table(keyed.select("doc_id", "text_sha256", "recipe", "tie"), "keyed")
     groups = keyed.groupBy("recipe", "tie").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = staging.table(groups, "groups")
     return keyed.join(groups, ["recipe", "tie"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
