@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustline.llm.rows import shield
+from gustline.llm.staging import bound_batches
 from gustline.llm.words import mix, parts, text_bytes
 
 #: Rows of the embedding table, its width, and the n-gram lengths in bytes.
@@ -63,13 +65,13 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket frequencies of each text, as a vector of fixed size."""
+    """Bucket frequencies of each text, a vector of fixed size, packed."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for a, b in parts(offsets, 1 << 19):
             own = offsets[a : b + 1] - offsets[a]
-            for low in range(0, b - a, 256):
-                high = min(low + 256, b - a)
+            for low in range(0, b - a, 64):
+                high = min(low + 64, b - a)
                 inner = own[low : high + 1] - own[low]
                 bag = np.zeros((high - low) * BUCKETS)
                 for bucket, document in _ngrams(data[offsets[a] + own[low] : offsets[a] + own[high]], inner):
@@ -78,7 +80,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bag = (bag / np.maximum(bag.sum(axis=1, keepdims=True), 1)).astype(np.float32)
                 rows = batch.slice(a + low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("lang"), pa.array([r.tobytes() for r in bag], pa.binary())], ["lang", "bag"]
+                    [rows.column("lang"), pa.array([zlib.compress(r.tobytes(), 1) for r in bag], pa.binary())], ["lang", "bag"]
                 )
 
 
@@ -141,37 +143,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
     """A model from ``text`` and ``lang`` of rows where both are there.
 
-    The sample is the ``rows`` texts of least hash, each reduced to a vector of fixed size in its task; that bounds what
-    reaches the driver by rows * BUCKETS * 4 bytes, and much less once packed.  Equal texts fall into it together.
+    The sample is drawn by hash from all rows: about twice ``rows`` of them pass, equal ones count once, and the
+    ``rows`` first by hash stay.  Each is reduced to a vector of fixed size in its task, which bounds what reaches the
+    driver by rows * BUCKETS * 4 bytes, and much less once packed.
     """
-    sample = (
-        labelled.filter("text is not null and lang is not null")
-        .select("text", "lang", F.xxhash64("text", F.lit(seed)).alias("_order"))
-        .orderBy("_order", "lang")
-        .limit(rows)
-        .select("lang", "text")
-    )
+    known = labelled.filter("text is not null and lang is not null")
+    share = min(1.0, 2 * rows / max(1, known.count()))
+    order = F.xxhash64("text", F.lit(seed))
+    near = F.shiftrightunsigned(order, 32) < int(share * (1 << 32))
+    few = known.filter(near).select("text", "lang", order.alias("_order")).dropDuplicates(["_order", "lang"])
+    sample = few.orderBy("_order", "lang").limit(rows).select("lang", "text")
     schema = "lang string, bag binary"
-    got = sample.repartition(16).mapInArrow(_bags, schema).mapInArrow(_packed, schema)
+    got = sample.repartition(16).mapInArrow(_bags, schema)
     found = sorted((r.lang, bytes(r.bag)) for r in got.collect())
     if not found:
-        raise ValueError("no labelled texts to learn from")
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, LEAST_SCORE)
     bags = np.stack([np.frombuffer(zlib.decompress(b), np.float32) for _, b in found])
     return fit(bags, [lang for lang, _ in found], seed)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [zlib.compress(x, 1) for x in batch.column("bag").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "bag"])
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep``, then lang_pred, score and rejected of every row of ``docs``.
 
     Only ``text`` decides.  A text that is null or has no letter is ``und`` with score 0 and is rejected; so is, under
-    its best language, a text whose calibrated score is below the model's least.  An empty table gives no rows.
+    its best language, a text whose calibrated score is below the model's least.  A model that has learned no language
+    makes every text ``und``.  An empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)], "text", lettered)
@@ -183,8 +181,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             lettered = batch.column("_lettered").to_numpy(zero_copy_only=False)
-            best, scores = np.zeros(len(batch), int), np.zeros(len(batch))
-            for a, b in parts(offsets, 1 << 20):
+            best, scores = np.full(len(batch), len(model.languages)), np.zeros(len(batch))
+            for a, b in parts(offsets) if model.languages else ():
                 own = offsets[a : b + 1] - offsets[a]
                 total, count = np.zeros((b - a, len(table))), np.zeros(b - a)
                 for bucket, document in _ngrams(data[offsets[a] : offsets[b]], own):
@@ -225,8 +223,5 @@ def recognised(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that ``identify`` does not reject, with all their columns."""
     marked = docs.select("doc_id", "text", "lang", held_out())
     model = train(marked.filter(~F.col("held_out")).select("text", "lang"), rows)
-    names = [c for c in docs.columns if c != "text"]
-    renamed = docs.select("text", *[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(names)])
-    kept = predict(renamed, model, ["text", *[f"_own{i}" for i in range(len(names))]]).filter(~F.col("rejected"))
-    own = {c: f"_own{i}" for i, c in enumerate(names)}
-    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    own, restore = shield(docs, "text")
+    return predict(own, model, own.columns).filter(~F.col("rejected")).select(*restore)
