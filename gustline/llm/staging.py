@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from gustline.session import ensure_checkpoint_dir
 
 
+#: Most bytes of a batch between Spark and Python tasks; a single longer row goes alone.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limit on the bytes of a batch, so that long texts don't add up in a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Staging:
     """A folder of Parquet tables below ``spark.checkpoint.dir``.
 
@@ -17,6 +26,7 @@ class Staging:
     """
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 

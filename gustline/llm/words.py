@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
@@ -40,19 +40,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(base: np.uint64) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def _powers(base: np.uint64, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    return table(_BASE), table(_BASE_INVERSE)
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, 3 * CHUNK_BYTES // 2), _powers(_BASE_INVERSE, 3 * CHUNK_BYTES // 2)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(size)
+    """At least n powers of the base and of its inverse; only those for texts of usual length are kept."""
+    if n <= 3 * CHUNK_BYTES // 2:
+        return _usual_powers()
+    return _powers(_BASE, n), _powers(_BASE_INVERSE, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
