@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,14 @@ from gustline.llm.components import components
 from gustline.llm.rows import keep_rows, text_key, text_keys
 from gustline.llm.staging import Staging
 from gustline.llm.words import SPACED, longs, parts, set_digests, shingle_sets, text_bytes, words_of
+from gustline.session import broadcast_if_small
 
 #: Slots of the load table (one byte each where it is sent), and slots in one row of it.
 SLOT_BITS, ROW_BITS = 22, 12
-#: Longest extension of a prefix that is tried.
-MOST_MATCHES = 16
+#: How many shared prefix shingles a text may ask for, and of how many texts each is expected to be by chance.
+MATCHES, CHANCE = (1, 2, 4, 8, 16, 32, 64), 0.05
 #: Classes and shingles of a block; a task holds two blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 19
 #: Bits of the field of texts whose sets are needed; more only saves rows.
 FIELD_BITS = 25
 _TOKEN_BITS = 56
@@ -56,9 +58,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
         load = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for a, b, value, ends, keys in _sets(batch, size):
-                load += np.bincount(
-                    (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS
-                ).astype(np.uint32)
+                slots, counts = np.unique((value >> np.uint64(64 - SLOT_BITS)).astype(np.uint32), return_counts=True)
+                load[slots] += counts.astype(np.uint32)
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -115,10 +116,15 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, levels, mean: float) -> DataFrame:
-    """token, class, n and need: the index rows of each class, once per task.  need is the k that the text picked."""
+    """Rows of two kinds, each class once per task: ref, class, n and need of the class; token and ref of its prefix.
+
+    ``ref`` is a number within the task, so that index rows, of which there are most, stay short; ``need`` is the k
+    that the text picked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
+        base = TaskContext.get().partitionId() << 32
         # texts beyond what chance puts into a slot of each level
         surplus = np.maximum(0.0, np.exp2(np.arange(256) / 2.0) - 4 * mean - 4)
         seen: set[int] = set()
@@ -139,31 +145,40 @@ def prefixes(docs: DataFrame, size: int, percent: int, levels, mean: float) -> D
                 np.cumsum(surplus[(token >> np.uint64(_TOKEN_BITS)).astype(np.int64)], out=cost[1:])
                 n, start = sizes[fresh], ends[:-1][fresh]
                 t = least_overlap(n, percent)
-                k = np.arange(1, MOST_MATCHES + 1)
+                k = np.array(MATCHES)
                 reach = np.minimum(n[:, None] - t[:, None] + k, n[:, None])
-                scan = cost[start[:, None] + reach] - cost[start][:, None]
-                # index rows read, and candidates (at most rows / k) verified shingle by shingle
-                total = scan * (1 + n[:, None] / (16.0 * k))
+                scan = cost[start[:, None] + reach] - cost[start][:, None] + CHANCE * reach
+                # index rows, texts met there, and candidates (at most those / k) verified shingle by shingle
+                total = reach + scan * (1 + n[:, None] / (16.0 * k))
                 total[k[None, :] > np.maximum(t, 1)[:, None]] = np.inf
-                need = total.argmin(axis=1) + 1
+                need = k[total.argmin(axis=1)]
                 take = np.minimum(n - t + need, n)
                 first = np.repeat(start, take)
                 nth = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        longs(token[first + nth]),
-                        longs(np.repeat(digests[fresh], take)),
-                        pa.array(np.repeat(n, take).astype(np.int32)),
-                        pa.array(np.repeat(need, take).astype(np.int32)),
-                    ],
-                    ["token", "class", "n", "need"],
-                )
+                ref = base + np.arange(len(n))
+                base += len(n)
+                names, rows = ["token", "ref", "class", "n", "need"], int(take.sum())
+                none, gap = [pa.nulls(len(n), pa.int64())], pa.nulls(rows, pa.int32())
+                about = [pa.array(ref), longs(digests[fresh]), pa.array(n.astype(np.int32)), pa.array(need.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(none + about, names)
+                tokens, owner = longs(token[first + nth]), pa.array(np.repeat(ref, take))
+                yield pa.RecordBatch.from_arrays([tokens, owner, pa.nulls(rows, pa.int64()), gap, gap], names)
 
     return docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "token long, class long, n int, need int"
+        run, "token long, ref long, class long, n int, need int"
     )
 
 
+def viable(met: DataFrame) -> DataFrame:
+    """The classes that may have a candidate.  met: class, need and low (the least need of a shingle's texts).
+
+    Shingles shared with a text that asks for v have a low of at most v, so there must be enough of those for some v.
+    """
+    upto = {v: F.sum((F.col("low") <= v).cast("int")).alias(f"upto{v}") for v in MATCHES}
+    enough = " or ".join(f"upto{v} >= least(need, {v})" for v in MATCHES)
+    return met.groupBy("class").agg(F.first("need").alias("need"), *upto.values()).filter(enough).select("class")
+
+
 def bit_field(df: DataFrame, column: str):
     """A field of 2 ** FIELD_BITS bits, those set that the column's values name; its size is fixed."""
     slot = F.col(column).bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
@@ -259,8 +274,7 @@ def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        classes = table.column("class").to_numpy()
-        _, first = np.unique(classes, return_index=True)  # a class may come from several tasks
+        _, first = np.unique(table.column("class").to_numpy(), return_index=True)  # a class may come from several tasks
         table = table.take(pa.array(first))
         classes, block = table.column("class").to_numpy(), table.column("block").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
@@ -312,7 +326,7 @@ def _verify(percent: int):
     return run
 
 
-def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, staging: Staging) -> DataFrame:
     """Links between classes of different families that are not connected yet.  marks: class, family, label."""
     rows = shared.select("token", "class", "n", "need").distinct().join(marks, "class")
     mixed = (
@@ -340,14 +354,16 @@ def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: i
         .filter("both >= need")
         .select("a", "b")
     )
-    sets = sets.dropDuplicates(["class"])
+    pairs = staging.table(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets.join(broadcast_if_small(ends), "class", "left_semi").dropDuplicates(["class"])
     first = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     second = first.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
     return second.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: Staging | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and key (a hash of the text) of every row of ``docs``.
+    """doc_id, n_shingles, component_id, key (a hash of the text) and component (null without a set) of every row.
 
     Reads ``doc_id`` and ``text`` only; other columns may have any name.  A text's set is its distinct shingles of
     ``size`` words between blanks, tabs and line ends, A-Z as small letters; a text of fewer words is one shingle.  Two
@@ -370,9 +386,19 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
     sent = spark.sparkContext.broadcast(levels)
     index = staging.table(prefixes(docs, size, percent, sent, total / (1 << SLOT_BITS)), "index")
     staging.drop("sketch")
-    hubs = index.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("top")).filter("hub != top")
-    shared = staging.table(index.join(hubs.drop("top"), "token"), "shared")
+    refs = index.filter("token is null").select("ref", "class", "n", "need")
+    tokens = index.filter("token is not null").select("token", "ref")
+    # most prefix shingles are one text's own; what is left of the others is little
+    common = tokens.groupBy("token").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).filter("low != high")
+    named = staging.table(tokens.join(common.select("token"), "token").join(refs, "ref").drop("ref").distinct(), "named-tokens")
+    hubs = named.groupBy("token").agg(
+        F.min("class").alias("hub"), F.max("class").alias("top"), F.min("need").alias("low")
+    )
+    met = staging.table(named.join(hubs.filter("hub != top").drop("top"), "token"), "met")
     staging.drop("index")
+    staging.drop("named-tokens")
+    shared = staging.table(met.join(viable(met), "class", "left_semi"), "shared")
+    staging.drop("met")
 
     votes = shared.groupBy("class", "hub").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     chosen = votes.groupBy("class").agg(
@@ -387,7 +413,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
     marks = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "family", F.coalesce("component", "class").alias("label")
     )
-    far = staging.table(cross_links(shared, staging.table(marks, "marks"), sets, percent), "far")
+    far = staging.table(cross_links(shared, staging.table(marks, "marks"), sets, percent, staging), "far")
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far)
     parts_ = staging.table(components(known, staging, "all-links"), "components")
     for name in ("shared", "sets", "marks"):
@@ -399,22 +425,23 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
     )
     classes = staging.table(classes, "classes")
     ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = staging.table(classes.join(ids, "component").select("class", "component_id"), "named")
+    named = staging.table(classes.join(ids, "component").select("class", "component", "component_id"), "named")
     return rows.join(named, "class", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "key",
+        "component",
     )
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, that of the smallest doc_id, with all its columns; rows without a set all stay.
 
-    Where a component has no doc_id but nulls, or repeats its smallest, the row of the smallest text hash stays.
+    Where a component has no doc_id but nulls, or has its smallest twice, the row of the smallest text hash stays.
     """
     found = link_documents(docs, size, percent)
-    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.groupBy("doc_id", "component_id").agg(F.min("key").alias("key"))
-    stay = found.filter("n_shingles = 0").select("doc_id", "key").union(first.select("doc_id", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    one = found.filter("n_shingles > 0").groupBy("component").agg(first).select("first.doc_id", "first.key")
+    stay = found.filter("n_shingles = 0").select("doc_id", "key").union(one)
     return keep_rows(docs, stay, text_key())
