@@ -254,7 +254,7 @@ def overlaps(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A tree of links for each connected part of a symmetric matrix."""
+    """A star of links for each connected part of a symmetric matrix."""
     left = np.ones(len(linked), bool)
     links = []
     for root in range(len(linked)):
@@ -266,7 +266,7 @@ def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
             at = todo.pop()
             found = np.flatnonzero(linked[at] & left)
             left[found] = False
-            links += [(at, int(x)) for x in found]
+            links += [(root, int(x)) for x in found]
             todo += found.tolist()
     return links
 
@@ -328,7 +328,7 @@ def _verify(percent: int):
 
 def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, staging: Staging) -> DataFrame:
     """Links between classes of different families that are not connected yet.  marks: class, family, label."""
-    rows = shared.select("token", "class", "n", "need").distinct().join(marks, "class")
+    rows = shared.select("token", "class", "n", "need", "low").distinct().join(marks, "class")
     mixed = (
         rows.groupBy("token")
         .agg(
@@ -337,7 +337,9 @@ def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: i
         .filter("l0 != l1 and f0 != f1")
         .select("token")
     )
-    rows = rows.join(mixed, "token")
+    # only these shingles can still link, so a class needs enough of them
+    rows = staging.table(rows.join(mixed, "token"), "mixed")
+    rows = rows.join(viable(rows), "class", "left_semi")
     a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "need", "family", "label")])
     b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "need", "family", "label")])
     open_pair = (
@@ -373,7 +375,7 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
     are reported each.  An empty table gives no rows.
 
     A group of copies is one class, however large; a group of near copies is compared in blocks of bounded size, and only
-    a spanning tree of its links leaves a task.
+    a star of links for each part that is connected leaves a task.
     """
     spark = docs.sparkSession
     staging = staging or Staging(spark)
