@@ -220,6 +220,20 @@ def test_template_of_a_host_without_markers(spark):
         assert got[7] == "Welcome to us\n\nx\n\ny\n\nAll rights"
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_attributes_of_any_length(quote):
+    """Markup in a tag is never text, and what a tag holds apart stays apart."""
+    value = quote + "A1<b> " * 3000 + quote
+    source = (
+        f"<p>a</p><div data-x={value} class=ad>advert</div><img src={value}><script data-x1={value}>var a</script>"
+        f"<nav data-x={value}>menu</nav><div title={value}>b</div><p title=it's>c</p><p hidden>no</p><p alt='hidden'>d</p>"
+    )
+    assert [t for *_, t in html_text.candidates(html_text.parse(source))] == ["a", "b", "c", "d"]
+    cut = html_text.parse(f"<p>a<div data-x={quote}AAAA>b</div><p>c < d")
+    assert [t for *_, t in html_text.candidates(cut)] == ["a", "b", "c < d"]
+    assert html_text.parse("<p>x" + f"<i a={quote}" * 20000).blocks
+
+
 def test_simple_tree_matching():
     def tree(label, *inner):
         return html_text.Node(label, 0, 0, 1, list(inner))
