@@ -194,11 +194,12 @@ def bit_field(df: DataFrame, column: str):
 
 
 def class_sets(docs: DataFrame, size: int, field) -> DataFrame:
-    """class and set (hashes, end to end) of the texts whose key is in the field, once per task."""
+    """class and set (hashes, end to end) of the texts whose key is in the field, each class once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = field.value
         seen: set[int] = set()
+        given: set[int] = set()
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in parts(offsets):
@@ -217,10 +218,14 @@ def class_sets(docs: DataFrame, size: int, field) -> DataFrame:
                 lengths = np.diff(own)[chosen]
                 joined = np.concatenate([piece[own[i] : own[i + 1]] for i in chosen])
                 value, ends = shingle_sets(words_of(joined, np.concatenate([[0], np.cumsum(lengths)]), SPACED), size)
-                sets = [value[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [longs(set_digests(value, ends)), pa.array(sets, pa.binary())], ["class", "set"]
-                )
+                digests = set_digests(value, ends)
+                fresh = []  # unlike texts may have one set
+                for i, d in enumerate(digests.tolist()):
+                    if d not in given:
+                        given.add(d)
+                        fresh.append(i)
+                sets = [value[ends[i] : ends[i + 1]].tobytes() for i in fresh]
+                yield pa.RecordBatch.from_arrays([longs(digests[fresh]), pa.array(sets, pa.binary())], ["class", "set"])
 
     return docs.select("text").mapInArrow(run, "class long, set binary")
 
@@ -274,8 +279,6 @@ def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        _, first = np.unique(table.column("class").to_numpy(), return_index=True)  # a class may come from several tasks
-        table = table.take(pa.array(first))
         classes, block = table.column("class").to_numpy(), table.column("block").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
         sizes = np.array([len(s) for s in sets])
@@ -297,7 +300,7 @@ def family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     placed = (
         members.join(sizes.select("family", blocks.alias("blocks")), "family")
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .join(sets, "class")
+        .join(sets.dropDuplicates(["class"]), "class")  # a class may come from several tasks
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = placed.select("family", "class", "block", "set", other).select(
@@ -408,7 +411,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: S
     )
     family = F.array_min(F.transform(F.filter("votes", lambda v: v["c"] * 2 >= F.col("most")), lambda v: v["hub"]))
     members = staging.table(chosen.select("class", family.alias("family"), "n"), "members")
-    keys = rows.join(members.select("class"), "class", "left_semi").select("key")
+    # one text stands for its class, so that what differs in blanks or capitals alone gives no further sets
+    keys = rows.join(members.select("class"), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key"))
     sets = staging.table(class_sets(docs, size, bit_field(keys, "key")), "sets")
     near = staging.table(family_links(members, sets, percent), "near")
     labels = staging.table(components(near, staging, "near-links"), "labels")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,25 @@ def test_links_match_brute_force(spark, corpus, monkeypatch, size, percent, bloc
     assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute_components(corpus, size, percent)
 
 
+def test_a_class_is_one_set_however_its_texts_are_written(spark, monkeypatch):
+    """Copies that differ in blanks and capitals alone are compared once."""
+    base = text_of(1, 60)
+    texts = [base.replace(" ", " " * (1 + i % 40), 1 + i // 40) + " " * i for i in range(200)] + [base.upper(), changed(base, 2, 1)]
+    docs = documents(spark, list(enumerate(texts)), False)
+    whole = spark.sparkContext.broadcast(np.full(1 << (ngram_join.FIELD_BITS - 6), 2**64 - 1, np.uint64))
+    assert ngram_join.class_sets(docs.coalesce(1), 5, whole).count() == 2
+    got = ngram_join.link_documents(docs.repartition(3), 5, 80).collect()
+    assert len(got) == len(texts) and {r.component_id for r in got} == {0}
+
+    def rows_of_a_task(percent):
+        return lambda table: pa.table({"a": [table.num_rows], "b": [0]})
+
+    monkeypatch.setattr(ngram_join, "_compare", rows_of_a_task)
+    members = spark.createDataFrame([(1, 9, 50), (2, 9, 50)], "class long, family long, n int")
+    sets = spark.createDataFrame([(c, bytes([c]) * 8) for c in (1, 2)] * 20, "class long, set binary")
+    assert [r.a for r in ngram_join.family_links(members, sets, 80).collect()] == [2]
+
+
 def test_near_copies_leave_one_of_each(spark, corpus):
     docs = documents(spark, corpus)
     kept = ngram_join.drop_near_copies(docs)
