@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates.
 
 Entities are found by pattern and reduced to what names them (an address in
-small letters, the digits of a number, each part of a name).  Every distinct one
+small letters, the digits of a number, each part of a name).  A name is known by
+its title or by a given name of the lists before it, and then wherever else its
+parts stand in the document.  Every distinct one
 gets a surrogate from a keyed hash: of the same kind, script, gender and form,
 never one that the corpus itself holds, and never one that another entity has.
 Both are checked over all entities, and whatever collides draws again, until
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,35 @@ SURNAMES = {
     "cyrillic": "Абрамов Белов Власов Громов Дроздов Ершов Жуков Зимин Ильин Комаров Лосев Морозов",
 }
 
+TITLES |= {title.upper(): gender for title, gender in TITLES.items()}
+#: Given names of the lists and what gender they tell; one of several lists tells none.
+KNOWN_GIVEN: dict[str, str] = {}
+for (_gender, _), _names in GIVEN.items():
+    for _name in _names.split():
+        for _form in (_name, _name.upper()):
+            KNOWN_GIVEN[_form] = _gender if KNOWN_GIVEN.get(_form, _gender) == _gender else "n"
+
+
+def _class(*tests) -> str:
+    """A character class of the letters that pass a test, by ranges."""
+    ranges: list[list[int]] = []
+    for x in range(0x10000):
+        if any(test(chr(x)) for test in tests):
+            if ranges and ranges[-1][1] == x - 1:
+                ranges[-1][1] = x
+            else:
+                ranges.append([x, x])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]"
+
+
+_UPPER = _class(lambda c: unicodedata.category(c) in ("Lu", "Lt"))
+_LOWER = _class(lambda c: unicodedata.category(c) in ("Ll", "Mn"))
+_MIXED = rf"(?:{_UPPER}['’])?{_UPPER}{_LOWER}+(?:['’]?{_UPPER}{_LOWER}+)*"
+_CAPITALS = rf"(?:{_UPPER}['’])?{_UPPER}{{2,}}(?:['’]{_UPPER}+)*"
+_NAME = rf"(?:{_MIXED}|{_CAPITALS})(?!\w)"
+_INITIALS = rf"(?:{_UPPER}\.[ -]?|{_UPPER} )+"
+_PARTICLES = "(?:(?:von|vom|van|de|der|den|del|della|di|da|dos|du|la|le|zu|zur|ter|ten|af|av|al|el|bin|ibn) )*"
+_WORD = rf"(?:{_INITIALS})?{_PARTICLES}{_NAME}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kinds in the order in which they take their spans.
 PATTERNS = {
@@ -55,34 +87,71 @@ PATTERNS = {
         r"|(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
     ),
     "ip": re.compile(rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.[0-9])"),
-    "person": re.compile(
-        rf"(?<!\w)({'|'.join(TITLES)})\.? ((?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+)"
-        r"(?:[ -](?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+)){0,2})(?!\w)"
-    ),
+    "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_WORD}(?:[ -]{_WORD}){{0,2}})"),
 }
+#: A given name of the lists, further ones, and a surname.
+_GIVEN = "|".join(sorted(KNOWN_GIVEN, key=len, reverse=True))
+_UNTITLED = re.compile(rf"(?<!\w)(?=[A-ZА-ЯЁ])({_GIVEN})((?:[ -](?:{_GIVEN}))* {_WORD}(?:-{_NAME})?)")
+_PART = re.compile(rf"(?P<initial>{_UPPER}(?![\w'’]))|(?P<name>(?<!\w){_NAME})")
 #: What a text has at least if some pattern matches (Java syntax).
-MAY_HOLD = rf"@|[0-9][0-9 .()-]{{5,}}[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{'|'.join(TITLES)})\.? "
+MAY_HOLD = (
+    rf"@|[0-9][0-9 .()-]{{5,}}[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{'|'.join(TITLES)})\.? "
+    rf"|(?=[A-ZА-ЯЁ])(?:{_GIVEN})[ -]"
+)
 _DIGITS = re.compile(r"[^0-9]")
 
 
+def _script(part: str) -> str:
+    return "cyrillic" if "А" <= part[0] <= "я" or part[0] in "Ёё" else "latin"
+
+
+def name_value(part: str) -> str:
+    """What names a part of a name, whatever its capitals."""
+    part = unicodedata.normalize("NFC", part)
+    return part[0] + part[1:].lower()
+
+
+def _name_parts(text: str, start: int, end: int, gender: str) -> Iterator[tuple[int, int, str, str]]:
+    """The parts of the name in a span: the last is the surname; an initial is told with its surname."""
+    found = list(_PART.finditer(text, start, end))
+    last = next((m for m in reversed(found) if m["name"]), None)
+    for m in found:
+        script = _script(m[0])
+        if m["initial"]:
+            yield *m.span(), f"initial_{script}", f"{m[0]} {name_value(last[0])}" if last else m[0]
+        else:
+            role = "surname" if m is last else f"given_{gender}"
+            yield *m.span(), f"{role}_{script}", name_value(m[0])
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, kind and value of the entities in a text, without overlap; a name gives one for each part."""
+    """start, end, kind and value of the entities in a text, without overlap; a name gives one for each part.
+
+    What is known as part of a name from its title, or from a listed given name before it, is one in all of the text.
+    """
     taken: list[tuple[int, int]] = []
     found = []
+    known: dict[str, str] = {}
+
+    def free(start: int, end: int) -> bool:
+        if any(s < end and start < e for s, e in taken):
+            return False
+        taken.append((start, end))
+        return True
+
+    def add_name(start: int, end: int, gender: str) -> None:
+        for entity in _name_parts(text, start, end, gender):
+            found.append(entity)
+            if not entity[2].startswith("initial"):
+                known.setdefault(entity[3], entity[2])
+
     for kind, pattern in PATTERNS.items():
         for m in pattern.finditer(text):
             start, end = m.span()
-            if any(s < end and start < e for s, e in taken):
+            if not free(start, end):
                 continue
-            taken.append((start, end))
             if kind == "person":
-                gender = TITLES[m[1]]
-                spans = [x.span() for x in re.finditer(r"\w+", text[m.start(2) : end])]
-                for i, (s, e) in enumerate(spans):
-                    part = text[m.start(2) + s : m.start(2) + e]
-                    script = "cyrillic" if "А" <= part[0] <= "я" or part[0] in "Ёё" else "latin"
-                    role = "surname" if i == len(spans) - 1 else f"given_{gender}"
-                    found.append((m.start(2) + s, m.start(2) + e, f"{role}_{script}", part))
+                add_name(*m.span(2), TITLES[m[1]])
             elif kind == "email":
                 found.append((start, end, kind, m[0].lower()))
             elif kind == "ip":
@@ -91,6 +160,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((start, end, kind, m[0].replace(" ", "")))
             else:
                 found.append((start, end, kind, _DIGITS.sub("", m[0])))
+    for m in _UNTITLED.finditer(text):
+        if free(*m.span()):
+            add_name(*m.span(), KNOWN_GIVEN[m[1]])
+    if known:
+        for m in _PART.finditer(text):
+            kind = m["name"] and known.get(name_value(m[0]))
+            if kind and free(*m.span()):
+                found.append((*m.span(), kind, name_value(m[0])))
     return sorted(found)
 
 
@@ -167,10 +244,17 @@ def _like(c: str, draw: _Draw) -> str:
         return chr(65 + draw.below(26))
     if c.isalpha():
         other = "àáâèéêìíòóùúäöüñç" if ord(c) < 0x250 else "абвгдежзиклмнопрст" if 0x400 <= ord(c) < 0x500 else ""
-        return other[draw.below(len(other))] if other else c
+        # letters of other scripts give way to their neighbours
+        other = other or [x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x.isalpha()]
+        return other[draw.below(len(other))]
     return c
 
 
+def _like_initial(key: bytes, kind: str, value: str) -> str:
+    letters = "АБВГДЕЖЗИКЛМНОПРСТ" if kind.endswith("cyrillic") else "ABCDEFGHIJKLMNOPRSTUVW"
+    return letters[_Draw(key, kind, value, 0).below(len(letters))]
+
+
 def render(mention: str, kind: str, value: str) -> str:
     """A surrogate in the form of a mention: its separators and capitals."""
     if kind in ("card", "ssn", "phone", "iban"):
@@ -178,6 +262,8 @@ def render(mention: str, kind: str, value: str) -> str:
         return "".join(next(left, "") if c.isalnum() else c for c in mention)
     if kind == "email" and mention.isupper():
         return value.upper()
+    if kind.startswith(("given", "surname")) and len(mention) > 1 and mention.isupper():
+        return value.upper()
     if kind == "email":
         return "".join(v.upper() if c.isupper() else v for c, v in zip(mention, value)) + value[len(mention) :]
     return value
@@ -208,6 +294,25 @@ def mentions(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_gender(entities: DataFrame) -> DataFrame:
+    """kind, value and resolved of distinct entities: a given name has one kind, whatever titles it has been met with.
+
+    Titles of one gender decide; where there are none, or of both, it has none.
+    """
+    given = r"^given_([mfn])_(\w+)$"
+    named = entities.filter(F.col("kind").rlike(given)).select(
+        F.regexp_extract("kind", given, 2).alias("script"), "value", F.regexp_extract("kind", given, 1).alias("gender")
+    )
+    told = F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))
+    genders = named.groupBy("script", "value").agg(told.alias("told"))
+    one = F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise("n")
+    genders = genders.select("script", "value", F.concat(F.lit("given_"), one, F.lit("_"), F.col("script")).alias("one"))
+    script = F.when(F.col("kind").rlike(given), F.regexp_extract("kind", given, 2))
+    return entities.withColumn("script", script).join(genders, ["script", "value"], "left").select(
+        "kind", "value", F.coalesce("one", "kind").alias("resolved")
+    )
+
+
 def assign(entities: DataFrame, key: bytes, staging: Staging) -> DataFrame:
     """kind, value and surrogate of distinct entities; surrogates are distinct and none is an entity.
 
@@ -252,20 +357,24 @@ def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> Data
     """
     staging = staging or Staging(docs.sparkSession)
     found = staging.table(mentions(docs), "mentions")
-    names = assign(found.select("kind", "value").distinct(), key, staging)
-    names = staging.table(names, "surrogates")
+    entities = staging.table(one_gender(found.filter("kind not like 'initial%'").select("kind", "value").distinct()), "entities")
+    names = assign(entities.select(F.col("resolved").alias("kind"), "value").distinct(), key, staging)
+    names = entities.join(names.withColumnRenamed("kind", "resolved"), ["resolved", "value"])
+    names = staging.table(names.select("kind", "value", "resolved", "surrogate"), "surrogates")
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = zip(*(batch.column(c).to_pylist() for c in ("mention", "kind", "surrogate")))
-            new = pa.array([render(*c) for c in cells], pa.string())
+            cells = zip(*(batch.column(c).to_pylist() for c in ("mention", "kind", "surrogate", "value")))
+            # an initial stands for many names, so it has no surrogate of its own
+            drawn = [(m, k, _like_initial(key, k, v) if k.startswith("initial") else x) for m, k, x, v in cells]
+            new = pa.array([render(*c) for c in drawn], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:5], new], ["doc_id", "digest", "start", "end", "kind", "new"]
             )
 
     id_type = dict(docs.dtypes)["doc_id"]
-    edits = found.join(names, ["kind", "value"]).select(
-        "doc_id", "digest", "start", "end", "kind", "mention", "surrogate"
+    edits = found.join(names, ["kind", "value"], "left").select(
+        "doc_id", "digest", "start", "end", F.coalesce("resolved", "kind").alias("kind"), "mention", "surrogate", "value"
     )
     edits = edits.mapInArrow(rendered, f"doc_id {id_type}, digest long, start int, end int, kind string, new string")
     listed = edits.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(

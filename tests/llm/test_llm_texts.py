@@ -176,6 +176,29 @@ def test_surrogates(spark):
     assert "_own0" in pii.replace(documents(spark, rows[:2]), b"key").columns
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Anna Mueller said", "Anna Mueller"), ("Mr John Smith. SMITH said Smith's", "John Smith SMITH Smith"),
+        ("Mr McDonald, Mr O'Brien", "McDonald O'Brien"), ("Mr J. Smith", "J Smith"), ("Herr Kovačič-Žák", "Kovačič Žák"),
+        ("MR JOHN SMITH", "JOHN SMITH"), ("Herr von Braun", "Braun"), ("Frau Παπαδοπούλου", "Παπαδοπούλου"),
+    ],
+)
+def test_names_in_any_form(text, names):
+    assert [text[s:e] for s, e, *_ in pii.find(text)] == names.split()
+
+
+def test_a_name_keeps_its_surrogate(spark):
+    rows = [(1, "Dr Anna Novak. Later Novak spoke"), (2, "Frau Anna Novak"), (3, "FRAU ANNA NOVAK"), (4, "x +12233"), (5, "Anna Novak")]
+    rows += [(6, "call +12233 or a@b.org"), (7, "Mr J. Novak")]
+    got = {r.doc_id: r.text for r in pii.replace(documents(spark, rows), b"key").collect()}
+    given, surname = got[5].split()
+    assert "Anna" != given in pii.GIVEN["f", "latin"].split() and surname != "Novak"
+    assert got[1] == f"Dr {given} {surname}. Later {surname} spoke" and got[2] == f"Frau {given} {surname}"
+    assert got[3] == f"FRAU {given} {surname}".upper() and got[7][4] == "." and got[7].endswith(f". {surname}")
+    assert got[4].split()[1] == got[6].split()[1] != "+12233"
+
+
 def test_surrogates_that_collide_draw_again(spark):
     names = [f"Abel{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
     entities = spark.createDataFrame([("surname_latin", n) for n in [*names, "Baker", "Quinn"]], "kind string, value string")
