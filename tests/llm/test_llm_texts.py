@@ -257,6 +257,16 @@ def test_attributes_of_any_length(quote):
     assert html_text.parse("<p>x" + f"<i a={quote}" * 20000).blocks
 
 
+def test_pages_of_any_depth(spark):
+    """Unclosed elements nest deeper than Python calls do."""
+    deep = "<div>Welcome" + "<div>" * 3000
+    rows = [(i, f"http://d.org/{i}", f"<body>{deep}Text {i}") for i in range(3)] + [(3, "http://d.org/3", "<body><div>Welcome<p>Text 3")]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Text {i}" for i in range(4)}
+    tree = html_text.Node("a", 0, 1, 2, [html_text.Node("b", 0, 0, 1, [html_text.Node("c", 1, 1, 1)]), html_text.Node("d", 0, 0, 2)])
+    assert html_text.Node.unpack(tree.pack()) == tree
+
+
 def test_simple_tree_matching():
     def tree(label, *inner):
         return html_text.Node(label, 0, 0, 1, list(inner))
