@@ -11,10 +11,13 @@ from gustline.llm import (
     decontaminate,
     html_text,
     language,
+    lexical_search,
     ngram_join,
     packing,
     pii,
+    prefix_trie,
     secret_ledger,
+    sharding,
     token_counts,
 )
 
@@ -156,3 +159,91 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key=b"a key of the query's own")
+
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_SMALL}, '{_TERMS}') AS terms FROM documents
+    ), held AS (SELECT row, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+    whole AS (SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM held),
+    q AS (
+        SELECT item_id, term, count(*) AS repeats
+        FROM (SELECT item_id, unnest(regexp_extract_all({_SMALL}, '{_TERMS}')) AS term FROM benchmark) GROUP BY item_id, term
+    ), tf AS (
+        SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM held)
+        WHERE term IN (SELECT term FROM q) GROUP BY row, term
+    ), weight AS (
+        SELECT term, floor(1000 * ln((2 * (SELECT N FROM whole) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf GROUP BY term
+    ), score AS (
+        SELECT item_id, row, sum(repeats * w * ((1000000000 * tf) // (1000 * tf
+                   + 8 * (100 - 75 + (75 * n * (SELECT N FROM whole)) // (SELECT L FROM whole)))))::BIGINT AS score
+        FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN held USING (row) GROUP BY item_id, row
+    ), ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+               doc_id, score
+        FROM score JOIN held USING (row) WHERE score > 0
+    )
+    SELECT * FROM ranked WHERE rank <= 10
+    """
+)
+def op11_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_CRC32 = """
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+        lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END))
+"""
+
+
+@query(
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(text, '') AS text,
+               sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[:32] AS digest
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), original AS (
+        SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS digests,
+               list(strlen(text) ORDER BY turn NULLS FIRST, digest) AS sizes
+        FROM turns GROUP BY conv_id
+    ), heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h FROM original),
+    rebuilt AS (
+        SELECT o.conv_id, coalesce(b.digests[1:h], []) || o.digests[h + 1:] AS digests,
+               coalesce(b.sizes[1:h], []) || o.sizes[h + 1:] AS sizes
+        FROM original o JOIN heads USING (conv_id) LEFT JOIN original b ON b.conv_id = heads.base
+    ), prefixes AS (
+        SELECT conv_id, d AS depth, digests[1:d] AS path, sizes[d] AS size, d = len(digests) AS final
+        FROM (SELECT *, unnest(range(0, len(digests) + 1)) AS d FROM rebuilt)
+    ), nodes AS (
+        SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (final), '')) AS ends_sha256
+        FROM prefixes GROUP BY path, depth
+    ), kin AS (
+        SELECT p.path, p.depth, p.conv_id AS parent_conv_id, count(c.path) AS n_children
+        FROM nodes p LEFT JOIN nodes c ON c.depth = p.depth + 1 AND c.path[1:p.depth] = p.path GROUP BY ALL
+    ), below AS (
+        SELECT n.path[1:d] AS path, sum((n_convs - 1) * size)::BIGINT AS saved_tokens,
+               count(*) FILTER (n_children = 0) AS n_leaves
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes JOIN kin USING (path, depth)) n GROUP BY 1
+    )
+    SELECT n.conv_id, n.depth, p.parent_conv_id, n.n_convs, k.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+    FROM nodes n JOIN kin k ON k.path = n.path AND k.depth = n.depth JOIN below b ON b.path = n.path
+    LEFT JOIN kin p ON n.depth = p.depth + 1 AND p.path = n.path[1:p.depth]
+    """
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.sequences(read(spark, sf_dir, "conversations"))
+    return prefix_trie.build(prefix_trie.spliced(convs, stride=5, most=9))
+
+
+@query()
+def op13_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(read(spark, sf_dir, "documents"), shards=16)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
