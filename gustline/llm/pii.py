@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gustline.llm.rows import shield, text_key
+from gustline.llm.rows import shield, text_key, text_keys
 from gustline.llm.staging import Staging
+from gustline.llm.words import longs, text_bytes
 
 # Titles and what gender they tell, and given names and surnames by gender and script.
 TITLES = {
@@ -93,11 +95,12 @@ PATTERNS = {
 _GIVEN = "|".join(sorted(KNOWN_GIVEN, key=len, reverse=True))
 _UNTITLED = re.compile(rf"(?<!\w)(?=[A-ZА-ЯЁ])({_GIVEN})((?:[ -](?:{_GIVEN}))* {_WORD}(?:-{_NAME})?)")
 _PART = re.compile(rf"(?P<initial>{_UPPER}(?![\w'’]))|(?P<name>(?<!\w){_NAME})")
-#: What a text has at least if some pattern matches (Java syntax).
-MAY_HOLD = (
-    rf"@|[0-9][0-9 .()-]{{5,}}[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{'|'.join(TITLES)})\.? "
-    rf"|(?=[A-ZА-ЯЁ])(?:{_GIVEN})[ -]"
-)
+#: What a text has at least if a pattern of digits matches, its words, and those that some name needs.
+_NUMBERS = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}")
+_WORDS = re.compile(r"[^\W\d_]+")
+_TELLING = frozenset(TITLES) | frozenset(KNOWN_GIVEN)
+#: Bits of the field that tells which texts have mentions; more only saves joined rows.
+FIELD_BITS = 25
 _DIGITS = re.compile(r"[^0-9]")
 
 
@@ -145,8 +148,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if not entity[2].startswith("initial"):
                 known.setdefault(entity[3], entity[2])
 
+    numbers, names = _NUMBERS.search(text), not _TELLING.isdisjoint(_WORDS.findall(text))
+    wanted = {"email": "@" in text, "person": names}
     for kind, pattern in PATTERNS.items():
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if wanted.get(kind, numbers) else ():
             start, end = m.span()
             if not free(start, end):
                 continue
@@ -160,7 +165,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((start, end, kind, m[0].replace(" ", "")))
             else:
                 found.append((start, end, kind, _DIGITS.sub("", m[0])))
-    for m in _UNTITLED.finditer(text):
+    for m in _UNTITLED.finditer(text) if names else ():
         if free(*m.span()):
             add_name(*m.span(), KNOWN_GIVEN[m[1]])
     if known:
@@ -289,7 +294,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_key().alias("digest"), "text").filter(F.col("text").rlike(MAY_HOLD)).mapInArrow(
+    return docs.select("doc_id", text_key().alias("digest"), "text").filter("text is not null").mapInArrow(
         run, f"doc_id {kind}, digest long, start int, end int, kind string, value string, mention string"
     )
 
@@ -347,6 +352,32 @@ def assign(entities: DataFrame, key: bytes, staging: Staging) -> DataFrame:
         turn += 1
 
 
+def _field(found: DataFrame):
+    """The bits that the digests of texts with mentions set; at most 2 ** FIELD_BITS / 64 rows reach the driver."""
+    slot = F.col("digest").bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(digest & 63L as int))")
+    words = found.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    field[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return found.sparkSession.sparkContext.broadcast(field.view(np.uint64))
+
+
+def _with_key(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with _key, the digest of the text, and _maybe: false only where the text has no mention."""
+    sent = _field(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = sent.value
+        for batch in batches:
+            keys = text_keys(*text_bytes(batch.column("text")))
+            slot = keys & np.uint64((1 << FIELD_BITS) - 1)
+            maybe = (field[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            yield batch.append_column("_key", longs(keys)).append_column("_maybe", pa.array(maybe.astype(bool)))
+
+    fields = [*docs.schema.fields, T.StructField("_key", T.LongType()), T.StructField("_maybe", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
 def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> DataFrame:
     """The rows of ``docs`` with entities in ``text`` replaced, and n_entities and spans (kind:start:end in the old text).
 
@@ -381,11 +412,11 @@ def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> Data
         F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("_edits")
     )
     base, restore = shield(docs.drop("n_entities", "spans"), "doc_id", "text")
-    held = F.coalesce(F.col("text").rlike(MAY_HOLD), F.lit(False))
     keep = [F.col(c) for c in base.columns if c != "text"]
     none = F.array().cast("array<struct<start:int,end:int,kind:string,new:string>>")
-    some = base.filter(held).withColumn("_key", text_key())
-    some = some.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left")
+    keyed = _with_key(base, found)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest"))
+    some = keyed.filter("_maybe").join(listed, same, "left")
     some = some.withColumn("_edits", F.coalesce("_edits", none))
     # what stands between edits, and the edits, in turn
     gaps = F.transform(
@@ -403,7 +434,7 @@ def replace(docs: DataFrame, key: bytes, staging: Staging | None = None) -> Data
         F.transform("_edits", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ","
     )
     edited = some.select(*keep, text.alias("text"), F.size("_edits").cast("long").alias("n_entities"), spans.alias("spans"))
-    rest = base.filter(~held).select(
+    rest = keyed.filter("not _maybe").select(
         *keep, "text", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("spans")
     )
     return edited.unionByName(rest).select(*restore, "n_entities", "spans")
