@@ -99,6 +99,24 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Stores ``files`` (path below the root, content) as they are, from the tasks that hold them."""
+    plain = root if "://" in root else f"file://{root.removeprefix('file:')}"
+
+    def store(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(plain)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                system.create_dir(f"{folder}/{path}".rsplit("/", 1)[0])
+                with system.open_output_stream(f"{folder}/{path}") as out:
+                    out.write(bytes(content))
+            yield pdf[["path"]]
+
+    files.select("path", "content").mapInPandas(store, "path string").write.format("noop").mode("overwrite").save()
+
+
 def samples_from_events(events: DataFrame) -> DataFrame:
     """One two-channel sample per event, in ten-minute windows of its session."""
     sensor = F.element_at(F.create_map(*[F.lit(x) for pair in SENSOR_OF_EVENT.items() for x in pair]), F.col("event_type"))

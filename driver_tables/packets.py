@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_tables.adapters import (
@@ -12,13 +15,17 @@ from driver_tables.adapters import (
     spread,
     stage,
     table,
+    write_files,
 )
 from driver_tables.registry import query
 from gustline import catalogue as cat
 from gustline.functions import binary
 from gustline.operators import clock, decode, gaps, routing, sensors
 from gustline.plans import telemetry
-from gustline.sources import captures
+from gustline.session import cut_lineage, ensure_checkpoint_dir
+from gustline.sources import captures, ranges
+from gustline.streaming import batches
+from gustline.streaming import captures as open_captures
 
 # small enough that the test tables span several blocks
 BLOCK_ROWS = 1 << 14
@@ -692,3 +699,52 @@ def q_frame_captures(spark, sf_dir):
     return framed.groupBy(
         "packet_origin", "packet_type", "frame_length", F.hex("packet").alias("payload")
     ).agg(F.count("*").alias("n"))
+
+
+SECONDS_PER_BYTE = 1e-4
+RANGE_BYTES = 1 << 18
+
+
+@query(
+    f"""WITH {PACKETS},
+placed AS (SELECT *, seq // {PACKETS_PER_FILE} AS file,
+    sum(CASE WHEN seq % 13 = 0 THEN 6 ELSE 3 END + packet_length) OVER (ORDER BY seq) AS upto FROM packets),
+files AS (SELECT file, coalesce(max(upto - packet_length - 1) FILTER (seq % {PACKETS_PER_FILE} = {PACKETS_PER_FILE - 1}), max(upto)) AS upto
+  FROM placed GROUP BY file)
+SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, packet_origin, packet_type, CAST(packet_length AS INTEGER) AS frame_length,
+  md5(upper(payload)) AS payload_md5, round(1704067200e0 + file + (p.upto - f.since) * {SECONDS_PER_BYTE}, 4) AS packet_timestamp
+FROM placed p JOIN (SELECT file, lag(upto, 1, 0) OVER (ORDER BY file) AS since FROM files) f USING (file)"""
+)
+def q_frame_stream(spark, sf_dir):
+    """One open session whose files grow over three micro-batches, followed in byte ranges."""
+    root = f"{ensure_checkpoint_dir(spark)}/followed-{uuid.uuid4().hex}"
+    files = cut_lineage(capture_files(table(spark, sf_dir, "events")))
+    size = F.octet_length("content").cast("bigint")
+    ends = F.sum("size").over(Window.partitionBy("session_id").orderBy("path"))
+    sizes = cut_lineage(files.select("session_id", "path", size.alias("size")).withColumn("upto", ends))
+    total = sizes.agg(F.max("upto")).first()[0] or 0
+    origins = captures.leading_bytes(spark, NODES)
+    write = lambda packets, number: packets.write.mode("overwrite").parquet(f"{root}/packets/batch={number}")
+    follow = open_captures.frame_stream(f"{root}/state", write, origins, SECONDS_PER_BYTE)
+    for third in (1, 2, 3):
+        seen = F.least("size", F.lit(total * third // 3) - (F.col("upto") - F.col("size")))
+        shown = files.join(sizes.withColumn("seen", seen).where("seen > 0").select("path", "seen"), "path")
+        named = F.concat_ws("/", "session_id", F.regexp_replace("path", r"capture-(\d+)", r"capture-$1-at"))
+        second = F.unix_seconds("modificationTime").cast("string")
+        path = F.regexp_replace(named, r"-at\.bin$", F.concat(F.lit("-at"), second, F.lit(".bin")))
+        write_files(shown.select(path.alias("path"), F.substring("content", F.lit(1), F.col("seen").cast("int")).alias("content")), f"{root}/captures")
+        stream = ranges.stream_ranges(spark, f"{root}/captures", RANGE_BYTES, r"-at(\d+)\.bin$", "start")
+        batches.for_each_batch(stream, follow, f"{root}/checkpoint").awaitTermination()
+    packets = spark.read.parquet(f"{root}/packets")
+    cut_off = open_captures.close_sessions(
+        spark, f"{root}/state", origins, packets.select("session_id").distinct(), 1 << 20, SECONDS_PER_BYTE
+    )
+    every = packets.select(*cut_off.columns).unionByName(cut_off)
+    return every.select(
+        "seq",
+        "packet_origin",
+        "packet_type",
+        "frame_length",
+        F.md5(F.hex("packet").cast("binary")).alias("payload_md5"),
+        F.round("packet_timestamp", 4).alias("packet_timestamp"),
+    )

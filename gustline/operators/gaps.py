@@ -7,10 +7,13 @@ so neither has a closed window form:
   (detrended) clock strays from it by more than the slack;
 * an inertial sensor keeps a period and accepts a measured one that is close.
 
-:func:`held_values` runs such a rule exactly, in parallel within a key: blocks
-are run from a guessed incoming value, the true incoming values are chained over
-one summary row per block, and only blocks whose guess proved wrong run again,
-until none does.
+:func:`held_values` runs such a rule exactly, in parallel within a key, as a scan.
+What a block of rows does to the value that comes in is a map with few pieces:
+an incoming value is either held throughout, or it is replaced at the first row
+that its rule fires on, and what follows then no longer depends on it.  Only rows
+that are the first for some value matter, each with what comes out in the end.
+Such maps compose, so the value that enters every block follows from them alone,
+and each block is run once.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gustline import catalogue as cat
 from gustline.operators.ordered import BLOCK_ROWS, block_of, ordinals, previous_row
-from gustline.session import broadcast_if_small, cut_lineage, join_with_nulls
+from gustline.session import broadcast_if_small, join_with_nulls
 
 PACKET_KEYS = ["session_id", "packet_origin", "sensor_name"]
 _BLOCK = "_block"
@@ -90,6 +96,132 @@ def _start_value(candidates: np.ndarray, initial: float) -> float:
     return real[0] if len(real) else np.nan
 
 
+def _fires(rule: str, candidates: np.ndarray, tolerances: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Held values that each row replaces, as two open intervals; widened by ``slack`` of their scale, or narrowed."""
+    margin = slack * (np.abs(candidates) + np.where(np.isfinite(tolerances), np.abs(tolerances), 0))
+    low, high = np.full(len(candidates), np.inf), np.full(len(candidates), -np.inf)
+    with np.errstate(all="ignore"):
+        if rule == "strays":
+            return np.full(len(candidates), -np.inf), candidates - tolerances + margin, candidates + tolerances - margin, low
+        if rule == "elapsed":
+            return np.full(len(candidates), -np.inf), candidates - tolerances + margin, low, high
+        above = np.where(tolerances < 1, candidates / (1 - tolerances), np.inf)
+        above[(tolerances == 1) & (candidates <= 0)] = -np.inf
+        below = np.maximum(candidates / (1 + tolerances), 0)
+        below = np.where(tolerances > 1, np.maximum(below, candidates / (1 - tolerances)), below)
+        return below - margin, above + margin, low, high
+
+
+def _without(parts: list[tuple[float, float]], low: float, high: float) -> list[tuple[float, float]]:
+    """Intervals less the interval between ``low`` and ``high``."""
+    if not low < high:
+        return parts
+    out = []
+    for a, b in parts:
+        if high <= a or low >= b:
+            out.append((a, b))
+        else:
+            out += [part for part in ((a, low), (high, b)) if part[0] < part[1]]
+    return out
+
+
+def first_hits(candidates: np.ndarray, tolerances: np.ndarray, rule: str) -> np.ndarray:
+    """Rows that may be the first to replace some incoming value, in order.
+
+    Each row takes from the line of values those that it replaces; a row that finds none of its own left is no first.
+    Rounding is allowed for on the side of too many rows.
+    """
+    pairs = np.stack([candidates, tolerances], axis=1)
+    _, first = np.unique(pairs, axis=0, return_index=True)
+    first.sort()
+    first = first[~np.isnan(candidates[first])]
+    wide = _fires(rule, candidates[first], tolerances[first], 1e-9)
+    close = _fires(rule, candidates[first], tolerances[first], -1e-9)
+    parts, found, at = [(-np.inf, np.inf)], [], 0
+    step = 64
+    while at < len(first) and parts:
+        span = slice(at, at + step)
+        hit = np.zeros(len(wide[0][span]), bool)
+        for a, b in parts:
+            hit |= (wide[0][span] < b) & (wide[1][span] > a) & (wide[0][span] < wide[1][span])
+            hit |= (wide[2][span] < b) & (wide[3][span] > a) & (wide[2][span] < wide[3][span])
+        if not hit.any():
+            at, step = at + step, step * 4
+            continue
+        at, step = at + int(hit.argmax()), 64
+        found.append(first[at])
+        parts = _without(_without(parts, close[0][at], close[1][at]), close[2][at], close[3][at])
+        at += 1
+    return np.array(found, np.int64)
+
+
+def rule_map(candidates: np.ndarray, tolerances: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block does to an incoming value: candidate and tolerance of its first hits, and what each leads to.
+
+    An incoming value leads to what belongs to the first of these rows that replaces it, or stays.
+    """
+    hits = first_hits(candidates, tolerances, rule)
+    outs = np.empty(len(hits))
+    if not len(hits):
+        return candidates[hits], tolerances[hits], outs
+    begin = hits[0]
+    values, replaced = run_rule(candidates[begin + 1 :], tolerances[begin + 1 :], rule, candidates[begin])
+    last = values[-1] if len(values) else candidates[begin]
+    known = dict.fromkeys([begin, *(begin + 1 + np.flatnonzero(replaced)).tolist()], last)
+    for k, hit in enumerate(hits.tolist()):
+        path, at = [], hit
+        while at not in known:
+            path.append(at)
+            following = _next_hit(candidates, candidates[at], tolerances, rule, at + 1)
+            if following == len(candidates):
+                known[at] = candidates[at]
+            else:
+                at = following
+        outs[k] = known[at]
+        known.update(dict.fromkeys(path, outs[k]))
+    return candidates[hits], tolerances[hits], outs
+
+
+def through(held: float, block: tuple[np.ndarray, np.ndarray, np.ndarray], rule: str) -> float:
+    """What an incoming value has become after a block."""
+    candidates, tolerances, outs = block
+    if np.isnan(held) or not len(candidates):
+        return held
+    hit = RULES[rule](candidates, held, tolerances)
+    return float(outs[hit.argmax()]) if hit.any() else held
+
+
+def compose(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map of blocks in a row."""
+    later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    outs = []
+    for block in reversed(blocks):
+        out = block[2].copy()
+        for following in later:
+            out = np.array([through(o, following, rule) for o in out])
+        outs.append(out)
+        later.insert(0, block)
+    candidates, tolerances = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
+    whole = np.concatenate(outs[::-1])
+    kept = first_hits(candidates, tolerances, rule)
+    return candidates[kept], tolerances[kept], whole[kept]
+
+
+#: Blocks whose maps are composed into one.
+FAN = 256
+_MAP = "_candidates array<double>, _tolerances array<double>, _outs array<double>, _start double"
+
+
+def _maps(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    columns = (pdf["_candidates"], pdf["_tolerances"], pdf["_outs"])
+    return [tuple(np.asarray(x, float) for x in row) for row in zip(*columns)]
+
+
+def _first_start(starts: pd.Series) -> float:
+    real = starts.dropna()
+    return float(real.iloc[0]) if len(real) else np.nan
+
+
 def held_values(
     df: DataFrame,
     keys: Sequence[str],
@@ -105,79 +237,88 @@ def held_values(
     Adds ``held_before``, ``held`` and ``replaced``.  ``initial`` names a column
     with the value held before the key's first row; without it (or where it is
     null) the key's first candidate is held from the start.
+
+    Rows are shuffled once, by key and block; their maps and the run itself read the same shuffle.  Maps of FAN blocks
+    are composed, so that the chain along a key has one row for as many blocks.
     """
-    keys = list(keys)
+    keys, fan = list(keys), FAN
     start = F.col(initial).cast("double") if initial else F.lit(None).cast("double")
-    narrow = df.select(
-        *keys,
+    rows = df.select(
+        "*",
         block_of(order, block_rows).alias(_BLOCK),
-        F.col(order).alias("_order"),
         F.col(candidate).cast("double").alias("_candidate"),
         F.col(tolerance).cast("double").alias("_tolerance"),
         start.alias("_initial"),
     )
-    rows = cut_lineage(narrow)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, _BLOCK).schema)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        candidates, tolerances = pdf["_candidate"].to_numpy(float), pdf["_tolerance"].to_numpy(float)
-        initial_value = pdf["_initial"].to_numpy(float)[0]
-        given = pdf["_incoming"].to_numpy(float)[0] if "_incoming" in pdf else np.nan
-        incoming = given if not np.isnan(given) else _start_value(candidates, initial_value)
-        values, _ = run_rule(candidates, tolerances, rule, incoming)
-        low = high = np.nan
-        if rule == "strays" and not np.isnan(candidates).all():
-            low, high = np.nanmax(candidates - tolerances), np.nanmin(candidates + tolerances)
-        head = pdf.iloc[[0]][[*keys, _BLOCK]].reset_index(drop=True)
-        return head.assign(
-            _ran=incoming, _out=values[-1], _low=low, _high=high, _start=_start_value(candidates, initial_value)
-        )
-
-    summary_schema = f"{key_schema}, _ran double, _out double, _low double, _high double, _start double"
+    place = rows.select(*keys, _BLOCK).schema
+    placed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in place)
+    keyed = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in place])
+
+    def doubles(table: pa.Table, name: str) -> np.ndarray:
+        return table[name].to_numpy().astype(float)
+
+    def summarise(table: pa.Table) -> pa.Table:
+        table = table.select([*keys, _BLOCK, order, "_candidate", "_tolerance", "_initial"]).sort_by(order)
+        candidates = doubles(table, "_candidate")
+        found = rule_map(candidates, doubles(table, "_tolerance"), rule)
+        out = table.select([*keys, _BLOCK]).slice(0, 1).cast(keyed)
+        for name, values in zip(("_candidates", "_tolerances", "_outs"), found):
+            out = out.append_column(name, pa.array([values.tolist()], pa.list_(pa.float64())))
+        first = _start_value(candidates, doubles(table, "_initial")[0])
+        return out.append_column("_start", pa.array([first], pa.float64()))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(_BLOCK)
+        candidates, tolerances, outs = compose(_maps(pdf), rule)
+        own = {"_candidates": [candidates], "_tolerances": [tolerances], "_outs": [outs], "_start": [_first_start(pdf["_start"])]}
+        head = pdf.iloc[[0]][keys].reset_index(drop=True)
+        return head.assign(_run=pdf[_BLOCK].iloc[0] // fan, **own)
+
+    def enter(pdf: pd.DataFrame, held: float) -> list[float]:
+        """What enters each row's block or run, in order."""
+        entering = []
+        for block, first in zip(_maps(pdf), pdf["_start"]):
+            held = first if np.isnan(held) else held
+            entering.append(held)
+            held = through(held, block, rule)
+        return entering
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_run").reset_index(drop=True)
+        return pdf[[*keys, "_run"]].assign(_held=enter(pdf, np.nan))
+
+    def unfold(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(_BLOCK).reset_index(drop=True)
-        incoming, stale, held = [], [], np.nan
-        for ran, out, low, high, first in zip(pdf["_ran"], pdf["_out"], pdf["_low"], pdf["_high"], pdf["_start"]):
-            held = first if np.isnan(held) else held
-            incoming.append(held)
-            same = ran == held or (np.isnan(ran) and np.isnan(held))
-            through = low <= held <= high
-            stale.append(not same and not through)
-            held = held if through and not same else out
-        return pdf[[*keys, _BLOCK]].assign(_incoming=incoming, _stale=stale)
-
-    chain_schema = f"{key_schema}, _incoming double, _stale boolean"
-    summary = cut_lineage(rows.groupBy(*keys, _BLOCK).applyInPandas(summarise, summary_schema))
-    while True:
-        chained = cut_lineage(summary.groupBy(*keys).applyInPandas(chain, chain_schema))
-        stale = chained.where("_stale").drop("_stale")
-        if stale.isEmpty():
-            break
-        rerun = join_with_nulls(rows, stale, [*keys, _BLOCK]).groupBy(*keys, _BLOCK).applyInPandas(summarise, summary_schema)
-        summary = cut_lineage(join_with_nulls(summary, stale, [*keys, _BLOCK], "left_anti").unionByName(rerun))
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        incoming = pdf["_incoming"].to_numpy(float)[0]
-        values, replaced = run_rule(
-            pdf["_candidate"].to_numpy(float), pdf["_tolerance"].to_numpy(float), rule, incoming
-        )
-        before = np.concatenate([[incoming], values[:-1]])
-        return pdf[[*keys, "_order"]].assign(held_before=before, held=values, replaced=replaced)
-
-    order_type = rows.schema["_order"].dataType.simpleString()
-    key_only = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    held = (
-        join_with_nulls(rows, chained.drop("_stale"), [*keys, _BLOCK])
-        .groupBy(*keys, _BLOCK)
-        .applyInPandas(
-            emit, f"{key_only}, _order {order_type}, held_before double, held double, replaced boolean"
-        )
-        .withColumnRenamed("_order", order)
+        held = float(known["_held"].iloc[0]) if known["_held"].notna().any() else np.nan
+        return pdf[[*keys, _BLOCK]].assign(_incoming=enter(pdf, held))
+
+    def emit(table: pa.Table, known: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        incoming = doubles(known, "_incoming")[0]
+        held, replaced = run_rule(doubles(table, "_candidate"), doubles(table, "_tolerance"), rule, incoming)
+        table = table.select(df_columns)
+        for name, values in (("held_before", np.concatenate([[incoming], held[:-1]])), ("held", held)):
+            table = table.append_column(name, pa.array(values, from_pandas=True))
+        return table.append_column("replaced", pa.array(replaced))
+
+    df_columns = df.columns
+    run = F.floor(F.col(_BLOCK) / fan).cast("bigint").alias("_run")
+    named = placed.rsplit(",", 1)[0] if keys else ""
+    grouped = rows.groupBy(*keys, _BLOCK)
+    maps = grouped.applyInArrow(summarise, f"{placed}, {_MAP}")
+    folded = maps.groupBy(*keys, run).applyInPandas(fold, f"{named}, _run bigint, {_MAP}")
+    chained = folded.groupBy(*keys).applyInPandas(chain, f"{named}, _run bigint, _held double")
+    by_run = maps.groupBy(*keys, run).cogroup(chained.groupBy(*keys, "_run"))
+    incoming = by_run.applyInPandas(unfold, f"{placed}, _incoming double")
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField("held_before", T.DoubleType()),
+            T.StructField("held", T.DoubleType()),
+            T.StructField("replaced", T.BooleanType()),
+        ]
     )
-    return join_with_nulls(df, held, [*keys, order])
+    return grouped.cogroup(incoming.groupBy(*keys, _BLOCK)).applyInArrow(emit, schema)
 
 
 def lag_gaps(

@@ -4,8 +4,9 @@ import random
 from gustline import catalogue as cat
 from gustline.operators import clock, routing, sensors
 from gustline.plans import telemetry
-from gustline.sources import captures
-from gustline.streaming import batches
+from gustline.sources import captures, ranges
+from gustline.streaming import batches, state
+from gustline.streaming import captures as open_captures
 
 LEADERS = frozenset([245, 246, 254])
 
@@ -35,8 +36,11 @@ def test_files_framed_apart_give_the_packets_of_the_whole_stream():
         state, found = 0, []
         for i, part in enumerate(parts):
             tail = b"".join(parts[i + 1 :])[: captures.HEAD_BYTES]
+            ends, counts = captures.transfer(part, LEADERS)
+            begun = len(found)
             found += [packet[:4] for packet in captures.frame(part, tail, state, LEADERS)]
-            state = captures.transfer_table(part, LEADERS)[state]
+            assert len(found) - begun == counts[state]
+            state = ends[state]
         assert found == plain_framing(stream)
 
 
@@ -130,3 +134,89 @@ def test_captures_stream_session_by_session(spark, tmp_path):
         query.awaitTermination()
     counts = spark.read.parquet(out).groupBy("session_id").count().collect()
     assert {r.session_id: r["count"] for r in counts} == {"one": 5, "two": 5}
+
+
+def noisy_session(rng, packets):
+    out = []
+    for _ in range(packets):
+        if rng.random() < 0.2:
+            out.append(bytes(rng.choice([0, 7, 254]) if rng.random() < 0.9 else 3 for _ in range(rng.randrange(4))))
+        out.append(packet(rng.randrange(2), rng.choice([34, 56, 245]), rng.randbytes(rng.choice([0, 1, 13, 244]))))
+    return b"".join(out)
+
+
+def rows_of(packets):
+    return sorted(
+        (r.session_id, r.seq, r.packet_origin, r.packet_type, bytes(r.packet), r.frame_length, round(r.packet_timestamp, 6))
+        for r in packets.collect()
+    )
+
+
+def write_session(folder, content, cuts, arrivals, upto=None):
+    """Files of a session that hold its bytes up to ``upto``, named by their arrival."""
+    ends = [*cuts, len(content)]
+    for i, (a, b) in enumerate(zip([0, *cuts], ends)):
+        seen = b if upto is None else min(b, upto)
+        if seen > a:
+            write(folder, f"f{i:03d}-at{arrivals + 10 * i}.bin", content[a:seen])
+
+
+def test_ranges_of_any_size_give_the_packets_of_whole_files(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    origins = captures.leading_bytes(spark, ["0", "1"])
+    for name in ("a", "b", "c"):
+        content = noisy_session(rng, 60)[: -rng.randrange(1, 200)]
+        write_session(tmp_path / "s" / name, content, sorted(rng.sample(range(len(content)), 4)), 1000)
+    write(tmp_path / "s" / "empty", "f-at1.bin", b"")
+    arrival = r"-at(\d+)"
+    whole = rows_of(captures.frame_chunks(ranges.read_ranges(spark, str(tmp_path / "s"), 1 << 20, arrival), origins, 0.5))
+    assert {r[0] for r in whole} == {"a", "b", "c"} and whole[0][1] == 0
+    assert captures.FAN == 256
+    monkeypatch.setattr(captures, "FAN", 3)  # a tree of several levels
+    for size in (700, 300):
+        chunks = ranges.read_ranges(spark, str(tmp_path / "s"), size, arrival)
+        assert chunks.count() > 25
+        assert rows_of(captures.frame_chunks(chunks, origins, 0.5)) == whole
+
+
+def test_open_sessions_are_followed(spark, tmp_path):
+    """A session spread over micro-batches, in files that grow, gives numbers and times of the whole."""
+    rng = random.Random(4)
+    origins = captures.leading_bytes(spark, ["0", "1"])
+    contents = {n: noisy_session(rng, 40) for n in ("a", "b")}
+    for n in contents:
+        while (last := plain_framing(contents[n])[-1])[2] == len(last[3]):
+            contents[n] += packet(0, 34, b"", 200)
+    cuts = {n: sorted(rng.sample(range(len(c)), 3)) for n, c in contents.items()}
+    follow = open_captures.frame_stream(str(tmp_path / "state"), lambda p, n: out.append(rows_of(p)), origins, 0.25)
+    out, root = [], tmp_path / "s"
+    for upto in (1, 900, 1700, None):
+        write_session(root / "a", contents["a"], cuts["a"], 1000, upto)
+        if upto != 900:  # a batch without a byte of this session
+            write_session(root / "b", contents["b"], cuts["b"], 2000, upto)
+        stream = ranges.stream_ranges(spark, str(root), 350, r"-at(\d+)", "start")
+        batches.for_each_batch(stream, follow, str(tmp_path / "cp")).awaitTermination()
+    assert len(out) == 4
+    ended = spark.createDataFrame([("a",), ("b",)], "session_id string")
+    closed = rows_of(open_captures.close_sessions(spark, str(tmp_path / "state"), origins, ended, 99, 0.25))
+    assert len(closed) == 2 and open_captures.read_state(spark, str(tmp_path / "state"), open_captures.STATE_SCHEMA, ["session_id"], 100).isEmpty()
+    whole = captures.frame_chunks(ranges.read_ranges(spark, str(root), 1 << 20, r"-at(\d+)", "start"), origins, 0.25)
+    assert sorted(sum(out, closed)) == rows_of(whole)
+
+
+def test_state_reads_what_changed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "SNAPSHOT_EVERY", 3)
+    path, schema = str(tmp_path / "state"), "k string, v bigint"
+    held = {}
+    for number in range(11):
+        rows = [(k, number, number == 5 and k == "a") for k in ("a", "b", "c")[number % 2 : number % 3 + 1]]
+        change = spark.createDataFrame(rows, f"{schema}, finished boolean")
+        state.write_state(change, path, schema, ["k"], number)
+        state.write_state(change, path, schema, ["k"], number)  # a batch that runs again
+        for k, v, finished in rows:
+            held[k] = v
+            if finished:
+                del held[k]
+        got = {r.k: r.v for r in state.read_state(spark, path, schema, ["k"], number + 1).collect()}
+        assert got == held
+    assert sorted(n for n in os.listdir(path) if n.startswith("snapshot")) == ["snapshot=2", "snapshot=5", "snapshot=8"]

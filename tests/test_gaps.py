@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gustline.operators import gaps, windows
+from gustline.session import cut_lineage
 
 SCHEMA = (
     "session_id string, seq bigint, packet_origin string, sensor_name string, node_ticks bigint, "
@@ -33,6 +34,70 @@ def test_rule_runs_like_a_plain_loop(rule, tolerance):
         assert list(got) == expected and list(replaced) == fired
 
 
+def draw(rng, rule, n):
+    values = {
+        "strays": rng.normal(0, 1, n).cumsum() if rng.random() < 0.8 else rng.integers(-5, 5, n).astype(float),
+        "close": rng.choice([1 + 0.02 * rng.normal(0, 1, n), rng.choice([1.0, 1.5, 2.25, 0.5, 40.0], n), rng.normal(0, 5, n)]),
+        "elapsed": rng.exponential(rng.choice([0.1, 3, 20]), n).cumsum(),
+    }[rule]
+    values[rng.random(n) < 0.05] = np.nan
+    return values, np.full(n, {"strays": 3.0, "close": rng.choice([0.02, 0.5, 1.0, 1.5]), "elapsed": 10.0}[rule])
+
+
+@pytest.mark.parametrize("rule", ["strays", "close", "elapsed"])
+def test_map_of_a_block_is_what_the_rule_does(rule):
+    """For any incoming value, also at the very edge of a piece, and for blocks in a row."""
+    rng = np.random.default_rng(3)
+    for _ in range(250):
+        blocks = [draw(rng, rule, rng.integers(1, 80)) for _ in range(rng.integers(1, 5))]
+        maps = [gaps.rule_map(*block, rule) for block in blocks]
+        whole = gaps.compose(maps, rule)
+        values = np.concatenate([b[0] for b in blocks])
+        edges = [v * f + d for v in values[~np.isnan(values)][:6] for f in (1, 1 / 1.02, 1 / 0.98, 2, 1 / 1.5) for d in (0, 3, -3, 10, -10)]
+        for incoming in [*rng.normal(0, 8, 15), *rng.uniform(0.5, 2, 10), *edges]:
+            held = incoming
+            for block, known in zip(blocks, maps):
+                expected = gaps.run_rule(*block, rule, held)[0][-1]
+                assert gaps.through(held, known, rule) == expected
+                held = expected
+            assert gaps.through(incoming, whole, rule) == held
+
+
+def test_maps_have_few_pieces():
+    rng = np.random.default_rng(4)
+    n = 50_000
+    steady = rng.normal(100, 1, n)
+    assert len(gaps.rule_map(steady, np.full(n, 0.02), "close")[0]) < 200
+    assert len(gaps.rule_map(rng.normal(0, 50, n), np.full(n, 300.0), "strays")[0]) < 60
+
+
+def test_rows_are_read_and_shuffled_once(spark):
+    """The maps and the run share one shuffle, also where a key has several runs of blocks."""
+    rng = random.Random(6)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [(k, i, 1 + rng.gauss(0, 0.03)) for k in ("a", "b", None) for i in range(400)]
+    schema = "k string, seq bigint, v double"
+    frame = spark.createDataFrame(rows, schema).mapInPandas(count, schema)
+    frame = frame.withColumn("t", F.lit(0.05)).withColumn("payload", F.lit(b"x"))
+    found = gaps.held_values(frame, ["k"], "seq", "v", "t", "close", None, 1).collect()
+    assert seen.value == len(rows) == len(found)
+    assert gaps.FAN < 400
+    for key in ("a", "b", None):
+        mine = sorted((r.seq, r.v, r.held_before, r.held, r.replaced, bytes(r.payload)) for r in found if r.k == key)
+        held = mine[0][1]
+        for _, v, before, after, replaced, payload in mine:
+            hit = abs(v - held) < 0.05 * held
+            assert (before, replaced, payload) == (held, hit, b"x")
+            held = v if hit else held
+            assert after == held
+
+
 def packets(spark, count=900):
     rng, ticks, rows = random.Random(5), {}, []
     for i in range(count):
@@ -104,11 +169,11 @@ def test_state_carries_over(spark):
     carried, drifted, found, drifts = None, None, [], []
     for low in (0, 300):
         part = spark.createDataFrame(rows[low : low + 300], SCHEMA)
-        result = gaps.cut_lineage(gaps.lost_sets(part, carried=carried))
-        carried = gaps.cut_lineage(gaps.lost_state(result, carried))
+        result = cut_lineage(gaps.lost_sets(part, carried=carried))
+        carried = cut_lineage(gaps.lost_state(result, carried))
         found += result.collect()
-        drift = gaps.cut_lineage(gaps.period_drift(part, carried=drifted))
-        drifted = gaps.cut_lineage(gaps.drift_state(drift, drifted))
+        drift = cut_lineage(gaps.period_drift(part, carried=drifted))
+        drifted = cut_lineage(gaps.drift_state(drift, drifted))
         drifts += drift.collect()
     check_lost(found, lost_by_loop(rows))
     expected = drift_by_loop(rows)
