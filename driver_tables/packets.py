@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Window
@@ -20,10 +21,10 @@ from driver_tables.adapters import (
 from driver_tables.registry import query
 from gustline import catalogue as cat
 from gustline.functions import binary
-from gustline.operators import clock, decode, gaps, routing, sensors
-from gustline.plans import telemetry
-from gustline.session import cut_lineage, ensure_checkpoint_dir
-from gustline.sources import captures, ranges
+from gustline.operators import clock, decode, gaps, routing, sensors, setup
+from gustline.plans import configured, telemetry
+from gustline.session import cut_lineage, ensure_checkpoint_dir, literal_table
+from gustline.sources import captures, configuration, ranges
 from gustline.streaming import batches
 from gustline.streaming import captures as open_captures
 
@@ -748,3 +749,119 @@ def q_frame_stream(spark, sf_dir):
         F.md5(F.hex("packet").cast("binary")).alias("payload_md5"),
         F.round("packet_timestamp", 4).alias("packet_timestamp"),
     )
+
+
+_SOUTH_HANDLES = {34: "Diff. baros", 36: "Abs. baros", 38: "Mic 0", 42: "IMU Gyro", 52: "Constat", 54: "Cmd Decline", 56: "Sleep State", 58: "Remote Info Message"}
+GATEWAYS = {
+    "north": {
+        "gateway": {"endian": "little"},
+        "nodes": {str(n): {} for n in range(6)} | {"0": {"baros_freq": 50, "number_of_sensors": cat.NUMBER_OF_SENSORS | {"Baros_P": 20, "Baros_T": 20}}},
+        "measurement_campaign": {},
+    },
+    "south": {
+        "gateway": {"endian": "big"},
+        "nodes": {str(n): {} for n in range(6)}
+        | {
+            "0": {
+                "acc_freq": 25,
+                "gyro_freq": 25,
+                "diff_baros_freq": 500,
+                "samples_per_packet": cat.SAMPLES_PER_PACKET | {"Acc": 20},
+                "initial_node_handles": {str(k): v for k, v in _SOUTH_HANDLES.items()},
+                "sleep_state": {"0": "Waking", "2": "Dozing"},
+                "remote_info_type": {"0": "Status feedback", "1": "Battery info"},
+            }
+        },
+        "measurement_campaign": {},
+    },
+}
+_DEFAULTS_AGAIN = "SELECT number, name FROM (VALUES " + ", ".join(
+    f"({34 + 2 * i}, '{name}')"
+    for i, name in enumerate(
+        ["Abs. baros", "Diff. baros", "Mic 0", "Mic 1", "IMU Accel", "IMU Gyro", "IMU Magnetometer", "Analog1", "Analog2",
+         "Constat", "Cmd Decline", "Sleep State", "Remote Info Message", "Timestamp Packet 0", "Timestamp Packet 1",
+         "Local Info Message"]
+    )
+) + ") n(number, name)"
+
+
+def _either(offset: str, width: int, read) -> str:
+    return f"(CASE WHEN big THEN {read('payload', offset, width, True)} ELSE {read('payload', offset, width)} END)"
+
+
+#: Sensors of each packet name: samples, seconds between them, and the last channel, with what the gateways change.
+_CONFIGURED_SENSORS = f"""
+  SELECT seq, 'Baros_P' AS sensor_name, 1 AS samples, CASE WHEN special AND NOT big THEN 1 / 50e0 ELSE 1 / 100e0 END AS period, 0 AS s,
+    {_either("6 * (CASE WHEN special AND NOT big THEN 19 ELSE 39 END)", 4, _unsigned)} AS v FROM good WHERE packet_type_name = 'Abs. baros'
+  UNION ALL SELECT seq, 'Baros_T', 1, CASE WHEN special AND NOT big THEN 1 / 50e0 ELSE 1 / 100e0 END, 0,
+    {_either("6 * (CASE WHEN special AND NOT big THEN 19 ELSE 39 END) + 4", 2, _signed)} FROM good WHERE packet_type_name = 'Abs. baros'
+  UNION ALL SELECT seq, 'Diff_Baros', 24, CASE WHEN special AND big THEN 1 / 500e0 ELSE 1 / 1000e0 END, s,
+    {_either("2 * (5 * s + 4)", 2, _unsigned)} FROM good, range(24) r(s) WHERE packet_type_name = 'Diff. baros'
+  UNION ALL SELECT seq, 'Mics', 8, 1 / 15625e0, s, {_signed("payload", "3 * (20 * (s // 2) + 5 * (s % 2) + 14)", 3, True)}
+    FROM good, range(8) r(s) WHERE packet_type_name = 'Mic 0'
+  UNION ALL SELECT seq, CASE packet_type_name WHEN 'IMU Accel' THEN 'Acc' WHEN 'IMU Gyro' THEN 'Gyro' ELSE 'Mag' END, 40,
+    CASE WHEN packet_type_name = 'IMU Magnetometer' THEN 1 / 12.5e0 WHEN special AND big THEN 1 / 25e0 ELSE 1 / 100e0 END, s,
+    {_either("6 * s + 4", 2, _signed)} FROM good, range(40) r(s)
+    WHERE packet_type_name IN ('IMU Accel', 'IMU Gyro', 'IMU Magnetometer') AND s < CASE WHEN special AND big THEN 20 ELSE 40 END
+  UNION ALL SELECT seq, 'Constat', 24, 45 / 1000e0, s, {_either("10 * s + 6", 4, _unsigned)} FROM good, range(24) r(s)
+    WHERE packet_type_name = 'Constat'
+  UNION ALL SELECT seq, 'battery_info', 1, 3600e0, 0, {_either("9", 4, _unsigned)} / 256e0 FROM good
+    WHERE packet_type_name = 'Remote Info Message' AND packet_length >= 13
+      AND substr(payload, 1, 2) = CASE WHEN special AND big THEN '01' ELSE '00' END"""
+
+
+@query(
+    f"""WITH {PACKETS},
+placed AS (SELECT * EXCLUDE (clock_ticks), CASE WHEN seq % 2 = 0 THEN 'north' ELSE 'south' END AS session_id,
+    seq % 2 = 1 AND seq >= 40 AS big, packet_origin = '0' AS special, CASE WHEN packet_length = 244 THEN
+      CASE WHEN seq % 2 = 1 AND seq >= 40 THEN {_unsigned("payload", "240", 4, True)} ELSE {_unsigned("payload", "240", 4)} END END AS ticks
+  FROM packets),
+started AS (SELECT *, last_value(CASE WHEN packet_type = 255 THEN def_start END IGNORE NULLS) OVER w AS hs, count_if(packet_type = 255) OVER w AS seg
+  FROM placed WINDOW w AS (PARTITION BY session_id, packet_origin ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+named AS (SELECT p.*, CASE WHEN packet_type = 255 THEN NULL WHEN hs IS NOT NULL THEN d.name
+      WHEN special AND big THEN CASE packet_type {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _SOUTH_HANDLES.items())} END ELSE i.name END AS packet_type_name
+  FROM started p LEFT JOIN ({_DEFAULTS_AGAIN}) d ON d.number = p.packet_type - p.hs + 32 LEFT JOIN ({_DEFAULTS_AGAIN}) i ON i.number = p.packet_type),
+entered AS (SELECT *, CASE WHEN packet_type = 255 THEN packet_timestamp
+      WHEN packet_type_name = 'Constat' AND packet_length = 244 THEN packet_timestamp - ticks / 65536e0 END AS entry FROM named),
+medians AS (SELECT * EXCLUDE (l), (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS m0
+  FROM (SELECT *, CASE WHEN entry IS NOT NULL THEN list_sort(list(entry) OVER (PARTITION BY session_id, packet_origin, seg, entry IS NOT NULL
+      ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) END AS l FROM entered)),
+offsets AS (SELECT *, last_value(m0 IGNORE NULLS) OVER (PARTITION BY session_id, packet_origin, seg ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS time_offset FROM medians),
+good AS (SELECT *, CASE WHEN packet_length = 244 THEN ticks / 65536e0 + time_offset ELSE packet_timestamp END AS abs_time
+  FROM offsets WHERE packet_type <> 255 AND packet_type_name IS NOT NULL AND (packet_length <> 244 OR time_offset IS NOT NULL)
+    AND (packet_length >= 240 OR packet_type_name IN ('Remote Info Message', 'Sleep State', 'Cmd Decline', 'Mic 1'))),
+codes AS (SELECT session_id, packet_origin, CASE
+      WHEN packet_type_name = 'Sleep State' AND packet_length = 1 THEN CASE WHEN special AND big THEN CASE substr(payload, 1, 2) WHEN '00' THEN 'Waking' WHEN '02' THEN 'Dozing' END
+        ELSE CASE substr(payload, 1, 2) WHEN '00' THEN 'Exiting sleep' WHEN '01' THEN 'Entering sleep' END END
+      WHEN packet_type_name = 'Remote Info Message' AND substr(payload, 1, 2) IN ('00', '01') THEN
+        CASE WHEN (substr(payload, 1, 2) = '00') = (special AND big) THEN 'Status feedback' WHEN packet_length >= 13 THEN 'Battery info' END END AS event
+  FROM good),
+samples AS ({_CONFIGURED_SENSORS})
+SELECT session_id, packet_origin AS node_id, sensor_name AS name, count(*) AS n, sum(v)::DOUBLE AS total,
+  round(min(abs_time + s * period), 3) AS first_time, round(max(abs_time + s * period), 3) AS last_time
+FROM samples JOIN good USING (seq) GROUP BY ALL
+UNION ALL SELECT session_id, packet_origin, event, count(*), NULL, NULL, NULL FROM codes WHERE event IS NOT NULL GROUP BY ALL"""
+)
+def q_configured_telemetry(spark, sf_dir):
+    """Two gateways in one job, whose nodes "0" differ in rates, counts, handles, codes and byte order.
+
+    The south gateway runs with the north's configuration until its fortieth event.
+    """
+    session = F.when(F.col("seq") % 2 == 0, "north").otherwise("south")
+    packets = packets_from_events(table(spark, sf_dir, "events")).drop("node_ticks").withColumn("session_id", session)
+    documents = [(name, json.dumps(document)) for name, document in GATEWAYS.items()]
+    loaded = configuration.load(literal_table(spark, documents, "path string, document string"))
+    places = [("north", 0, "north"), ("south", 0, "north"), ("south", 40, "south")]
+    assigned = literal_table(spark, places, "session_id string, from_seq bigint, path string")
+    telemetry_of = configured.read_configured(packets, setup.setup_of(loaded, assigned), BLOCK_ROWS)
+    last = F.element_at("sensor_value", -1)
+    samples = telemetry_of.samples.groupBy("session_id", "node_id", F.col("sensor_name").alias("name")).agg(
+        F.count("*").alias("n"),
+        F.sum(last).alias("total"),
+        F.round(F.min("sample_time"), 3).alias("first_time"),
+        F.round(F.max("sample_time"), 3).alias("last_time"),
+    )
+    named = telemetry_of.events.where(F.col("packet_type_name").isin("Sleep State", "Remote Info Message"))
+    events = named.groupBy("session_id", F.col("packet_origin").alias("node_id"), F.col("event").alias("name")).agg(F.count("*").alias("n"))
+    return samples.unionByName(events, allowMissingColumns=True)

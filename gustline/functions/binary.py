@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _hex_digits(payload: Column, offset: int, width: int, endian: str) -> Column:
+def _hex_digits(payload: Column, offset: int, width: int, endian: str | Column) -> Column:
+    if isinstance(endian, Column):
+        big, little = (_hex_digits(payload, offset, width, order) for order in ("big", "little"))
+        return big if width == 1 else F.when(endian == "big", big).otherwise(little)
     positions = range(offset, offset + width)
     if endian == "little":
         # byte order is swapped by picking bytes one by one: reverse() on binary works on UTF-8 characters
@@ -21,8 +24,8 @@ def _hex_digits(payload: Column, offset: int, width: int, endian: str) -> Column
     return F.hex(F.substring(payload, offset + 1, width))
 
 
-def unsigned_int(payload: Column, offset: int, width: int, endian: str = "little") -> Column:
-    """Unsigned integer of ``width`` bytes; null when the payload is too short."""
+def unsigned_int(payload: Column, offset: int, width: int, endian: str | Column = "little") -> Column:
+    """Unsigned integer of ``width`` bytes; null when the payload is too short.  ``endian`` may differ from row to row."""
     value = F.conv(_hex_digits(payload, offset, width, endian), 16, 10).cast("bigint")
     return F.when(F.octet_length(payload) >= offset + width, value)
 
@@ -47,8 +50,10 @@ def float32(payload: Column, offset: int, endian: str = "little") -> Column:
     )
 
 
-def whole_unsigned(payload: Column, endian: str = "little") -> Column:
+def whole_unsigned(payload: Column, endian: str | Column = "little") -> Column:
     """The whole payload, of any length, as one unsigned integer; null when empty or beyond 56 bits."""
+    if isinstance(endian, Column):
+        return F.when(endian == "big", whole_unsigned(payload, "big")).otherwise(whole_unsigned(payload, "little"))
     size = F.octet_length(payload)
     kept = F.least(size, F.lit(7))
     if endian == "little":
@@ -73,12 +78,12 @@ def _words(payloads: pa.Array, offsets: pa.Array, counts: pa.Array, big_endian:
     within = np.arange(bounds[-1]) - np.repeat(bounds[:-1], wanted)
     at = np.repeat(starts[:-1] + from_byte, wanted) + 4 * within
     quads = np.ascontiguousarray(data[at[:, None] + np.arange(4)])
-    big = bool(len(big_endian)) and big_endian[0].as_py()
-    values = quads.view(">u4" if big else "<u4").ravel().astype(np.int64)
+    big = np.repeat(big_endian.fill_null(False).to_numpy(zero_copy_only=False), wanted)
+    values = np.where(big, quads.view(">u4").ravel(), quads.view("<u4").ravel()).astype(np.int64)
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def word_array(payload: Column, offset: int, count: Column, endian: str = "little") -> Column:
+def word_array(payload: Column, offset: int, count: Column, endian: str | Column = "little") -> Column:
     """Up to ``count`` consecutive unsigned 32-bit words from ``offset`` on, as many as the payload holds whole.
 
     Long word dumps are unpacked a batch at a time with numpy.

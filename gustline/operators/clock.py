@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from gustline import catalogue as cat
 from gustline.functions import binary
 from gustline.operators.ordered import BLOCK_ROWS, asof_join, last_rows, ordinals, rolling, running_totals
-from gustline.session import cut_lineage, literal_table
+from gustline.session import broadcast_if_small, cut_lineage, literal_table
 
 KEYS = ["session_id", "packet_origin"]
+#: What names a configured node, beside the session: the same node differs between configurations.
+CONFIGURATION = "configuration_path"
+ORIGIN_KEYS = [CONFIGURATION, "packet_origin"]
 _NO_DEFINITION = -1
 # names of handle maps that belong to no single origin
 _DEFAULT, _DEFINED = "(default)", "(defined)"
@@ -58,12 +61,28 @@ def _handle_table(spark: SparkSession, handles: HandleMaps) -> DataFrame:
     return literal_table(spark, rows, "_map string, _number int, packet_type_name string")
 
 
-def with_type_name(packets: DataFrame, handles: HandleMaps = HandleMaps()) -> DataFrame:
+def _with_configured_name(packets: DataFrame, handles: DataFrame) -> DataFrame:
+    distance = (F.col("packet_type") - F.col("handle_start")).cast("int")
+    defined = literal_table(
+        packets.sparkSession, [(2 * (i + 1), name) for i, name in enumerate(cat.PACKET_NAMES)], "_number int, _defined string"
+    )
+    own = handles.select(*ORIGIN_KEYS, "packet_type", F.col("packet_type_name").alias("_initial"))
+    named = packets.withColumn("_number", distance).join(F.broadcast(defined), "_number", "left")
+    named = named.join(broadcast_if_small(own), [*ORIGIN_KEYS, "packet_type"], "left")
+    name = F.when(F.col("handle_start").isNotNull(), F.col("_defined")).otherwise(F.col("_initial"))
+    return named.select(*packets.columns, name.alias("packet_type_name"))
+
+
+def with_type_name(packets: DataFrame, handles: HandleMaps | DataFrame = HandleMaps()) -> DataFrame:
     """Adds ``packet_type_name``, null for unknown types.
 
     Under a handle definition the names sit at even distances above its start;
-    before the first one, the origin's initial map applies.
+    before the first one, the origin's initial map applies.  With ``handles`` as
+    a table (ORIGIN_KEYS, packet_type, packet_type_name) that is the map of the
+    configuration that each packet names.
     """
+    if isinstance(handles, DataFrame):
+        return _with_configured_name(packets, handles)
     own = sorted(origin for origin in handles.tables() if origin is not None)
     initial = F.when(F.col("packet_origin").isin(own), F.col("packet_origin")).otherwise(_DEFAULT)
     defined = F.col("handle_start").isNotNull()
@@ -79,13 +98,13 @@ def with_type_name(packets: DataFrame, handles: HandleMaps = HandleMaps()) -> Da
     return keyed.join(table, ["_map", "_number"], "left").drop("_map", "_number")
 
 
-def node_ticks(endian: str = "little") -> Column:
+def node_ticks(endian: str | Column = "little") -> Column:
     """Node clock of full-length packets, in 2^-16 s; null for other lengths."""
     ticks = binary.unsigned_int(F.col("packet"), cat.NODE_CLOCK_OFFSET, 4, endian)
     return F.when(F.octet_length("packet") == cat.FULL_PACKET_BYTES, ticks)
 
 
-def with_control_columns(packets: DataFrame, endian: str = "little") -> DataFrame:
+def with_control_columns(packets: DataFrame, endian: str | Column = "little") -> DataFrame:
     """Adds ``packet_length`` and ``node_ticks`` unless the table already stores them.
 
     A packet table that stores them lets the control passes skip the payload column.
@@ -116,7 +135,7 @@ def unwrap_ticks(packets: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     ).drop("_wraps")
 
 
-def handle_definitions(packets: DataFrame, endian: str = "little") -> DataFrame:
+def handle_definitions(packets: DataFrame, endian: str | Column = "little") -> DataFrame:
     """Start and end handle of every (re)connect; ``handle_error`` flags an unexpected span."""
     start = binary.unsigned_int(F.col("packet"), 0, 1, endian)
     end = binary.unsigned_int(F.col("packet"), 2, 1, endian)
@@ -132,8 +151,8 @@ def handle_definitions(packets: DataFrame, endian: str = "little") -> DataFrame:
 
 def control_entries(
     packets: DataFrame,
-    handles: HandleMaps = HandleMaps(),
-    endian: str = "little",
+    handles: HandleMaps | DataFrame = HandleMaps(),
+    endian: str | Column = "little",
     carried: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -158,10 +177,14 @@ def control_entries(
 
     # a packet type is one byte, so this side has at most 256 rows
     possible = known.select((F.col("handle_start") + cat.CONSTAT_HANDLE_DISTANCE).cast("int").alias("packet_type"))
-    initial = literal_table(packets.sparkSession, [(t,) for t in handles.constat_types()], "packet_type int")
+    if isinstance(handles, DataFrame):
+        initial = handles.where(F.col("packet_type_name") == cat.CONSTAT).select("packet_type")
+    else:
+        initial = literal_table(packets.sparkSession, [(t,) for t in handles.constat_types()], "packet_type int")
+    named_by = [c for c in ORIGIN_KEYS if c not in KEYS and c in packets.columns]
     candidates = (
         packets.where((F.col("packet_type") != cat.HANDLE_DEFINITION_TYPE) & F.col("node_ticks").isNotNull())
-        .select(*KEYS, "seq", "packet_type", "packet_timestamp", "node_ticks")
+        .select(*KEYS, *named_by, "seq", "packet_type", "packet_timestamp", "node_ticks")
         .join(F.broadcast(possible.unionByName(initial).distinct()), "packet_type", "left_semi")
     )
     placed = asof_join(candidates, known, KEYS, "seq", ["definition_seq", "handle_start"], block_rows)
@@ -201,8 +224,8 @@ def control_state(
 def align_with_entries(
     packets: DataFrame,
     entries: DataFrame,
-    handles: HandleMaps = HandleMaps(),
-    endian: str = "little",
+    handles: HandleMaps | DataFrame = HandleMaps(),
+    endian: str | Column = "little",
     history: int = cat.CLOCK_HISTORY,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
@@ -222,8 +245,8 @@ def align_with_entries(
 
 def align_packets(
     packets: DataFrame,
-    handles: HandleMaps = HandleMaps(),
-    endian: str = "little",
+    handles: HandleMaps | DataFrame = HandleMaps(),
+    endian: str | Column = "little",
     history: int = cat.CLOCK_HISTORY,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:

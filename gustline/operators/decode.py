@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,41 @@ def _payload_block(packets: pa.Array, rows: np.ndarray, size: int) -> np.ndarray
     return data[starts[:, None] + np.arange(size)]
 
 
+def _samples_of(count: int, packets: pa.Array, groups: list[tuple[np.ndarray, list[Layout]]]) -> pa.Array:
+    """Samples of ``count`` packets, those of each group of rows by its layouts."""
+    sensor_parts, position_parts, value_parts, length_parts = [], [], [], []
+    counts = np.zeros(count, dtype=np.int64)
+    order = []
+    for rows, members in groups:
+        block = _payload_block(packets, rows, max(m.min_bytes for m in members))
+        for member in members:
+            values = _numbers(block, member)
+            n_rows, n_samples, n_channels = values.shape
+            sensor_parts.append(pa.array([member.sensor_name]).take(pa.array(np.zeros(n_rows * n_samples, int))))
+            position_parts.append(np.tile(np.arange(n_samples, dtype=np.int32), n_rows))
+            value_parts.append(values.ravel())
+            length_parts.append(np.full(n_rows * n_samples, n_channels))
+            order.append(np.repeat(rows, n_samples))
+            counts[rows] += n_samples
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    if not order:
+        element = pa.struct([("sensor_name", pa.string()), ("position", pa.int32()), ("sensor_value", pa.list_(pa.float64()))])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array([], type=element))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(length_parts))]).astype(np.int32)
+    samples = pa.StructArray.from_arrays(
+        [
+            pa.concat_arrays(sensor_parts),
+            pa.array(np.concatenate(position_parts)),
+            pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(value_parts))),
+        ],
+        names=["sensor_name", "position", "sensor_value"],
+    )
+    owner = np.concatenate(order)
+    if (np.diff(owner) < 0).any():
+        samples = samples.take(pa.array(np.argsort(owner, kind="stable")))
+    return pa.ListArray.from_arrays(pa.array(offsets), samples)
+
+
 def _decoder(chosen: Sequence[Layout]):
     groups: dict[tuple[str, str | None], list[Layout]] = {}
     for layout in chosen:
@@ -163,9 +199,7 @@ def _decoder(chosen: Sequence[Layout]):
         name_index = name_codes.indices.to_numpy(zero_copy_only=False)
         node_index = node_codes.indices.to_numpy(zero_copy_only=False)
         node_values = node_codes.dictionary.to_pylist()
-        sensor_parts, position_parts, value_parts, length_parts = [], [], [], []
-        counts = np.zeros(len(names), dtype=np.int64)
-        order = []
+        found = []
         for (name, node), members in groups.items():
             if name not in name_codes.dictionary.to_pylist():
                 continue
@@ -176,41 +210,63 @@ def _decoder(chosen: Sequence[Layout]):
             else:
                 hit &= np.isin(node_index, [i for i, value in enumerate(node_values) if value == node])
             rows = np.flatnonzero(hit)
-            if not len(rows):
-                continue
-            block = _payload_block(packets, rows, max(m.min_bytes for m in members))
-            for member in members:
-                values = _numbers(block, member)
-                n_rows, n_samples, n_channels = values.shape
-                sensor_parts.append(pa.array([member.sensor_name]).take(pa.array(np.zeros(n_rows * n_samples, int))))
-                position_parts.append(np.tile(np.arange(n_samples, dtype=np.int32), n_rows))
-                value_parts.append(values.ravel())
-                length_parts.append(np.full(n_rows * n_samples, n_channels))
-                order.append(np.repeat(rows, n_samples))
-                counts[rows] += n_samples
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        if not order:
-            element = pa.struct([("sensor_name", pa.string()), ("position", pa.int32()), ("sensor_value", pa.list_(pa.float64()))])
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array([], type=element))
-        bounds = np.concatenate([[0], np.cumsum(np.concatenate(length_parts))]).astype(np.int32)
-        samples = pa.StructArray.from_arrays(
-            [
-                pa.concat_arrays(sensor_parts),
-                pa.array(np.concatenate(position_parts)),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(value_parts))),
-            ],
-            names=["sensor_name", "position", "sensor_value"],
-        )
-        owner = np.concatenate(order)
-        if (np.diff(owner) < 0).any():
-            samples = samples.take(pa.array(np.argsort(owner, kind="stable")))
-        return pa.ListArray.from_arrays(pa.array(offsets), samples)
+            if len(rows):
+                found.append((rows, members))
+        return _samples_of(len(names), packets, found)
 
     decode.__annotations__ = {"names": pa.Array, "nodes": pa.Array, "packets": pa.Array, "return": pa.Array}
     # declared non-deterministic so that no filter inferred from unfolding the samples decodes a second time
     return F.arrow_udf(decode, SAMPLE_TYPE).asNondeterministic()
 
 
+#: The sensor whose counts shape each packet type.
+SHAPED_BY = {
+    "Abs. baros": "Baros_P",
+    "Diff. baros": "Diff_Baros",
+    "Mic 0": "Mics",
+    "IMU Accel": "Acc",
+    "IMU Gyro": "Acc",
+    "IMU Magnetometer": "Acc",
+    "Constat": "Constat",
+    "Analog Vbat": "Analog Vbat",
+}
+
+
+@lru_cache(maxsize=4096)
+def shaped_layouts(packet_type_name: str, channels: int, samples: int, endian: str) -> list[Layout]:
+    """The layouts of one packet type for the counts and byte order that a node is configured with."""
+    sensor = SHAPED_BY.get(packet_type_name)
+    if sensor is None:
+        return []
+    every = layouts({sensor: channels}, {sensor: samples}, endian)
+    return [layout for layout in every if layout.packet_type_name == packet_type_name]
+
+
+def _configured(names: pa.Array, channels: pa.Array, samples: pa.Array, endians: pa.Array, packets: pa.Array) -> pa.Array:
+    columns = [c.dictionary_encode() for c in (names, channels, samples, endians)]
+    codes = np.stack([c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+    shapes, which = np.unique(codes, axis=0, return_inverse=True)
+    found = []
+    for i, shape in enumerate(shapes):
+        if (shape >= 0).all():
+            members = shaped_layouts(*[c.dictionary[int(k)].as_py() for c, k in zip(columns, shape)])
+            if members:
+                found.append((np.flatnonzero(which.ravel() == i), members))
+    return _samples_of(len(names), packets.cast(pa.binary()), found)
+
+
+def decode_configured(packets: DataFrame, decodable: Column, instead: Column | None = None) -> DataFrame:
+    """:func:`decode_packets` by the layout that each row itself names: ``channels``, ``samples`` and ``endian``."""
+    pick = lambda c: F.when(decodable, F.col(c))
+    # declared non-deterministic so that no filter inferred from unfolding the samples decodes a second time
+    decoder = F.arrow_udf(_configured, SAMPLE_TYPE).asNondeterministic()
+    decoded = decoder(*[pick(c) for c in ("packet_type_name", "channels", "samples", "endian", "packet")])
+    if instead is not None:
+        decoded = F.coalesce(instead, decoded)
+    kept = [c for c in packets.columns if c not in ("packet", "channels", "samples", "endian")]
+    return packets.select(*kept, decoded.alias("_samples")).select(*kept, F.inline("_samples"))
+
+
 def _check_keys(chosen: Sequence[Layout]) -> None:
     nodes = {l.node_id for l in chosen}
     for node in nodes - {None}:
@@ -286,7 +342,7 @@ def decode_natively(packets: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def battery_sample(endian: str = "little") -> Column:
+def battery_sample(endian: str | Column = "little") -> Column:
     """The one sample of a battery packet (after its code byte): voltage, cycle count, state of charge."""
     word = lambda offset: binary.unsigned_int(F.col("packet"), offset, 4, endian)
     return F.array(
@@ -298,7 +354,7 @@ def battery_sample(endian: str = "little") -> Column:
     )
 
 
-def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
+def decode_battery(packets: DataFrame, endian: str | Column = "little") -> DataFrame:
     kept = [c for c in packets.columns if c != "packet"]
     return packets.select(*kept, F.inline(battery_sample(endian)))
 
@@ -307,7 +363,7 @@ def decode_battery(packets: DataFrame, endian: str = "little") -> DataFrame:
 SYNC_WORDS = {0: 18, 1: 60, 2: 61, 3: 61, 4: 61}
 
 
-def time_sync_faults(packets: DataFrame, endian: str = "little") -> DataFrame:
+def time_sync_faults(packets: DataFrame, endian: str | Column = "little") -> DataFrame:
     """Dumps that :func:`decode_time_sync` can't give whole, with ``reject_reason``."""
     kind = binary.unsigned_int(F.col("packet"), 1, 4, endian)
     words = F.floor((F.octet_length("packet") - 5) / 4)
@@ -321,7 +377,7 @@ def time_sync_faults(packets: DataFrame, endian: str = "little") -> DataFrame:
 
 
 def decode_time_sync(
-    packets: DataFrame, endian: str = "little", central_limit: int | None = None, keys: Sequence[str] = ("packet_origin",)
+    packets: DataFrame, endian: str | Column = "little", central_limit: int | None = None, keys: Sequence[str] = ("packet_origin",)
 ) -> DataFrame:
     """Time synchronisation dumps: (kind, position, value) rows; a cut-off dump gives the words that it has.
     Other kinds and cut-off dumps are told by :func:`time_sync_faults`.
@@ -355,7 +411,7 @@ def _cut_central(words: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame
     return words.where("kind <> 1").unionByName(cut.drop("_so_far"))
 
 
-def decode_ticks(packets: DataFrame, endian: str = "little") -> DataFrame:
+def decode_ticks(packets: DataFrame, endian: str | Column = "little") -> DataFrame:
     """Timestamp packets: each whole 32-bit word of the payload is one tick row."""
     count = F.floor(F.octet_length("packet") / 4)
     words = binary.word_array(F.col("packet"), 0, count, endian)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from gustline import catalogue as cat
 from gustline.functions import binary
+from gustline.operators.clock import ORIGIN_KEYS
 from gustline.operators.decode import Layout, layouts, min_bytes
-from gustline.session import literal_table
+from gustline.session import broadcast_if_small, literal_table
 
 SENSOR, TICKS, REMOTE_INFO, LOCAL_INFO, REJECT = "sensor", "ticks", "remote_info", "local_info", "reject"
 UNSUPPORTED = "unsupported"
@@ -31,17 +32,24 @@ def _destinations(spark: SparkSession, needed: dict) -> DataFrame:
     )
 
 
-def classify(aligned: DataFrame, chosen: Sequence[Layout] | None = None) -> DataFrame:
+def classify(
+    aligned: DataFrame, chosen: Sequence[Layout] | None = None, configured: DataFrame | None = None
+) -> DataFrame:
     """Adds ``route`` and ``reject_reason``.  A bad packet is a row with a reason; it never fails the job.
 
-    A payload is short if its layout needs more, or if the capture ended inside it.
+    A payload is short if its layout needs more, or if the capture ended inside it.  ``configured`` (ORIGIN_KEYS,
+    packet_type_name, channels, samples, needed) has the layouts of each configured node, whose shape comes along.
     """
     spark = aligned.sparkSession
     needed = min_bytes(list(chosen) if chosen is not None else layouts())
     placed = aligned.join(F.broadcast(_destinations(spark, needed)), "packet_type_name", "left")
     size = F.col("_needed")
     overrides = [(name, node, n) for (name, node), n in needed.items() if node is not None]
-    if overrides:
+    if configured is not None:
+        shapes = broadcast_if_small(configured.withColumnRenamed("needed", "_own"))
+        placed = placed.join(shapes, [*ORIGIN_KEYS, "packet_type_name"], "left")
+        size = F.coalesce("_own", "_needed")
+    elif overrides:
         own = literal_table(spark, overrides, "packet_type_name string, packet_origin string, _own int")
         placed = placed.join(F.broadcast(own), ["packet_type_name", "packet_origin"], "left")
         size = F.coalesce("_own", "_needed")
@@ -57,6 +65,7 @@ def classify(aligned: DataFrame, chosen: Sequence[Layout] | None = None) -> Data
     )
     return placed.withColumn("reject_reason", reason).select(
         *aligned.columns,
+        *(["channels", "samples"] if configured is not None else []),
         F.when(F.col("reject_reason").isNull(), F.col("_route")).otherwise(REJECT).alias("route"),
         "reject_reason",
     )
@@ -85,13 +94,14 @@ def _code_table(spark: SparkSession, codes: dict[str, dict[int, str]], node_code
 
 def node_events(
     classified: DataFrame,
-    codes: dict[str, dict[int, str]] | None = None,
+    codes: dict[str, dict[int, str]] | DataFrame | None = None,
     node_codes: dict[str, dict[str, dict[int, str]]] | None = None,
-    endian: str = "little",
+    endian: str | Column = "little",
 ) -> DataFrame:
     """Info messages with their meaning; unknown codes and cut-off battery records carry a reject reason.
 
-    ``node_codes`` replaces whole code tables for single origins.
+    ``node_codes`` replaces whole code tables for single origins.  ``codes`` as a table (ORIGIN_KEYS,
+    packet_type_name, code, event) has those of each configured node.
     """
     message, payload = F.col("packet_type_name"), F.col("packet")
     whole = message.isin("Cmd Decline", "Sleep State")
@@ -104,10 +114,14 @@ def node_events(
         code.alias("code"),
         F.when(replaced, F.col("packet_origin")).otherwise("").alias("_owner"),
     )
-    table = _code_table(classified.sparkSession, codes or default_codes(), node_codes or {})
+    if isinstance(codes, DataFrame):
+        table, own = broadcast_if_small(codes), [*ORIGIN_KEYS, "packet_type_name", "code"]
+    else:
+        table = F.broadcast(_code_table(classified.sparkSession, codes or default_codes(), node_codes or {}))
+        own = ["_owner", "packet_type_name", "code"]
     cut_off = (F.col("event") == cat.BATTERY_INFO) & (F.col("packet_length") < BATTERY_BYTES)
     return (
-        coded.join(F.broadcast(table), ["_owner", "packet_type_name", "code"], "left")
+        coded.join(table, own, "left")
         .drop("_owner")
         .withColumn(
             "reject_reason",

@@ -46,6 +46,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def refuse_duplicates(table: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raises if a dimension has two rows for one key."""
+    twice = table.groupBy(*keys).count().where("count > 1").select(*keys).limit(5).collect()
+    if twice:
+        raise ValueError(f"{what} have more than one row for {[tuple(r) for r in twice]}")
+
+
 def join_with_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """An equi-join on columns of both sides in which null keys meet null keys."""
     own = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
