@@ -25,7 +25,7 @@ from gustline.operators import clock, decode, gaps, routing, sensors, setup
 from gustline.plans import configured, telemetry
 from gustline.session import cut_lineage, ensure_checkpoint_dir, literal_table
 from gustline.sources import captures, configuration, ranges
-from gustline.streaming import batches
+from gustline.streaming import batches, keyed
 from gustline.streaming import captures as open_captures
 
 # small enough that the test tables span several blocks
@@ -865,3 +865,59 @@ def q_configured_telemetry(spark, sf_dir):
     named = telemetry_of.events.where(F.col("packet_type_name").isin("Sleep State", "Remote Info Message"))
     events = named.groupBy("session_id", F.col("packet_origin").alias("node_id"), F.col("event").alias("name")).agg(F.count("*").alias("n"))
     return samples.unionByName(events, allowMissingColumns=True)
+
+
+_SESSIONS = 8
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(
+    f"""WITH RECURSIVE size AS (SELECT (max(event_id) + {_SESSIONS}) // {_SESSIONS} AS l, max(event_id) AS latest FROM events),
+{GAP_PACKETS},
+m AS (SELECT p.*, seq // l AS session, l, latest, row_number() OVER w AS k, lag(t) OVER w AS b FROM p, size
+  WINDOW w AS (PARTITION BY seq // l, packet_origin, sensor_name ORDER BY seq)),
+f AS (
+  SELECT m.*, 100e0 AS period, false AS lost FROM m WHERE k = 1
+  UNION ALL
+  SELECT m.*, CASE WHEN abs((m.t - m.b) / 40e0 / 65536e0 - f.period) < {MAX_DRIFT} * f.period THEN (m.t - m.b) / 40e0 / 65536e0 ELSE f.period END,
+    NOT abs((m.t - m.b) / 40e0 / 65536e0 - f.period) < {MAX_DRIFT} * f.period
+  FROM f JOIN m ON m.session = f.session AND m.packet_origin = f.packet_origin AND m.sensor_name = f.sensor_name AND m.k = f.k + 1)
+SELECT 's' || session AS session_id, packet_origin, sensor_name, seq, round(period, 6) AS current_period, lost, NULL AS packets, NULL AS lost_packets,
+  NULL AS total_gap_ms, NULL AS latest_losses FROM f
+UNION ALL
+SELECT 's' || session, packet_origin, sensor_name, NULL, round(arg_max(period, seq), 6), NULL, count(*), CAST(count_if(lost) AS BIGINT),
+  round(coalesce(sum((t - b) / 65536e0 * 1000) FILTER (lost), 0), 2),
+  coalesce(array_to_string(list_slice(list(seq ORDER BY seq) FILTER (lost), -5, -1), ','), '')
+FROM f GROUP BY session, packet_origin, sensor_name, l, latest HAVING max(seq) + l + 20.5 <= latest - 10"""
+)
+def q_stream_drift(spark, sf_dir):
+    """Adaptive periods in Spark's state store over three runs of a stream, and the totals of sessions that have ended."""
+    packets = sensor_packets_from_events(table(spark, sf_dir, "events"))
+    latest = packets.agg(F.max("seq")).first()[0] or 0
+    length = (latest + _SESSIONS) // _SESSIONS
+    session = F.concat(F.lit("s"), F.floor(F.col("seq") / length).cast("string"))
+    packets = packets.withColumn("session_id", session).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
+    base = f"{ensure_checkpoint_dir(spark)}/drift-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, _ROCKS)
+    try:
+        for i in range(3):
+            low, high = (latest + 1) * i // 3, (latest + 1) * (i + 1) // 3
+            packets.where((F.col("seq") >= low) & (F.col("seq") < high)).write.mode("append").parquet(f"{base}/in")
+            stream = spark.readStream.schema(packets.schema).parquet(f"{base}/in")
+            found = keyed.drift_with_end(stream, "at", length + 20.5, MAX_DRIFT, 10.0)
+            write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+            batches.for_each_batch(found, write, f"{base}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{base}/out").select(
+        *gaps.PACKET_KEYS,
+        "seq",
+        F.round("current_period", 6).alias("current_period"),
+        "lost",
+        "packets",
+        "lost_packets",
+        F.round("total_gap_ms", 2).alias("total_gap_ms"),
+        F.array_join("latest_losses", ",").alias("latest_losses"),
+    )
