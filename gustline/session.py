@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -41,6 +42,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class StagedTable:
+    """A frame written once as Parquet in the shared folder; readers see its columns and partitions alone.
+
+    It survives lost executors.  ``drop`` removes it when what was made of it has been written.
+    """
+
+    def __init__(self, df: DataFrame, partition_by: Sequence[str] = ()):
+        spark = df.sparkSession
+        self._spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(self.path)
+        kinds = {f.name: f for f in df.schema}
+        fields = [f for f in df.schema if f.name not in partition_by] + [kinds[c] for c in partition_by]
+        self.table = spark.read.schema(T.StructType(fields)).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only when the frame is counted to be small; otherwise Spark picks a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -5,15 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gustline.plans.ingest import CAMPAIGN_SCHEMA, CONFIGURATION_SCHEMA, ingest_windows, unsent_windows
-from gustline.session import broadcast_if_small
+from gustline.plans.ingest import CAMPAIGN_SCHEMA, CONFIGURATION_SCHEMA, PART_KEYS, ingest_windows, unsent_windows
+from gustline.session import broadcast_if_small, cut_lineage, join_with_nulls, literal_table
 from gustline.sources import sinks
-from gustline.sources.windows import as_windows, read_window_metadata, read_windows
+from gustline.sources.windows import METADATA_SUFFIX, as_windows, read_window_metadata, read_windows
 from gustline.streaming.batches import for_each_batch
 
 
@@ -23,6 +22,37 @@ def new_windows(spark: SparkSession, windows_path: str, max_files_per_trigger: i
     return as_windows(stream.option("recursiveFileLookup", "true").schema("value string").text(windows_path))
 
 
+def new_sidecars(spark: SparkSession, windows_path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Each metadata file beside the windows once, as it appears: window_path, window_metadata, modified."""
+    stream = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).option("wholetext", "true")
+    files = stream.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{METADATA_SUFFIX}")
+    stem = F.regexp_replace(F.col("_metadata.file_path"), r"\.metadata\.json$", "")
+    return files.schema("value string").text(windows_path).select(
+        stem.alias("window_path"),
+        F.col("value").alias("window_metadata"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
+
+
+def paired_windows(
+    windows: DataFrame, sidecars: DataFrame, delay: str = "1 hour", time: Column | None = None
+) -> DataFrame:
+    """Streams of windows and of their metadata, in whatever order they come, as one stream.
+
+    A window waits for its metadata, and metadata for its window, until event time has passed by ``delay``; then the
+    window comes without.  Neither folders nor files that came before are listed or read again.  ``time`` is an
+    expression over ``window_path`` for event time; by default it is the files' modification time.
+    """
+    at = time if time is not None else F.col("ingest_seq.modified")
+    left = windows.withColumn("_at", at).withWatermark("_at", delay)
+    beside = time if time is not None else F.col("modified")
+    right = sidecars.select(F.col("window_path"), "window_metadata", beside.alias("_told_at"))
+    right = right.withColumnRenamed("window_path", "_told_path").withWatermark("_told_at", delay)
+    near = F.expr(f"_told_at >= _at - INTERVAL {delay} AND _told_at <= _at + INTERVAL {delay}")
+    paired = left.join(right, (F.col("window_path") == F.col("_told_path")) & near, "left_outer")
+    return paired.select("window_path", "document", "ingest_seq", "window_metadata")
+
+
 def _sidecars(spark: SparkSession, batch: DataFrame) -> DataFrame:
     """Metadata beside the windows of a batch: only the folders that they lie in are read."""
     # file paths come percent-encoded; in them a plus sign is just that
@@ -35,15 +65,30 @@ def _sidecars(spark: SparkSession, batch: DataFrame) -> DataFrame:
     return read_window_metadata(spark, folders)
 
 
-def _not_loaded(spark: SparkSession, batch: DataFrame, warehouse: str, query: str, number: int) -> DataFrame:
-    """The windows of a batch that no other batch has loaded, of whatever query."""
-    try:
-        loaded = spark.read.parquet(f"{warehouse}/loaded_windows")
-    except AnalysisException:  # nothing was ever loaded
-        return batch
-    others = loaded.where((F.col("query") != query) | (F.col("batch") != number)).select("window_path")
-    paths = batch.select("window_path").distinct()
-    return unsent_windows(batch, others.join(broadcast_if_small(paths), "window_path", "left_semi"))
+#: Buckets of the ledger.  Windows of one folder share a bucket, so a batch of few folders reads few of them.
+BUCKETS = 1024
+LEDGER_SCHEMA = "window_path string, node_id string, sensor_name string, query string, batch bigint, bucket int"
+
+
+def _bucket() -> Column:
+    folder = F.regexp_replace("window_path", "/[^/]*$", "")
+    return F.pmod(F.xxhash64(folder), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _loaded(spark: SparkSession, batch: DataFrame, warehouse: str, query: str, number: int) -> DataFrame:
+    """What other batches, of whatever query, have loaded of the windows of this one.  Only their buckets are read."""
+    path = f"{warehouse}/loaded_windows"
+    if not _exists(spark, path):  # nothing was ever loaded
+        return literal_table(spark, [], LEDGER_SCHEMA)
+    buckets = [r.bucket for r in batch.select(_bucket()).distinct().collect()]
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(path).where(F.col("bucket").isin(buckets))
+    others = ledger.where((F.col("query") != query) | (F.col("batch") != number))
+    return others.join(broadcast_if_small(batch.select("window_path").distinct()), "window_path", "left_semi")
 
 
 def ingest_batch(
@@ -51,23 +96,34 @@ def ingest_batch(
 ):
     """Writer for one micro-batch of windows.  Dimensions get a snapshot per batch, facts a folder per query and batch.
 
-    ``metadata`` reads the table (window_path, window_metadata); by default sidecar files are read.  ``query`` names
-    the query whose batches these are: another query, or the same one with a new checkpoint, needs a name of its own.
-    Windows that were accepted go to ``loaded_windows``: what is staged but not in it can be replayed.  One query writes
-    to a warehouse at a time.
+    Batches that have ``window_metadata`` (see :func:`paired_windows`) bring it along; else ``metadata`` reads the
+    table (window_path, window_metadata), and by default sidecar files are read.  ``query`` names the query whose
+    batches these are: another query, or the same one with a new checkpoint, needs a name of its own.
+
+    ``loaded_windows`` is the ledger: a row for each sensor of a window that was loaded, and one without node and
+    sensor where that is all of it.  What is not in it can be replayed, a bad sensor too once its file is mended; its
+    row is written last, so what a lost batch left behind is replaced when it runs again.  One query writes to a
+    warehouse at a time.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = _not_loaded(spark, batch, warehouse, query, number)
-        known_metadata = metadata(spark) if metadata else _sidecars(spark, batch)
-        described = batch.join(known_metadata, "window_path", "left").persist()
+        batch = batch.persist()
+        loaded = cut_lineage(_loaded(spark, batch, warehouse, query, number))
+        batch_left = join_with_nulls(
+            batch, loaded.where("node_id IS NULL AND sensor_name IS NULL").select("window_path").distinct(), ["window_path"], "left_anti"
+        )
+        if "window_metadata" in batch.columns:
+            described = batch_left
+        else:
+            known_metadata = metadata(spark) if metadata else _sidecars(spark, batch_left)
+            described = batch_left.join(known_metadata, "window_path", "left")
         folder, writer = f"query={query}/batch={number}", f"{query}-{number}"
+        table = lambda name, schema: sinks.read_table(spark, f"{warehouse}/{name}", schema, writer=writer)
+        campaigns = table("measurement_campaign", CAMPAIGN_SCHEMA)
+        known = table("configuration", CONFIGURATION_SCHEMA)
+        result = ingest_windows(described, campaigns, known, loaded.where("node_id IS NOT NULL"))
         try:
-            table = lambda name, schema: sinks.read_table(spark, f"{warehouse}/{name}", schema, writer=writer)
-            campaigns = table("measurement_campaign", CAMPAIGN_SCHEMA)
-            known = table("configuration", CONFIGURATION_SCHEMA)
-            result = ingest_windows(described, campaigns, known)
             sinks.write_sensor_data(result.sensor_data, f"{warehouse}/sensor_data", folder)
             sinks.write_rows(result.microphone_data, f"{warehouse}/microphone_data", folder)
             sinks.write_microphone_samples(result.microphone_samples, warehouse)
@@ -76,9 +132,14 @@ def ingest_batch(
             sinks.write_table(
                 known.unionByName(result.new_configurations), f"{warehouse}/configuration", writer=writer
             )
-            sinks.write_rows(result.accepted, f"{warehouse}/loaded_windows", folder)
+            entries = result.accepted.select(*PART_KEYS, F.lit(query).alias("query"), F.lit(number).alias("batch"), _bucket())
+            # a batch that runs again replaces its own partitions of the ledger, and no others
+            entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "bucket", "query", "batch"
+            ).parquet(f"{warehouse}/loaded_windows")
         finally:
-            described.unpersist()
+            result.staged.drop()
+            batch.unpersist()
 
     return handle
 
@@ -87,10 +148,28 @@ def ingest_stream(
     spark: SparkSession, windows_path: str, warehouse: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Loads windows as they appear.  The checkpoint's path names the query, so a new one can't replace older facts."""
-    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    query = query_name(checkpoint)
     return for_each_batch(new_windows(spark, windows_path), ingest_batch(warehouse, query=query), checkpoint, trigger)
 
 
+def query_name(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def ingest_paired_stream(
+    spark: SparkSession,
+    windows_path: str,
+    warehouse: str,
+    checkpoint: str,
+    delay: str = "1 hour",
+    time: Column | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Loads windows as soon as both they and their metadata are there; see :func:`paired_windows`."""
+    paired = paired_windows(new_windows(spark, windows_path), new_sidecars(spark, windows_path), delay, time)
+    return for_each_batch(paired, ingest_batch(warehouse, query=query_name(checkpoint)), checkpoint, trigger)
+
+
 def replay(
     spark: SparkSession,
     windows_path: str,
@@ -98,10 +177,18 @@ def replay(
     query: str,
     metadata: Callable[[SparkSession], DataFrame] | None = None,
 ) -> int:
-    """Sends the stored windows that no other query has loaded; gives how many there were.
+    """Sends what no other query has loaded of the stored windows; gives how many have nothing loaded.
 
     ``query`` is new for each replay; a replay that failed runs again under its name.
     """
-    missing = _not_loaded(spark, read_windows(spark, windows_path), warehouse, query, 0)
-    ingest_batch(warehouse, metadata, query)(missing, 0)
-    return missing.count()
+    return replay_windows(read_windows(spark, windows_path), warehouse, query, metadata)
+
+
+def replay_windows(
+    stored: DataFrame, warehouse: str, query: str, metadata: Callable[[SparkSession], DataFrame] | None = None
+) -> int:
+    """:func:`replay` of windows that are read already."""
+    loaded = _loaded(stored.sparkSession, stored, warehouse, query, 0)
+    missing = unsent_windows(stored, loaded.select("window_path").distinct()).select("window_path").distinct().count()
+    ingest_batch(warehouse, metadata, query)(stored, 0)
+    return missing
