@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             lettered = batch.column("_lettered").to_numpy(zero_copy_only=False)
             best, scores = np.full(len(batch), len(model.languages)), np.zeros(len(batch))
             fits = np.full(len(batch), -np.inf)
-            for a, b in parts(offsets) if model.languages else ():
+            for a, b in parts(offsets, 1 << 18) if model.languages else ():
                 own = offsets[a : b + 1] - offsets[a]
                 total, count = np.zeros((b - a, len(table))), np.zeros(b - a)
                 grams = list(_ngrams(data[offsets[a] : offsets[b]], own))

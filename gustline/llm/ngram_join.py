@@ -10,8 +10,9 @@ The order is by load of a shingle's slot in a table of fixed size, counted over
 all texts, then by hash: passages that many texts share come last.  Texts with
 equal sets are one class throughout.  Classes that share prefix shingles are
 brought together in families and compared there, block against block, so that
-neither the pairs nor the shared shingles of a large group are ever rows; what
-may link two families is verified pair by pair.
+neither the pairs nor the shared shingles of a large group are ever rows.  What
+may still link two families is verified pair by pair where few classes share a
+shingle, and again block against block where many do.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SLOT_BITS, ROW_BITS = 22, 12
 MATCHES, CHANCE = (1, 2, 4, 8, 16, 32, 64), 0.05
 #: Classes and shingles of a block; a task holds two blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 19
+#: Most classes of a shingle whose pairs are counted one by one; those of a commoner one are compared in blocks.
+PAIRED_CLASSES = 24
 #: Bits of the field of texts whose sets are needed; more only saves rows.
 FIELD_BITS = 25
 _TOKEN_BITS = 56
@@ -330,7 +333,11 @@ def _verify(percent: int):
 
 
 def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, staging: Staging) -> DataFrame:
-    """Links between classes of different families that are not connected yet.  marks: class, family, label."""
+    """Links between classes of different families that are not connected yet.  marks: class, family, label.
+
+    Rows are at most PAIRED_CLASSES times those of ``shared``; what a commoner shingle brings together is compared in
+    blocks as a family is.
+    """
     rows = shared.select("token", "class", "n", "need", "low").distinct().join(marks, "class")
     mixed = (
         rows.groupBy("token")
@@ -342,7 +349,16 @@ def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: i
     )
     # only these shingles can still link, so a class needs enough of them
     rows = staging.table(rows.join(mixed, "token"), "mixed")
-    rows = rows.join(viable(rows), "class", "left_semi")
+    rows = staging.table(rows.join(viable(rows), "class", "left_semi"), "open")
+    # many shingles are shared by the same classes, which are one group then
+    who = [F.bit_xor(F.xxhash64("class", F.lit(seed))).alias(f"who{seed}") for seed in (1, 2)]
+    groups = rows.groupBy("token").agg(F.count("*").alias("g"), *who).filter(F.col("g") > PAIRED_CLASSES)
+    groups = staging.table(groups, "groups")
+    one = groups.groupBy("g", "who1", "who2").agg(F.min("token").alias("token")).select("token")
+    grouped = rows.join(one, "token").select("class", F.col("token").alias("family"), "n")
+    together = staging.table(family_links(grouped, sets, percent), "together")
+    # a pair that shares such a shingle has been compared, whatever else it shares
+    rows = rows.join(groups.select("token"), "token", "left_anti")
     a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "need", "family", "label")])
     b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "need", "family", "label")])
     open_pair = (
@@ -364,7 +380,8 @@ def cross_links(shared: DataFrame, marks: DataFrame, sets: DataFrame, percent: i
     sets = sets.join(broadcast_if_small(ends), "class", "left_semi").dropDuplicates(["class"])
     first = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     second = first.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return second.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    verified = second.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+    return verified.unionByName(together)
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, staging: Staging | None = None) -> DataFrame:

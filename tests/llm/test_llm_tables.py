@@ -85,6 +85,7 @@ def brute_components(rows, size, percent):
 def test_links_match_brute_force(spark, corpus, monkeypatch, size, percent, blocks):
     if blocks:  # many blocks a family
         monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", blocks)
+        monkeypatch.setattr(ngram_join, "PAIRED_CLASSES", 2)
     got = ngram_join.link_documents(documents(spark, corpus).repartition(3), size, percent)
     assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute_components(corpus, size, percent)
 
