@@ -33,8 +33,9 @@ BUCKETS, WIDTH, LENGTHS = 1 << 13, 16, (1, 2, 3, 4)
 SAMPLE_ROWS, CALIBRATION = 4000, 0.2
 #: Most languages (the commonest are learned), and labelled texts that each has at least if there are as many.
 MOST_LANGUAGES, LEAST_ROWS = 400, 50
-EPOCHS, BATCH, RATE = 12, 32, 2.0
-#: Share of calibration texts that either measure may reject, and by how much more their bound is let down.
+#: Passes over the sample, more where it is small, so that there are LEAST_STEPS.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 600, 32, 2.0
+#: Share of calibration texts below the point from which either bound is set, and by how much the fit's is let down.
 REFUSED, SLACK = 0.002, 1.2
 UNKNOWN = "und"
 
@@ -146,8 +147,10 @@ def fit(texts: Bags, languages: list[str], seed: int = 7) -> Model:
     for r in train.tolist():
         usage[target[r], texts.buckets[r]] += texts.shares[r]
     weights = np.log(usage / usage.sum(axis=1, keepdims=True) * BUCKETS)
-    steps, step = max(1, EPOCHS * -(-len(train) // BATCH)), 0
-    for _ in range(EPOCHS):
+    batches = max(1, -(-len(train) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         random.shuffle(train)
         for low in range(0, len(train), BATCH):
             rows = train[low : low + BATCH]
@@ -191,8 +194,11 @@ def calibrate(model: Model, texts: Bags, target: np.ndarray, held: np.ndarray) -
     per_text = float(np.quantile(off * n, 0.5) / 0.455)
     model.spread = (max(1e-6, float(np.quantile(np.maximum(off - per_text / n, 0), 0.9) / 2.7)), max(1e-6, per_text))
     fits = model.fit_of(mean, n, truth)
-    model.least_score = float(np.quantile(top, REFUSED) / SLACK)
-    model.least_fit = float(np.quantile(fits, REFUSED) * SLACK) if np.quantile(fits, REFUSED) < 0 else -SLACK
+    # the fewer texts there are, the less their worst says of others
+    slack = SLACK * (1 + 20 / len(held))
+    # half way down to what no knowledge gives; a text of a word or two is seldom sure
+    model.least_score = float((np.quantile(top, REFUSED) + 1 / len(model.languages)) / 2)
+    model.least_fit = min(-1.0, float(np.quantile(fits, REFUSED))) * slack
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
