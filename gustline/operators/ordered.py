@@ -140,6 +140,17 @@ def previous_row(
     )
 
 
+def next_row(
+    df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Adds, under new names, columns of the row just after in the key; ``columns`` maps source to new name.
+
+    The order is walked from its end: what a block looks ahead to comes from the summary of the block after it.
+    """
+    turned = df.withColumn("_turned", -F.col(order))
+    return previous_row(turned, keys, "_turned", columns, block_rows).drop("_turned")
+
+
 def rolling(
     df: DataFrame,
     keys: Sequence[str],
