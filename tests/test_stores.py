@@ -22,7 +22,8 @@ def documents(spark, rows):
 
 
 def seen(spark, root):
-    return sorted((r.session_id, r.window_number, r.document) for r in window_sets.read_window_set(spark, root).collect())
+    rows = window_sets.read_window_set(spark, root).collect()
+    return sorted(((r.session_id, r.window_number, r.document) for r in rows), key=str)
 
 
 def test_a_set_is_seen_when_its_manifest_is(spark, tmp_path):
