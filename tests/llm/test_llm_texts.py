@@ -239,11 +239,71 @@ def test_template_of_a_host_without_markers(spark):
     rows = [(i, f"https://a.net/{i}", body.format(a=f"Lead {i}", b=f"Body {i}")) for i in range(5)]
     rows += [(7, "https://lone.net/", body.format(a="x", b="y"))]
     for parts_ in (1, 3):
-        got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows), parts_).collect()}
+        got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows), parts_ + 1).collect()}
         assert [got[i] for i in range(5)] == [f"Lead {i}\n\nBody {i}" for i in range(5)]
         assert got[7] == "Welcome to us\n\nx\n\ny\n\nAll rights"
 
 
+def text_of_page(source):
+    return "\n\n".join(t for *_, t in html_text.candidates(html_text.parse(source)))
+
+
+def test_names_only_hint():
+    """Whole names count, and not against a page that would be empty without them."""
+    assert text_of_page("<body><form action=x><nav>m</nav><h1>Title</h1><p>All of it</p></form>") == "Title\n\nAll of it"
+    assert text_of_page("<div class='site-content has-sidebar'><p>Text</p><div class=sidebar>side</div></div>") == "Text"
+    assert text_of_page("<section id=form-validation><h2 id=social-history>H</h2><p>T</p></section>") == "H\n\nT"
+    assert text_of_page("<div class='article-login-guide'><p>Log in</p></div><div class=login-form>name</div>") == "Log in"
+    assert text_of_page("<div class=sidebar><div class=post><h1>T</h1><p>Body</p></div><div class=ad>x</div></div>") == "T\n\nBody"
+    assert text_of_page("<article><p>a</p></article><p>between</p><article><p>much longer b</p></article>") == "a\n\nmuch longer b"
+    assert text_of_page("<form><article><p>in a form</p></article><input><button>Go</button></form>") == "in a form"
+    assert text_of_page("<p>few</p><div id=comments>" + "<p>many readers write</p>" * 3 + "</div>") == "few"
+    assert text_of_page("<div class=site-header>name</div><div class=cookie-notice>c</div><p>t</p><footer>f</footer>") == "t"
+
+
+def test_ids_of_single_pages_are_no_label():
+    one, two = (html_text.parse(f"<div id='post-{i}' class='item{i} post'><p>x</p></div>") for i in (17, 18))
+    assert one.shape() == two.shape() and "div.post" in one.labels
+
+
+def generated_host(r, n):
+    """Pages without any telling tag or name: constant blocks at fixed places, and what each page says."""
+    out = []
+    for i in range(n):
+        own = [f"lead {i} {r.random()}"] + [f"text {i} {j} {r.random()}" for j in range(r.randint(1, 12))]
+        blocks = ["<div><div>Welcome</div><div>About us</div></div>"]
+        blocks.append("<section>" + "".join(f"<div>{t}</div>" for t in own) + "</section>")
+        blocks += ["<div><p>Terms apply</p></div>"] + ["<div><span>Partner site</span></div>"] * (i % 3 == 0)
+        out.append(("<body>" + "".join(blocks) + "</body>", own))
+    return out
+
+
+def test_generated_hosts_against_brute_force(spark):
+    """What most pages of a host share goes and what differs stays, by nothing but the alignment."""
+    r = random.Random(21)
+    hosts = {f"h{k}.example": generated_host(r, 24) for k in range(4)}
+    rows = [(100 * k + i, f"http://{h}/{i}", p) for k, (h, made) in enumerate(hosts.items()) for i, (p, _) in enumerate(made)]
+    rows += [(900 + i, f"http://h0.example/copy{i}", rows[1][2]) for i in range(30)]  # copies of one page make nothing common
+    for fan in (2, 32):
+        got = {x.page_id: x.text for x in html_text.extract(pages(spark, rows), fan).collect()}
+        for k, made in enumerate(hosts.values()):
+            for i, (_, own) in enumerate(made):
+                assert got[100 * k + i] == "\n\n".join(own)
+        assert all(got[900 + i] == got[1] for i in range(30))
+
+
+def test_long_lists_of_siblings_are_aligned():
+    """Far more siblings than can be weighed pair by pair, in linear time."""
+    def tree(n, label):
+        inner = [html_text.Node(label if i % 7 else "x", 0, 0, 1) for i in range(n)]
+        return html_text.Node("r", 0, 0, 1, [html_text.Node("head", 0, 0, 1), *inner, html_text.Node("foot", 0, 0, 1)])
+
+    a, b = tree(5000, "div"), tree(5200, "div")
+    weight, pairs = html_text.match(a, b)
+    assert weight == len(pairs) >= 4900 and {("head", "head"), ("foot", "foot")} <= {(x.label, y.label) for x, y in pairs}
+    assert len(html_text.merge(a, b).children) <= 5400
+
+
 @pytest.mark.parametrize("quote", ['"', "'"])
 def test_attributes_of_any_length(quote):
     """Markup in a tag is never text, and what a tag holds apart stays apart."""
