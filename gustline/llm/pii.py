@@ -89,6 +89,13 @@ PATTERNS = {
         r"|(?<![\w.+-])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w)"
     ),
     "ip": re.compile(rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.[0-9])"),
+    "ipv6": re.compile(
+        r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?=(?:[0-9A-Fa-f]*:){3})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+    ),
+    "birth": re.compile(
+        r"(?i:\b(?:born|dob|d\.o\.b\.|date of birth|birth date|geboren|né|née|nacid[oa]|родил(?:ся|ась))"
+        r"(?: on| am| le| el)?:? {0,2})([0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?!\w)"
+    ),
     "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_WORD}(?:[ -]{_WORD}){{0,2}})"),
 }
 #: A given name of the lists, further ones, and a surname.
@@ -96,7 +103,7 @@ _GIVEN = "|".join(sorted(KNOWN_GIVEN, key=len, reverse=True))
 _UNTITLED = re.compile(rf"(?<!\w)(?=[A-ZА-ЯЁ])({_GIVEN})((?:[ -](?:{_GIVEN}))* {_WORD}(?:-{_NAME})?)")
 _PART = re.compile(rf"(?P<initial>{_UPPER}(?![\w'’]))|(?P<name>(?<!\w){_NAME})")
 #: What a text has at least if a pattern of digits matches, its words, and those that some name needs.
-_NUMBERS = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}")
+_NUMBERS = re.compile(r"[0-9][0-9 .()/-]{5,}[0-9]|\+[0-9]|[A-Z]{2}[0-9]{2}|[0-9A-Fa-f]:[0-9A-Fa-f:]+:")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TELLING = frozenset(TITLES) | frozenset(KNOWN_GIVEN)
 #: Bits of the field that tells which texts have mentions; more only saves joined rows.
@@ -105,7 +112,8 @@ _DIGITS = re.compile(r"[^0-9]")
 
 
 def _script(part: str) -> str:
-    return "cyrillic" if "А" <= part[0] <= "я" or part[0] in "Ёё" else "latin"
+    """The script of a name's first letter, as Unicode names it: latin, cyrillic, greek and so on."""
+    return unicodedata.name(part[0], "latin").split()[0].lower()
 
 
 def name_value(part: str) -> str:
@@ -117,13 +125,20 @@ def name_value(part: str) -> str:
 def _name_parts(text: str, start: int, end: int, gender: str) -> Iterator[tuple[int, int, str, str]]:
     """The parts of the name in a span: the last is the surname; an initial is told with its surname."""
     found = list(_PART.finditer(text, start, end))
-    last = next((m for m in reversed(found) if m["name"]), None)
+    named = [m for m in found if m["name"]]
+    last = named[-1] if named else None
+    # a surname may be double, with a hyphen between
+    surnames = set()
+    for m, after in zip(named[::-1], [None, *named[::-1]]):
+        if after is not None and text[m.end() : after.start()] != "-":
+            break
+        surnames.add(m.start())
     for m in found:
         script = _script(m[0])
         if m["initial"]:
             yield *m.span(), f"initial_{script}", f"{m[0]} {name_value(last[0])}" if last else m[0]
         else:
-            role = "surname" if m is last else f"given_{gender}"
+            role = "surname" if m.start() in surnames else f"given_{gender}"
             yield *m.span(), f"{role}_{script}", name_value(m[0])
 
 
@@ -159,8 +174,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 add_name(*m.span(2), TITLES[m[1]])
             elif kind == "email":
                 found.append((start, end, kind, m[0].lower()))
-            elif kind == "ip":
-                found.append((start, end, kind, m[0]))
+            elif kind in ("ip", "ipv6"):
+                found.append((start, end, kind, m[0].lower()))
+            elif kind == "birth":
+                found.append((*m.span(1), kind, m[1]))
             elif kind == "iban":
                 found.append((start, end, kind, m[0].replace(" ", "")))
             else:
@@ -169,10 +186,22 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if free(*m.span()):
             add_name(*m.span(), KNOWN_GIVEN[m[1]])
     if known:
+        initials: list[re.Match] = []
         for m in _PART.finditer(text):
-            kind = m["name"] and known.get(name_value(m[0]))
+            if m["initial"]:
+                initials = [i for i in initials if m.start() - i.end() <= 2] + [m]
+                continue
+            kind = known.get(name_value(m[0]))
             if kind and free(*m.span()):
                 found.append((*m.span(), kind, name_value(m[0])))
+                # initials right before a surname that is known
+                at = m.start()
+                for i in reversed(initials if kind.startswith("surname") else []):
+                    if text[i.end() : at].strip(". -") or at - i.end() > 2 or not free(*i.span()):
+                        break
+                    found.append((*i.span(), f"initial_{_script(i[0])}", f"{i[0]} {name_value(m[0])}"))
+                    at = i.start()
+            initials = []
     return sorted(found)
 
 
@@ -231,7 +260,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         body = "".join(_like(c, draw) for c in value[4:])
         number = "".join(str(int(c, 36)) for c in body + value[:2]) + "00"
         return f"{value[:2]}{98 - int(number) % 97:02d}{body}"
+    if kind == "ipv6":
+        return ":".join("".join("0123456789abcdef"[draw.below(16)] for _ in group) for group in value.split(":"))
+    if kind == "birth":
+        # another day and month, and a year near it, in the same order and of the same widths
+        fields = re.split(r"([./-])", value)
+        for i in range(0, len(fields), 2):
+            year = len(fields[i]) == 4
+            number = int(fields[i]) - 5 + draw.below(11) if year else 1 + draw.below(12 if i == 2 else 28)
+            fields[i] = str(number).zfill(4 if year else 2)
+        return "".join(fields)
     role, *gender, script = kind.split("_")
+    if script not in SURNAMES:  # no names of this script are known: letters of it, as many as there were
+        return "".join(_of_script(c, draw) for c in value) + "".join(_of_script(value[-1], draw) for _ in range(attempt // 3))
     names = (SURNAMES[script] if role == "surname" else GIVEN[gender[0], script]).split()
     name = names[draw.below(len(names))]
     # beyond the list, names are joined with others, more of them the more often a draw has collided
@@ -255,9 +296,36 @@ def _like(c: str, draw: _Draw) -> str:
     return c
 
 
+#: Letters that their scripts no longer write.
+_OUT_OF_USE = {"STIGMA", "DIGAMMA", "KOPPA", "SAMPI", "SHO", "SAN", "YOT", "HETA", "PAMPHYLIAN"}
+
+
+def _alphabet(c: str) -> list[str]:
+    """The plain letters of a letter's script and case that are near it."""
+    kind, script = unicodedata.category(c), unicodedata.name(c, "").split(" ")[0]
+    near = map(chr, range(ord(c) & ~63, (ord(c) & ~63) + 64))
+    names = [(x, unicodedata.name(x, "").split(" ")) for x in near if unicodedata.category(x) == kind]
+    return [x for x, n in names if n[0] == script and len(n) <= 4 and n[-1] not in _OUT_OF_USE]
+
+
+def _of_script(c: str, draw: _Draw) -> str:
+    """Another letter of the same script and case."""
+    others = _alphabet(c)
+    return others[draw.below(len(others))] if others else c
+
+
 def _like_initial(key: bytes, kind: str, value: str) -> str:
-    letters = "АБВГДЕЖЗИКЛМНОПРСТ" if kind.endswith("cyrillic") else "ABCDEFGHIJKLMNOPRSTUVW"
-    return letters[_Draw(key, kind, value, 0).below(len(letters))]
+    """Another initial; those of one surname stay distinct, as its letters are dealt anew for it as a whole."""
+    letter, _, surname = value.partition(" ")
+    draw = _Draw(key, "initial", surname, 0)
+    letters = _alphabet(letter)
+    if letter not in letters:  # one with an accent, say: beyond those that are dealt
+        letters.append(letter)
+    dealt = list(letters)
+    for i in range(len(dealt) - 1, 0, -1):
+        j = draw.below(i + 1)
+        dealt[i], dealt[j] = dealt[j], dealt[i]
+    return dealt[letters.index(letter)]
 
 
 def render(mention: str, kind: str, value: str) -> str:

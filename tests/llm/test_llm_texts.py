@@ -244,6 +244,46 @@ def test_template_of_a_host_without_markers(spark):
         assert got[7] == "Welcome to us\n\nx\n\ny\n\nAll rights"
 
 
+def test_names_of_any_script_and_form(spark):
+    rows = [
+        (1, "Herr Δημήτριος Παπαδόπουλος kam. Παπαδόπουλος ging."),
+        (2, "J. Smith came. C. Smith and E. Smith met Mr J. Smith."),
+        (3, "Mr Müller-Lüdenscheidt met Frau Anna-Maria Schmidt."),
+        (4, "fe80::1ff:fe23:4567:890a, 2001:0db8:85a3:0000:0000:8a2e:0370:7334 but std::vector<int> a::b, 10:30:15"),
+        (5, "born on 12.03.1980, DOB: 1975-02-28, met on 12.03.1980"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replace(documents(spark, rows), b"key").collect()}
+    first, last = re.findall(r"\w+", got[1])[1:3]
+    assert all("\u0370" <= c < "\u0400" or "\u1f00" <= c < "\u2000" for c in first + last)
+    assert got[1].endswith(f"{last} ging.") and "Δημήτριος" not in got[1] and "Παπαδόπουλος" not in got[1]
+    j, c, e, again = re.findall(r"(\w)\. \w+", got[2])
+    assert j == again and len({j, c, e}) == 3 and "Smith" not in got[2]
+    parts = re.fullmatch(r"Mr (\w+)-(\w+) met Frau (\w+)-(\w+) (\w+)\.", got[3]).groups()
+    assert parts[2] in pii.GIVEN["f", "latin"].split() and parts[0] not in pii.GIVEN["m", "latin"].split()
+    assert "std::vector<int> a::b, 10:30:15" in got[4] and "fe80" not in got[4] and "2001:0db8" not in got[4]
+    assert re.fullmatch(r"[0-9a-f]{4}::[0-9a-f]{3}(:[0-9a-f]{4}){3}", got[4].split(",")[0])
+    assert got[5].endswith("met on 12.03.1980") and "1975-02-28" not in got[5]
+    day, month, year = re.match(r"born on (\d\d)\.(\d\d)\.(\d{4}),", got[5]).groups()
+    assert 1 <= int(day) <= 28 and 1 <= int(month) <= 12 and 1975 <= int(year) <= 1985
+
+
+def test_mentions_stay_apart_and_together(spark):
+    """Over all mentions of many names: equal ones become equal, unlike ones stay unlike, and none is left."""
+    r = random.Random(14)
+    surnames = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)).capitalize() for _ in range(120)]
+    rows = [(i, f"Mr {n} came, {n} said; {n.upper()} wrote to a{i % 40}@x.org.") for i, n in enumerate(surnames * 2)]
+    got = {x.doc_id: x.text for x in pii.replace(documents(spark, rows), b"k2").collect()}
+    into: dict = {}
+    for i, old in rows:
+        m = re.fullmatch(r"Mr (\w+) came, (\w+) said; (\w+) wrote to (\S+)\.", got[i])
+        assert m[1] == m[2] and m[1].upper() == m[3]
+        into.setdefault(old.split()[1], set()).add(m[1])
+        into.setdefault(old.split()[-1], set()).add(m[4])
+    assert all(len(v) == 1 for v in into.values())
+    assert len({next(iter(v)) for v in into.values()}) == len(into)
+    assert not set(into) & {x for v in into.values() for x in v}
+
+
 def text_of_page(source):
     return "\n\n".join(t for *_, t in html_text.candidates(html_text.parse(source)))
 
