@@ -255,7 +255,7 @@ def overlaps(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for d in np.unique(df[~heavy]):
         held = owner[~heavy & (df == d)].reshape(-1, d)
         i, j = np.triu_indices(d, 1)
-        for some in np.array_split(held, max(1, len(held) * len(i) // (1 << 22))):
+        for some in np.array_split(held, max(1, len(held) * len(i) // (1 << 20))):
             cell = some[:, i].ravel() * g + some[:, j].ravel()
             out += np.bincount(cell, minlength=g * g).reshape(g, g).astype(np.float32)
     return np.maximum(out, out.T)
