@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gustline.llm import chunk_dedup, decontaminate, language, ngram_join, packing
-from gustline.session import ensure_checkpoint_dir, ship_package
+from gustline.session import delete_on_exit, ensure_checkpoint_dir, ship_package
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    Null and empty texts, ties and repeated rows are dealt with by each stage as its operator says; an empty table gives
+    no rows, and columns of any name pass through all but the last stage.  The folders go when the application ends.
+    """
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        delete_on_exit(spark, root)
         docs = spark.read.parquet(path)
     return docs

@@ -484,8 +484,11 @@ def q_unsent(spark, sf_dir):
 
 # --- configuration --------------------------------------------------------------------------------------------
 
-_SENSOR_ROWS = ", ".join(f"('{n}', {s}, {c})" for n, (c, s, _, _) in cat.SENSORS.items())
-_DEFAULT_PERIODS = ", ".join(f"('{n}', {p!r}e0)" if "e" not in repr(p) else f"('{n}', {p!r})" for n, p in cat.default_periods().items())
+# fixed values, written out once more: sensor, samples in a packet, channels; and seconds between samples
+_SENSOR_ROWS = """('Mics', 8, 10), ('Baros_P', 1, 40), ('Baros_T', 1, 40), ('Diff_Baros', 24, 5), ('Acc', 40, 3), ('Gyro', 40, 3),
+  ('Mag', 40, 3), ('Analog Vbat', 60, 2), ('Constat', 24, 4), ('battery_info', 1, 3)"""
+_DEFAULT_PERIODS = """('Mics', 1 / 15625e0), ('Baros_P', 1 / 100e0), ('Baros_T', 1 / 100e0), ('Diff_Baros', 1 / 1000e0), ('Acc', 1 / 100e0),
+  ('Gyro', 1 / 100e0), ('Mag', 1 / 12.5e0), ('Analog Vbat', 1 / 16384e0), ('Constat', 45 / 1000e0), ('battery_info', 3600e0)"""
 
 
 def _configurations(spark, sf_dir):

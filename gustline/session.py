@@ -42,6 +42,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Marks a folder that is there to be removed when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 class StagedTable:
     """A frame written once as Parquet in the shared folder; readers see its columns and partitions alone.
 
@@ -53,6 +59,7 @@ class StagedTable:
         self._spark = spark
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(self.path)
+        delete_on_exit(spark, self.path)
         kinds = {f.name: f for f in df.schema}
         fields = [f for f in df.schema if f.name not in partition_by] + [kinds[c] for c in partition_by]
         self.table = spark.read.schema(T.StructType(fields)).parquet(self.path)
