@@ -1,4 +1,7 @@
-"""Tables that an operator writes for itself in the shared folder, and removes when its result no longer needs them."""
+"""Tables that an operator writes for itself in the shared folder.
+
+An operator removes those that its result no longer needs; the others go when the application ends.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gustline.session import ensure_checkpoint_dir
+from gustline.session import delete_on_exit, ensure_checkpoint_dir
 
 
 #: Most bytes of a batch between Spark and Python tasks; a single longer row goes alone.
@@ -33,6 +36,7 @@ class Staging:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        delete_on_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
