@@ -38,7 +38,7 @@ MATCHES, CHANCE = (1, 2, 4, 8, 16, 32, 64), 0.05
 #: Classes and shingles of a block; a task holds two blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 19
 #: Most classes of a shingle whose pairs are counted one by one; those of a commoner one are compared in blocks.
-PAIRED_CLASSES = 24
+PAIRED_CLASSES = 64
 #: Bits of the field of texts whose sets are needed; more only saves rows.
 FIELD_BITS = 25
 _TOKEN_BITS = 56
@@ -196,6 +196,21 @@ def bit_field(df: DataFrame, column: str):
     return df.sparkSession.sparkContext.broadcast(field.view(np.uint64))
 
 
+#: Bytes of a shingle's hash in a set that moves: two sets of a thousand meet by chance once in 280 million pairs.
+SET_BYTES = 6
+
+
+def packed(value: np.ndarray) -> bytes:
+    """The upper SET_BYTES of each hash, end to end."""
+    return value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :].tobytes()
+
+
+def unpacked(given: bytes) -> np.ndarray:
+    whole = np.zeros((len(given) // SET_BYTES, 8), np.uint8)
+    whole[:, 8 - SET_BYTES :] = np.frombuffer(given, np.uint8).reshape(-1, SET_BYTES)
+    return whole.view("<u8").ravel()
+
+
 def class_sets(docs: DataFrame, size: int, field) -> DataFrame:
     """class and set (hashes, end to end) of the texts whose key is in the field, each class once per task."""
 
@@ -227,7 +242,7 @@ def class_sets(docs: DataFrame, size: int, field) -> DataFrame:
                     if d not in given:
                         given.add(d)
                         fresh.append(i)
-                sets = [value[ends[i] : ends[i + 1]].tobytes() for i in fresh]
+                sets = [packed(value[ends[i] : ends[i + 1]]) for i in fresh]
                 yield pa.RecordBatch.from_arrays([longs(digests[fresh]), pa.array(sets, pa.binary())], ["class", "set"])
 
     return docs.select("text").mapInArrow(run, "class long, set binary")
@@ -283,7 +298,7 @@ def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         classes, block = table.column("class").to_numpy(), table.column("block").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+        sets = [unpacked(x.as_buffer()) for x in table.column("set").combine_chunks()]
         sizes = np.array([len(s) for s in sets])
         both = overlaps(np.concatenate(sets), sizes).astype(np.int64)
         linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
@@ -322,7 +337,7 @@ def _verify(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(
