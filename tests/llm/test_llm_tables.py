@@ -109,6 +109,12 @@ def test_a_class_is_one_set_however_its_texts_are_written(spark, monkeypatch):
     assert [r.a for r in ngram_join.family_links(members, sets, 80).collect()] == [2]
 
 
+def test_packed_sets_keep_their_upper_bytes():
+    value = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    back = ngram_join.unpacked(pa.array([ngram_join.packed(value)], pa.binary())[0].as_buffer())
+    assert (back == (value >> np.uint64(16)) << np.uint64(16)).all() and len(ngram_join.unpacked(b"")) == 0
+
+
 def test_near_copies_leave_one_of_each(spark, corpus):
     docs = documents(spark, corpus)
     kept = ngram_join.drop_near_copies(docs)
