@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gustline.operators import windows
 from gustline.operators.ordered import BLOCK_ROWS
-from gustline.session import cut_lineage, join_with_nulls, literal_table
+from gustline.session import cut_lineage, join_with_nulls, literal_table, spread
 
 KEYS = ["session_id", "window_number"]
 MANIFEST_SCHEMA = (
@@ -50,7 +50,8 @@ def write_window_set(documents: DataFrame, root: str, batch: int) -> None:
     Batches are written again as a whole, with the same number.
     """
     kept = cut_lineage(documents.select(*KEYS, "document", "window_metadata"))
-    write_window_documents(kept, root, batch)
+    # a window is a file, and a task opens one after the other
+    write_window_documents(spread(kept), root, batch)
     manifest = kept.groupBy(*KEYS).agg(
         F.first("window_metadata", ignorenulls=True).alias("window_metadata"),
         F.count("*").alias("documents"),
@@ -147,7 +148,9 @@ def finish_deletions(spark: SparkSession, root: str) -> None:
         session = F.replace(session, F.lit(character), F.lit(f"%{ord(character):02X}"))
     session = F.coalesce(session, F.lit("__HIVE_DEFAULT_PARTITION__"))
     path = F.format_string("windows/batch=%d/session_id=%s/window_number=%d", "batch", session, "window_number")
-    gone = named.select(path.alias("path")).mapInPandas(remove, "path string")
+    # a number of its own, as names take few bytes and would be put in one task
+    tasks = spark.sparkContext.defaultParallelism
+    gone = named.select(path.alias("path")).repartition(tasks).mapInPandas(remove, "path string")
     gone.write.format("noop").mode("overwrite").save()
 
 

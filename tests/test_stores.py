@@ -178,3 +178,17 @@ def test_window_waits_for_metadata(spark, tmp_path):
     assert all(r["datetime"] < datetime.datetime(2000, 1, 1) for r in data)
     rejects = spark.read.parquet(f"{warehouse}/rejects").collect()
     assert [(r.window_path.rsplit("/", 1)[-1], r.reject_reason) for r in rejects] == [("w-40.json", "no_campaign")]
+
+
+def _tasks(folder):
+    """Numbers of the tasks that wrote the files below a folder."""
+    return {n.split("-")[1] for _, _, names in os.walk(folder) for n in names if n.startswith("part-")}
+
+
+def test_windows_of_one_partition_are_written_by_many_tasks(spark, tmp_path):
+    root = str(tmp_path / "sets")
+    rows = [("s", n, "{}", "m") for n in range(40)]
+    window_sets.write_window_set(documents(spark, rows).coalesce(1), root, 0)
+    assert len(_tasks(f"{root}/windows")) > 1 and len(seen(spark, root)) == 40
+    window_sets.apply_retention(spark, root, 6)
+    assert [n for _, n, _ in seen(spark, root)] == [37, 38, 39]
