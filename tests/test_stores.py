@@ -192,3 +192,12 @@ def test_windows_of_one_partition_are_written_by_many_tasks(spark, tmp_path):
     assert len(_tasks(f"{root}/windows")) > 1 and len(seen(spark, root)) == 40
     window_sets.apply_retention(spark, root, 6)
     assert [n for _, n, _ in seen(spark, root)] == [37, 38, 39]
+
+
+def test_documents_of_one_partition_are_parsed_by_many_tasks(spark):
+    rows = [(f"w{i}", '{"0": {"Acc": [[1.0, 2.0]]}}', metadata() if i % 2 else None, i) for i in range(200)]
+    windows = spark.createDataFrame(rows, "window_path string, document string, window_metadata string, ingest_seq bigint").coalesce(1)
+    result = ingest.ingest_windows(windows, literal_table(spark, [], ingest.CAMPAIGN_SCHEMA), literal_table(spark, [], ingest.CONFIGURATION_SCHEMA))
+    assert len(_tasks(result.staged.path.removeprefix("file:"))) > 4
+    assert result.sensor_data.count() == 100 and result.rejects.count() == 100
+    result.staged.drop()
