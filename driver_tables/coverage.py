@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver_tables.adapters import _hashes, samples_from_events, spread, stage, table, write_files
@@ -32,22 +33,24 @@ def q_csv_files(spark, sf_dir):
     path = _folder(spark, "csv")
     samples = windows.with_window_number(samples_from_events(table(spark, sf_dir, "events")), "packet_timestamp", 864000)
     sinks.write_sensor_csv(samples, path, header=True, packets_per_part=256)
-    schema = "value string, node_id string, sensor_name string, window_number bigint, part bigint"
+    schema = "value string, node_id string, sensor_name string, window_number bigint, parts bigint"
     lines = spark.read.schema(schema).text(path, wholetext=True)
     rows = lines.select(
-        "node_id", "sensor_name", "window_number", "part", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "text")
+        "node_id", "sensor_name", "window_number", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("at", "text")
     )
     cells = F.split("text", ",")
     number = lambda i, digits: F.round(F.get(cells, F.lit(i)).cast("double"), digits)
-    return rows.where("line > 0").select(
+    placed = rows.where("at > 0").withColumn("part", F.get(cells, F.lit(0)).try_cast("bigint"))
+    place = Window.partitionBy("node_id", "sensor_name", "window_number", "part").orderBy("at")
+    return placed.select(
         "node_id",
         "sensor_name",
         "window_number",
         "part",
-        "line",
-        number(0, 3).alias("sample_time"),
-        number(1, 6).alias("v0"),
-        number(2, 6).alias("v1"),
+        F.row_number().over(place).alias("line"),
+        number(1, 3).alias("sample_time"),
+        number(2, 6).alias("v0"),
+        number(3, 6).alias("v1"),
     )
 
 

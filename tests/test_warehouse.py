@@ -1,6 +1,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gustline.operators import registry, windows
@@ -309,3 +310,20 @@ def test_metadata_table_stamps_the_end_time(spark):
     assert sorted(r.window_path for r in rows) == ["a", "b"]
     campaign = json.loads(rows[0].window_metadata)["measurement_campaign"]
     assert campaign["end_time"] == "2023-01-01 00:00:00" and campaign["reference"] == "effervescent-slug-of-doom"
+
+
+@pytest.mark.parametrize("header", [True, False])
+def test_small_csv_parts_share_a_file(spark, tmp_path, header):
+    rows = [("s", "0", "Constat", seq, p, float(seq), float(seq), [float(seq), float(p)]) for seq in range(40) for p in (0, 1)]
+    rows += [("s", "0", "Constat", sinks.FILE_PACKETS + 1, 0, 0.5, 0.5, [7.0, 0.0]), ("s", "0", "Constat", sinks.FILE_PACKETS + 2, 0, 0.6, 0.6, None)]
+    path = tmp_path / "c"
+    frame = spark.createDataFrame(rows, SAMPLES).withColumn("window_number", F.lit(0)).repartition(3)
+    sinks.write_sensor_csv(frame, str(path), header=header, packets_per_part=2)
+    folders = sorted(p.name for p in path.glob("node_id=0/sensor_name=Constat/window_number=0/*"))
+    assert folders == ["parts=0", "parts=1"]
+    read = spark.read.option("header", header).csv(str(path / "node_id=0/sensor_name=Constat/window_number=0/parts=0"))
+    got = [tuple(float(x) for x in r) for r in read.collect()]
+    expected = [(seq // 2, float(seq), float(seq), float(p)) for seq in range(40) for p in (0, 1)]
+    assert (got if header else sorted(got)) == expected
+    if header:
+        assert read.columns == ["part", "time", "value0", "value1"] and len(list((path / "node_id=0").rglob("part-*"))) == 2
