@@ -125,6 +125,22 @@ def _without(parts: list[tuple[float, float]], low: float, high: float) -> list[
     return out
 
 
+def _first_half_lines(candidates: np.ndarray, tolerances: np.ndarray, at: np.ndarray, rule: str) -> np.ndarray:
+    """:func:`first_hits` among rows ``at``, of rules whose rows replace all below a value, and some all above one.
+
+    What no row has taken yet is a single interval, whose ends are running extremes.
+    """
+    at = at[~np.isnan(tolerances[at])]
+    if not len(at):
+        return at
+    wide = _fires(rule, candidates[at], tolerances[at], 1e-9)
+    close = _fires(rule, candidates[at], tolerances[at], -1e-9)
+    low = np.concatenate([[-np.inf], np.maximum.accumulate(close[1])[:-1]])
+    high = np.concatenate([[np.inf], np.minimum.accumulate(close[2])[:-1]])
+    found = ((wide[1] > low) | (wide[2] < high)) & (low < high)
+    return at[found]
+
+
 def first_hits(candidates: np.ndarray, tolerances: np.ndarray, rule: str) -> np.ndarray:
     """Rows that may be the first to replace some incoming value, in order.
 
@@ -135,6 +151,8 @@ def first_hits(candidates: np.ndarray, tolerances: np.ndarray, rule: str) -> np.
     _, first = np.unique(pairs, axis=0, return_index=True)
     first.sort()
     first = first[~np.isnan(candidates[first])]
+    if rule != "close":
+        return _first_half_lines(candidates, tolerances, first, rule)
     wide = _fires(rule, candidates[first], tolerances[first], 1e-9)
     close = _fires(rule, candidates[first], tolerances[first], -1e-9)
     parts, found, at = [(-np.inf, np.inf)], [], 0
@@ -191,20 +209,45 @@ def through(held: float, block: tuple[np.ndarray, np.ndarray, np.ndarray], rule:
     return float(outs[hit.argmax()]) if hit.any() else held
 
 
+def _all_through(held: np.ndarray, block: tuple[np.ndarray, np.ndarray, np.ndarray], rule: str) -> np.ndarray:
+    """:func:`through` of many values."""
+    candidates, tolerances, outs = block
+    if not len(candidates) or not len(held):
+        return held.copy()
+    if rule == "close":
+        return np.array([through(h, block, rule) for h in held])
+    # the first row that may replace each value; rounding is allowed for, so the rule itself has the last word
+    wide = _fires(rule, candidates, tolerances, 1e-9)
+    row = np.searchsorted(np.maximum.accumulate(wide[1]), held, side="right")
+    if rule == "strays":
+        row = np.minimum(row, np.searchsorted(-np.minimum.accumulate(wide[2]), -held, side="right"))
+    result = held.copy()
+    some = np.flatnonzero((row < len(candidates)) & ~np.isnan(held))
+    at = row[some]
+    sure = RULES[rule](candidates[at], held[some], tolerances[at])
+    result[some[sure]] = outs[at[sure]]
+    for k, start in zip(some[~sure].tolist(), at[~sure].tolist()):
+        hit = _next_hit(candidates, held[k], tolerances, rule, start + 1)
+        if hit < len(candidates):
+            result[k] = outs[hit]
+    return result
+
+
 def compose(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The map of blocks in a row."""
-    later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    outs = []
-    for block in reversed(blocks):
-        out = block[2].copy()
-        for following in later:
-            out = np.array([through(o, following, rule) for o in out])
-        outs.append(out)
-        later.insert(0, block)
-    candidates, tolerances = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
-    whole = np.concatenate(outs[::-1])
-    kept = first_hits(candidates, tolerances, rule)
-    return candidates[kept], tolerances[kept], whole[kept]
+    """The map of blocks in a row.
+
+    Blocks are put before what follows them one by one, from the last: what a block's rows lead to is looked up in a
+    single map, whatever the number of blocks behind it.
+    """
+    whole, pruned = blocks[-1], len(blocks[-1][0])
+    for block in reversed(blocks[:-1]):
+        outs = _all_through(np.asarray(block[2], float), whole, rule)
+        whole = tuple(np.concatenate(pair) for pair in zip((block[0], block[1], outs), whole))
+        if len(whole[0]) > 2 * pruned + 64:
+            kept = first_hits(whole[0], whole[1], rule)
+            whole, pruned = tuple(part[kept] for part in whole), len(kept)
+    kept = first_hits(whole[0], whole[1], rule)
+    return tuple(part[kept] for part in whole)
 
 
 #: Blocks whose maps are composed into one.

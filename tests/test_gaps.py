@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -201,3 +202,19 @@ def test_packets_of_unnamed_sensors_stay(spark):
     for block_rows in (2, 100):
         assert gaps.lost_sets(packets, block_rows=block_rows, keys=keys).where("sensor_name is null").count() == 3
         assert gaps.period_drift(packets, block_rows=block_rows, keys=keys).where("sensor_name is null").count() == 3
+
+
+@pytest.mark.parametrize("rule", ["strays", "elapsed"])
+def test_maps_of_many_blocks_are_composed_in_time(rule):
+    """All rows of a rising clock are pieces of its map; each is looked up once, not in every later block."""
+    rng = np.random.default_rng(5)
+    values = rng.exponential(1.0, 256 * 300).cumsum()
+    tolerances = np.full(len(values), {"strays": 3.0, "elapsed": 10.0}[rule])
+    blocks = [(values[at : at + 300], tolerances[at : at + 300]) for at in range(0, len(values), 300)]
+    maps = [gaps.rule_map(*block, rule) for block in blocks]
+    begin = time.process_time()
+    whole = gaps.compose(maps, rule)
+    assert time.process_time() - begin < 8
+    for incoming in [-1e9, 0.0, *rng.uniform(0, values[-1], 20), values[-1], 1e9]:
+        assert gaps.through(incoming, whole, rule) == gaps.run_rule(values, tolerances, rule, incoming)[0][-1]
+    assert len(gaps.rule_map(np.full(500, 7.0), np.full(500, 2.0), rule)[0]) == 1
