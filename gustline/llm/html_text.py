@@ -15,13 +15,14 @@ one task.
 
 from __future__ import annotations
 
-import bisect
 import html
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -70,8 +71,6 @@ SITE_HEADER = set("header site global top main page mobile sticky fixed".split()
 BESIDE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}}
-#: Most pairs of children that are aligned in the best way; longer lists are cut to their unlike middles and these in order.
-ALIGNED = 40_000
 #: Share of a host's unlike pages that a node must be on to be template.
 TEMPLATE_SHARE = 0.25
 #: Skeletons that one task folds into a template.
@@ -354,86 +353,112 @@ def from_shape(shape: str, low: list[int], high: list[int], pages: int) -> tuple
     return nodes[0], nodes
 
 
-def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
-    """Pairs of equal label in order, each the next that there is: the alignment of lists that are too long to weigh."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(ys):
-        places.setdefault(y.label, []).append(j)
-    out, upto = [], -1
-    for i, x in enumerate(xs):
-        later = places.get(x.label, ())
-        at = bisect.bisect_right(later, upto)
-        # a partner far ahead would leave all between without one
-        if at < len(later) and later[at] - upto <= 1 + len(ys) // 8:
-            upto = later[at]
-            out.append((i, upto))
-    return out
-
-
-def _trimmed(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
-    """Children at the start, and at the end, that two long lists share label by label."""
-    least = min(len(xs), len(ys))
-    head = next((i for i in range(least) if xs[i].label != ys[i].label), least)
-    tail = next((i for i in range(least - head) if xs[-1 - i].label != ys[-1 - i].label), least - head)
-    return head, tail
-
-
-def _children(x: Node, y: Node) -> list[tuple[Node, Node]] | None:
-    """The pairs of children of two nodes that have too many of them to weigh each against each; None if they don't."""
-    if len(x.children) * len(y.children) <= ALIGNED:
-        return None
-    head, tail = _trimmed(x.children, y.children)
-    xs, ys = x.children[head : len(x.children) - tail], y.children[head : len(y.children) - tail]
-    ends = list(zip(x.children[:head], y.children[:head]))
-    ends += list(zip(x.children[len(x.children) - tail :], y.children[len(y.children) - tail :]))
-    return ends + [(xs[i], ys[j]) for i, j in _in_order(xs, ys)]
+def _shapes(a: Node, b: Node) -> tuple[dict[int, int], list[list[int]], list[int]]:
+    """Number of the shape (labels alone) of every subtree of two trees, and the children and size of each shape."""
+    known: dict[tuple, int] = {}
+    shape, inner, sizes = {}, [], []
+    for tree in (a, b):
+        for node in reversed(tree.nodes()):  # children before parents
+            own = [shape[id(c)] for c in node.children]
+            number = shape[id(node)] = known.setdefault((node.label, *own), len(known))
+            if number == len(inner):
+                inner.append(own)
+                sizes.append(1 + sum(sizes[c] for c in own))
+    return shape, inner, sizes
+
+
+def _row(above: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The next row of best weights: what pairing one more sibling with each of the others gains."""
+    row = above.copy()
+    np.maximum(row[1:], above[:-1] + gains, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _align(xs: list[int], ys: list[int], weight: Callable[[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The weightiest alignment of two lists of shapes in order: its weight, and the places of its pairs.
+
+    Equal ends are paired at once, as nothing can weigh more.  Of the rest's table of best weights only every so many rows are
+    kept, and those between worked out again on the way back, so that memory grows with the root of its size.
+    """
+    m, n, pairs, total = len(xs), len(ys), [], 0
+    while m and n and xs[m - 1] == ys[n - 1]:
+        m, n = m - 1, n - 1
+        total += weight(xs[m], ys[n])
+        pairs.append((m, n))
+    if not m or not n:
+        return total, pairs
+    kinds, places = np.unique(np.array(ys[:n]), return_inverse=True)
+    gains = {x: np.array([weight(x, int(y)) for y in kinds], np.int64)[places] for x in set(xs[:m])}
+    step = max(1, math.isqrt(m))
+    kept, row = [], np.zeros(n + 1, np.int64)
+    for i in range(m):
+        if i % step == 0:
+            kept.append(row)
+        row = _row(row, gains[xs[i]])
+    total += int(row[n])
+    i, j, low = m, n, -1
+    while i and j:
+        if low != (i - 1) // step:
+            low = (i - 1) // step
+            rows = [kept[low]]
+            for k in range(low * step, i):
+                rows.append(_row(rows[-1], gains[xs[k]]))
+        here, above, gain = rows[i - low * step], rows[i - 1 - low * step], int(gains[xs[i - 1]][j - 1])
+        if gain and here[j] == above[j - 1] + gain:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif here[j] == above[j]:
+            i -= 1
+        else:
+            j -= 1
+    return total, pairs
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most nodes that two trees of equal root label share in order, and which they are.
 
-    Of nodes with more than ALIGNED pairs of children only likely pairs are looked at, which may share fewer.
+    What two subtrees share depends on their shapes alone, so each pair of unlike shapes is weighed once.
     """
     if a.label != b.label:
         return 0, []
-    met, todo, fixed = [], [(a, b)], {}
-    while todo:
-        x, y = todo.pop()
-        met.append((x, y))
-        pairs = fixed[id(x), id(y)] = _children(x, y)
-        if pairs is None:
-            pairs = [(c, d) for c in x.children for d in y.children if c.label == d.label]
-        todo += pairs
-    weight: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-    for x, y in reversed(met):  # children before parents
-        known = fixed[id(x), id(y)]
-        if known is not None:
-            weight[id(x), id(y)] = 1 + sum(weight[id(c), id(d)] for c, d in known)
-            chosen[id(x), id(y)] = known
+    shape, inner, sizes = _shapes(a, b)
+    labels = {shape[id(n)]: n.label for tree in (a, b) for n in tree.nodes()}
+    aligned: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def weight(x: int, y: int) -> int:
+        if x == y:
+            return sizes[x]
+        return 1 + aligned[x, y][0] if labels[x] == labels[y] else 0
+
+    def unlike(x: int, y: int) -> list[tuple[int, int]]:
+        """Pairs of shapes that the children of two are to be weighed by."""
+        xs, ys = inner[x], inner[y]
+        same = next((k for k in range(min(len(xs), len(ys))) if xs[-1 - k] != ys[-1 - k]), min(len(xs), len(ys)))
+        by_label: dict[str, list[int]] = {}
+        for d in set(ys[: len(ys) - same]):
+            by_label.setdefault(labels[d], []).append(d)
+        return [(c, d) for c in set(xs[: len(xs) - same]) for d in by_label.get(labels[c], ()) if c != d and (c, d) not in aligned]
+
+    todo = [(shape[id(a)], shape[id(b)])] if shape[id(a)] != shape[id(b)] else []
+    while todo:  # pages may be nested deeper than Python calls
+        x, y = todo[-1]
+        waiting = unlike(x, y) if (x, y) not in aligned else []
+        if waiting:
+            todo += waiting
             continue
-        m, n = len(x.children), len(y.children)
-        inner = [[weight.get((id(c), id(d)), 0) for d in y.children] for c in x.children]
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            for j in range(1, n + 1):
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i - 1][j - 1])
-        weight[id(x), id(y)] = best[m][n] + 1
-        taken, i, j = [], m, n
-        while i and j:
-            if inner[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + inner[i - 1][j - 1]:
-                taken.append((x.children[i - 1], y.children[j - 1]))
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        chosen[id(x), id(y)] = taken
-    pairs, todo = [], [(a, b)]
-    while todo:
-        pairs.append(todo.pop())
-        todo += chosen[id(pairs[-1][0]), id(pairs[-1][1])]
-    return weight[id(a), id(b)], pairs
+        todo.pop()
+        if (x, y) not in aligned:
+            aligned[x, y] = _align(inner[x], inner[y], weight)
+    pairs, left = [], [(a, b)]
+    while left:
+        x, y = left.pop()
+        pairs.append((x, y))
+        s, t = shape[id(x)], shape[id(y)]
+        if s == t:
+            left += zip(reversed(x.children), reversed(y.children))
+        else:
+            left += [(x.children[i], y.children[j]) for i, j in aligned[s, t][1]]
+    return weight(shape[id(a)], shape[id(b)]), pairs
 
 
 def merge(a: Node, b: Node) -> Node:

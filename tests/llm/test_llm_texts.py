@@ -443,3 +443,51 @@ def test_language_cases(spark, labelled):
     assert {r.lang_pred for r in language.predict(documents(spark, rows), nothing, ["doc_id"]).collect()} == {"und"}
     empty = documents(spark, []).withColumn("lang", F.lit("en"))
     assert language.identify(empty).count() == 0 and language.recognised(empty).columns == empty.columns
+
+
+def _plain_match(x, y):
+    """Nodes shared and the pairs, by the whole table of every two nodes."""
+    if x.label != y.label:
+        return 0, []
+    inner = [[_plain_match(c, d) for d in y.children] for c in x.children]
+    m, n = len(x.children), len(y.children)
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + inner[i - 1][j - 1][0])
+    pairs, i, j = [(x, y)], m, n
+    while i and j:
+        if inner[i - 1][j - 1][0] and best[i][j] == best[i - 1][j - 1] + inner[i - 1][j - 1][0]:
+            pairs += inner[i - 1][j - 1][1]
+            i, j = i - 1, j - 1
+        elif best[i][j] == best[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return best[m][n] + 1, pairs
+
+
+def test_siblings_are_aligned_alike_however_many():
+    rng = random.Random(3)
+    def tree(depth, most):
+        inner = [tree(depth - 1, 4) for _ in range(rng.randrange(most))] if depth else []
+        return html_text.Node(rng.choice("aab"), 0, 0, 1, inner)
+
+    cases = [(tree(3, 7), tree(3, 7)) for _ in range(200)]
+    for size in (150, 260):  # below and above 40,000 pairs
+        cases.append(tuple(html_text.Node("r", 0, 0, 1, [tree(1, 3) for _ in range(size + k)]) for k in (0, 9)))
+    for a, b in cases:
+        weight, pairs = html_text.match(a, b)
+        expected, found = _plain_match(a, b)
+        assert weight == expected
+        assert {(id(x), id(y)) for x, y in pairs} == {(id(x), id(y)) for x, y in found}
+
+
+def test_unlike_lists_of_thousands_of_siblings_are_aligned():
+    rng = random.Random(4)
+    def tree(n):
+        return html_text.Node("r", 0, 0, 1, [html_text.Node(rng.choice("abc"), 0, 0, 1, [html_text.Node("x", 0, 0, 1)] * rng.randrange(4)) for _ in range(n)])
+
+    a, b = tree(3000), tree(3100)
+    weight, pairs = html_text.match(a, b)
+    assert weight == len(pairs) > 3000
