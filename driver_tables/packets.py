@@ -740,8 +740,9 @@ def q_frame_stream(spark, sf_dir):
     write = lambda packets, number: packets.write.mode("overwrite").parquet(f"{root}/packets/batch={number}")
     follow = open_captures.frame_stream(f"{root}/state", write, origins, SECONDS_PER_BYTE)
     for third in (1, 2, 3):
-        seen = F.least("size", F.lit(total * third // 3) - (F.col("upto") - F.col("size")))
-        shown = files.join(sizes.withColumn("seen", seen).where("seen > 0").select("path", "seen"), "path")
+        seen, before = (F.least("size", F.lit(total * n // 3) - (F.col("upto") - F.col("size"))) for n in (third, third - 1))
+        grown = sizes.withColumn("seen", seen).where(F.col("seen") > F.greatest(before, F.lit(0)))
+        shown = files.join(grown.select("path", "seen"), "path")
         named = F.concat_ws("/", "session_id", F.regexp_replace("path", r"capture-(\d+)", r"capture-$1-at"))
         second = F.unix_seconds("modificationTime").cast("string")
         path = F.regexp_replace(named, r"-at\.bin$", F.concat(F.lit("-at"), second, F.lit(".bin")))

@@ -33,6 +33,32 @@ class ByteRange(InputPartition):
     arrived: float
 
 
+@dataclass(frozen=True)
+class Deal(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: tuple[ByteRange, ...]
+
+
+#: Bytes that a task reads, where there are enough for TASKS of them.
+TASK_BYTES = 32 << 20
+TASKS = 64
+
+
+def _deals(ranges: list[ByteRange]) -> list[Deal]:
+    """Ranges in order, dealt to tasks: at most some TASK_BYTES each, in TASKS of them where they are few."""
+    share = min(TASK_BYTES, sum(r.end - r.start for r in ranges) / TASKS)
+    out: list[list[ByteRange]] = []
+    size = 0
+    for part in ranges:
+        if not out or size + part.end - part.start > share:
+            out.append([])
+            size = 0
+        out[-1].append(part)
+        size += part.end - part.start
+    return [Deal(tuple(d)) for d in out]
+
+
 class _Folder:
     """The files below a folder, by session."""
 
@@ -60,24 +86,25 @@ class _Folder:
         cuts, length = range(start, end, self.range_bytes), 0 if self.from_start else end
         return [ByteRange(session, path, at, min(at + self.range_bytes, end), length, arrived) for at in cuts]
 
-    def read(self, part: ByteRange) -> Iterator[tuple]:
+    def read(self, deal: Deal) -> Iterator[tuple]:
         from pyarrow import fs
 
         system, _ = fs.FileSystem.from_uri(self.uri)
-        with system.open_input_file(part.path) as file:
-            content = file.read_at(part.end - part.start, part.start)
-        yield part.session, part.path, part.start, part.file_length, part.arrived, content
+        for part in deal.ranges:
+            with system.open_input_file(part.path) as file:
+                content = file.read_at(part.end - part.start, part.start)
+            yield part.session, part.path, part.start, part.file_length, part.arrived, content
 
 
 class _Reader(DataSourceReader):
     def __init__(self, folder: _Folder):
         self.folder = folder
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[Deal]:
         listed = self.folder.files().items()
-        return [r for s, files in listed for path, size, at in files for r in self.folder.deal(s, path, 0, size, at)]
+        return _deals([r for s, files in listed for path, size, at in files for r in self.folder.deal(s, path, 0, size, at)])
 
-    def read(self, partition: ByteRange) -> Iterator[tuple]:
+    def read(self, partition: Deal) -> Iterator[tuple]:
         return self.folder.read(partition)
 
 
@@ -93,7 +120,7 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {s: [files[-1][0], files[-1][1]] for s, files in self.folder.files().items()}
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[Deal]:
         out = []
         for session, files in self.folder.files().items():
             first, seen = start.get(session, ["", 0])
@@ -102,9 +129,9 @@ class _StreamReader(DataSourceStreamReader):
                 if first <= path <= last:
                     low, high = seen if path == first else 0, length if path == last else size
                     out += self.folder.deal(session, path, low, high, arrived)
-        return out
+        return _deals(out)
 
-    def read(self, partition: ByteRange) -> Iterator[tuple]:
+    def read(self, partition: Deal) -> Iterator[tuple]:
         return self.folder.read(partition)
 
     def commit(self, end: dict) -> None:

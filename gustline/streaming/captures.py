@@ -36,6 +36,13 @@ def frame_stream(state_path: str, write: BatchWriter, origins: DataFrame, second
     """Handler for micro-batches of byte ranges; ``write`` gets the packets that each batch completes."""
 
     def handle(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()  # ranges are read once, whatever the passes over them
+        try:
+            follow(kept, number)
+        finally:
+            kept.unpersist()
+
+    def follow(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         touched = cut_lineage(batch.select("session_id").distinct())
         state = read_state(spark, state_path, STATE_SCHEMA, KEYS, number)

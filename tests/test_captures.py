@@ -220,3 +220,15 @@ def test_state_reads_what_changed(spark, tmp_path, monkeypatch):
         got = {r.k: r.v for r in state.read_state(spark, path, schema, ["k"], number + 1).collect()}
         assert got == held
     assert sorted(n for n in os.listdir(path) if n.startswith("snapshot")) == ["snapshot=2", "snapshot=5", "snapshot=8"]
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for i in range(3):
+        (tmp_path / "s" / f"{i}.bin").write_bytes(bytes([i]) * 10_000)
+    chunks = ranges.read_ranges(spark, str(tmp_path), 20)
+    assert chunks.count() == 1500 and chunks.rdd.getNumPartitions() <= 2 * ranges.TASKS
+    whole = [r.content for r in chunks.orderBy("path", "offset").collect()]
+    assert b"".join(map(bytes, whole)) == b"".join(bytes([i]) * 10_000 for i in range(3))
+    large = [ranges.ByteRange("s", "p", 0, ranges.TASK_BYTES, 0, 0.0)] * 200
+    assert [len(d.ranges) for d in ranges._deals(large)] == [1] * 200 and ranges._deals([]) == []
