@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustline.functions import text
 from gustline.operators import windows
 from gustline.operators.ordered import BLOCK_ROWS
 from gustline.session import cut_lineage, join_with_nulls, literal_table, spread
@@ -24,8 +25,6 @@ KEYS = ["session_id", "window_number"]
 MANIFEST_SCHEMA = (
     "session_id string, window_number bigint, window_metadata string, documents bigint, bytes bigint, batch bigint"
 )
-#: Characters that folder names of a partitioned table spell as %XX, the sign itself first.
-_ESCAPED = "%\"#'*/:=?\\{[]^"
 DELETION_SCHEMA = "session_id string, window_number bigint, batch bigint, run bigint"
 
 
@@ -143,10 +142,7 @@ def finish_deletions(spark: SparkSession, root: str) -> None:
             yield pdf
 
     named = _deletions(spark, root).distinct()
-    session = F.nullif("session_id", F.lit(""))
-    for character in _ESCAPED:
-        session = F.replace(session, F.lit(character), F.lit(f"%{ord(character):02X}"))
-    session = F.coalesce(session, F.lit("__HIVE_DEFAULT_PARTITION__"))
+    session = text.folder_value(F.col("session_id"))
     path = F.format_string("windows/batch=%d/session_id=%s/window_number=%d", "batch", session, "window_number")
     # a number of its own, as names take few bytes and would be put in one task
     tasks = spark.sparkContext.defaultParallelism

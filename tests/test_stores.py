@@ -11,7 +11,8 @@ from gustline.functions import text
 from gustline.operators import ordered
 from gustline.plans import ingest, lab
 from gustline.session import literal_table
-from gustline.sources import window_sets
+from gustline.sources import sinks, window_sets
+from gustline.sources.windows import read_window_metadata
 from gustline.streaming import ingest as loading
 
 SCHEMA = "session_id string, window_number bigint, document string, window_metadata string"
@@ -201,3 +202,21 @@ def test_documents_of_one_partition_are_parsed_by_many_tasks(spark):
     assert len(_tasks(result.staged.path.removeprefix("file:"))) > 4
     assert result.sensor_data.count() == 100 and result.rejects.count() == 100
     result.staged.drop()
+
+
+def test_microphone_files_are_replaced_and_metadata_named(spark, tmp_path):
+    schema = "window_path string, node_id string, position int, sample array<double>"
+    for value in (1.0, 2.0):
+        rows = [("w'1", "a:b", i, [float(i), value]) for i in range(3)] + [("w2", None, 0, [0.0, value])]
+        sinks.write_microphone_samples(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "w"))
+    files = [p for p in (tmp_path / "w" / "microphone").rglob("*") if p.is_file()]
+    assert [p.name for p in files] == ["part-0.parquet"] * 2
+    got = spark.read.parquet(str(tmp_path / "w" / "microphone")).collect()
+    assert sorted((r.window_path, r.node_id or "", r.position, r["sample"][1]) for r in got) == [("w'1", "a:b", i, 2.0) for i in range(3)] + [("w2", "", 0, 2.0)]
+    os.makedirs(tmp_path / "in")
+    for name in ("a'b.json", "c d.json", "e.json"):
+        (tmp_path / "in" / f"{name}.metadata.json").write_text(name)
+    every = read_window_metadata(spark, str(tmp_path / "in"))
+    for row in every.collect():
+        only = read_window_metadata(spark, str(tmp_path / "in"), [row.window_path])
+        assert [r.window_metadata for r in only.collect()] == [row.window_metadata]
