@@ -32,6 +32,10 @@ SHORT_SHARE = 1 / 16
 #: Documents walked between two looks at the worst score kept.
 STRIDE = 1 << 11
 
+#: Writer's options of an index.  A task decodes all rows of a row group at once, of which each may hold 10 MB: so one
+#: shard is a row group, and memory doesn't grow with the shards that a file has.
+INDEX_OPTIONS = {"parquet.block.row.count.limit": "1"}
+
 INDEX_SCHEMA = "docs array<long>, lengths array<long>, terms array<long>, ends array<int>, at array<int>, counts array<int>"
 
 
@@ -107,7 +111,7 @@ def index_documents(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_posting
     small; they are kept as 64-bit hashes.  Documents without a term, null and empty texts among them, are in no
     shard.  Repeated rows are documents of their own.  An empty table gives an empty index.  A shard holds ``shard_docs``
     documents or ``shard_postings`` postings and one part of a batch more at most, so a row of the index is bounded but
-    for the distinct terms of a single document.
+    for the distinct terms of a single document.  Write it with INDEX_OPTIONS, which keep its rows apart.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -349,7 +353,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, staging: Staging | N
 def search_documents(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """search() over an index of ``docs`` that is written for it and removed afterwards."""
     staging = Staging(docs.sparkSession)
-    index = staging.table(index_documents(docs), "index")
+    index = staging.table(index_documents(docs), "index", **INDEX_OPTIONS)
     found = search(index, items, k, staging)
     staging.drop("index")
     return found

@@ -33,9 +33,10 @@ class Staging:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """``df`` written once; ``options`` are those of the writer."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         delete_on_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path)
 

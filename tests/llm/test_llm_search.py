@@ -1,13 +1,16 @@
 """Search, trie and shards against brute force, with the cases that their docstrings define."""
 
 import collections
+import functools
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
 
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from gustline.llm import lexical_search, prefix_trie, queries, sharding
@@ -106,6 +109,26 @@ def test_search_skips_long_lists(monkeypatch):
     assert sum(seen) < n / 8
 
 
+def test_shards_are_read_apart(spark, corpus, monkeypatch):
+    """A row group is decoded whole, so each holds one shard, however many a task writes."""
+    docs, items = corpus
+    kept = []
+    monkeypatch.setattr(Staging, "drop", lambda self, name="": kept.append(f"{self.root}/{name}"))
+    small = functools.partial(lexical_search.index_documents, shard_docs=16)
+    monkeypatch.setattr(lexical_search, "index_documents", small)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        docs_df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+        found = lexical_search.search_documents(docs_df, spark.createDataFrame(items, "item_id long, text string"), 3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = pathlib.Path(kept[0].removeprefix("file:")).glob("*.parquet")
+    written = [parquet.ParquetFile(f).metadata for f in files]
+    assert max(m.num_rows for m in written) > 20
+    assert all(m.num_row_groups == m.num_rows for m in written)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute_search(docs, items, 3)
+
+
 def test_search_of_nothing(spark, corpus):
     docs, items = corpus
     none_d, none_i = (spark.createDataFrame([], f"{c} long, text string") for c in ("doc_id", "item_id"))
