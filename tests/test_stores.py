@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gustline.functions import text
 from gustline.operators import ordered
 from gustline.plans import ingest, lab
-from gustline.session import literal_table
+from gustline.session import at_once, literal_table
 from gustline.sources import sinks, window_sets
+from gustline.sources import windows as windows_source
 from gustline.sources.windows import read_window_metadata
 from gustline.streaming import ingest as loading
 
@@ -220,3 +221,78 @@ def test_microphone_files_are_replaced_and_metadata_named(spark, tmp_path):
     for row in every.collect():
         only = read_window_metadata(spark, str(tmp_path / "in"), [row.window_path])
         assert [r.window_metadata for r in only.collect()] == [row.window_metadata]
+
+
+def _stored(folder, number):
+    """Windows in a folder, each with its metadata beside it."""
+    os.makedirs(folder, exist_ok=True)
+    for n in range(number):
+        (folder / f"w {n}+.json").write_text('{"0": {"Acc": [[1.0, %d.0]]}}' % n)
+        (folder / f"w {n}+.json.metadata.json").write_text(metadata())
+
+
+def test_a_replay_opens_windows_once_and_lists_no_metadata(spark, tmp_path, monkeypatch):
+    source, warehouse = tmp_path / "windows", str(tmp_path / "warehouse")
+    _stored(source, 3)
+    loading.ingest_stream(spark, str(source), warehouse, str(tmp_path / "cp")).awaitTermination()
+    _stored(source, 5)
+    (source / "w 4+.json.metadata.json").write_text("")  # an empty file is none
+
+    def unsent(stored, loaded):
+        for path in source.glob("w ?+.json"):
+            path.unlink()
+        return ingest.unsent_windows(stored, loaded)
+
+    monkeypatch.setattr(loading, "unsent_windows", unsent)
+    monkeypatch.setattr(loading, "_sidecars", None)
+    assert loading.replay(spark, str(source), warehouse, "r1") == 2
+    assert sorted(r.sensor_value[0] for r in spark.read.parquet(f"{warehouse}/sensor_data").collect()) == [0, 1, 2, 3]
+    rejects = spark.read.parquet(f"{warehouse}/rejects").collect()
+    assert [(r.window_path.rsplit("/", 1)[-1], r.reject_reason) for r in rejects] == [("w%204+.json", "no_campaign")]
+
+
+def test_metadata_beside_is_what_a_listing_finds(spark, tmp_path):
+    _stored(tmp_path / "a+b c", 2)
+    for name, content in (("é%41.json", b"x"), ("b.json", b"\xff{"), ("c.json", b""), ("d.json", None)):
+        (tmp_path / "a+b c" / name).write_text("{}")
+        if content is not None:
+            (tmp_path / "a+b c" / f"{name}.metadata.json").write_bytes(content)
+    os.makedirs(tmp_path / "a+b c" / "d.json.metadata.json")
+    windows = windows_source.read_windows(spark, str(tmp_path)).select("window_path")
+    pairs = lambda frame: sorted((r.window_path, bytes(r.m)) for r in frame.where("m IS NOT NULL").collect())
+    listed = windows.join(read_window_metadata(spark, str(tmp_path)), "window_path").select("window_path", F.col("window_metadata").cast("binary").alias("m"))
+    opened = windows.select("window_path", windows_source.metadata_beside(F.col("window_path")).cast("binary").alias("m"))
+    assert opened.count() == 6 and pairs(opened) == pairs(listed) and len(pairs(opened)) == 4
+    assert windows.where(windows_source.is_mounted(F.col("window_path"))).count() == 6
+
+
+def test_metadata_files_fill_no_batches(spark, tmp_path):
+    names = ["n", "on", "json", ".json"[1:], "a.json", "metadata.json", "a.metadata.jsonx", "a.metadata_json", "ametadata.json", "a.etadata.json"]
+    beside = ["a.metadata.json", "b.c.metadata.json", "a.json.metadata.json"]
+    os.makedirs(tmp_path / "in")
+    for name in {*names, *beside}:
+        (tmp_path / "in" / name).write_text("{}")
+    sizes = []
+    stream = loading.new_windows(spark, str(tmp_path / "in"), len(set(names)))
+    seen_names = lambda batch, n: sizes.append(sorted(r.window_path.rsplit("/", 1)[-1] for r in batch.collect()))
+    loading.for_each_batch(stream, seen_names, str(tmp_path / "cp")).awaitTermination()
+    assert sizes == [sorted(set(names))]
+
+
+def test_sections_come_from_one_scan(spark):
+    names = ["nodes", "gateway", "x", "a"]
+    frame = spark.createDataFrame([(d,) for d in SECTIONS], "d string")
+    frame = frame.select("d", text.section_texts(F.col("d"), names).alias("s"), *[text.section_text(F.col("d"), n).alias(n) for n in names])
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1 + len(names)
+    for row in frame.collect():
+        assert ([None] * 4 if row.s is None else list(row.s)) == [row[n] for n in names], row.d
+
+
+def test_steps_at_once(spark):
+    done = []
+    spark.sparkContext.setLocalProperty("test.step", "x")
+    note = lambda: done.append(spark.sparkContext.getLocalProperty("test.step"))
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, note, lambda: 1 / 0, note)
+    spark.sparkContext.setLocalProperty("test.step", None)
+    assert done == ["x", "x"]
