@@ -296,3 +296,22 @@ def test_steps_at_once(spark):
         at_once(spark, note, lambda: 1 / 0, note)
     spark.sparkContext.setLocalProperty("test.step", None)
     assert done == ["x", "x"]
+
+
+def test_paired_streams_keep_few_states_and_skip_empty_batches(spark, tmp_path):
+    source, warehouse, checkpoint = tmp_path / "windows", str(tmp_path / "warehouse"), tmp_path / "cp"
+    time = F.timestamp_seconds(F.lit(1_700_000_000) + F.regexp_extract("window_path", r"w%20(\d+)", 1).cast("bigint"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for number in (2, 4):
+            _stored(source, number)
+            loading.ingest_paired_stream(spark, str(source), warehouse, str(checkpoint), "1 second", time).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "50"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    states = [d for d in os.listdir(checkpoint / "state" / "0") if d.isdigit()]
+    assert len(states) == loading.STATE_PER_CORE * spark.sparkContext.defaultParallelism < 50
+    batches, loaded = len(os.listdir(checkpoint / "commits")) // 2, [*(tmp_path / "warehouse" / "rejects").rglob("batch=*")]
+    assert len(loaded) < batches
+    assert sorted(r.sensor_value[0] for r in spark.read.parquet(f"{warehouse}/sensor_data").collect()) == [0, 1, 2, 3]
